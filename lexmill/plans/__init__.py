@@ -1,6 +1,6 @@
 """Named queries over the input tables and their DuckDB equivalents."""
 
-from . import gating, packing, retrieval, texts  # noqa: F401
+from . import gating, ingest, integrity, packing, retrieval, texts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

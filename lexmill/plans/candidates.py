@@ -35,17 +35,20 @@ def coverage(query: Column, body: Column) -> Column:
 
 
 def local_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Best chunks per benchmark passage; the scorer only handles English chunks."""
+    """Best chunks per benchmark passage; the scorer only handles English chunks.
+
+    The lists are written once: later steps read them several times.
+    """
     queries, chunks = queries_of(spark, d), chunks_of(spark, d)
     top = retrieval.bm25_topk(queries, chunks, "chunk_uuid", "content", C.BRANCH_DEPTH)
     rows = chunks.join(top, "chunk_uuid").join(queries, "query_id")
     english = F.col("lang") == "en"
-    return rows.select(
+    return materialize(rows.select(
         "query_id", F.col("rank").alias("pos"), "chunk_uuid", "content", "source_title",
         F.lit("local").alias("source_type"), F.lit(None).cast("string").alias("source_url"), "chunk_index",
         F.when(english, F.col("source")).alias("retrieval_context"), "score",
         F.when(english, coverage(F.col("text"), F.col("content"))).alias("rerank_score"),
-    )
+    ), "candidates")
 
 
 def site_text(spark: SparkSession, d: str) -> DataFrame:
@@ -72,4 +75,4 @@ def web_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def refined_web(spark: SparkSession, d: str) -> DataFrame:
-    return gate.refine_web(web_candidates(spark, d))
+    return materialize(gate.refine_web(web_candidates(spark, d)), "web")
