@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 16
+SALTS = 16  # a power of two
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: str, how: str = "inner") -> DataFrame:
@@ -15,6 +15,8 @@ def salted_join(big: DataFrame, small: DataFrame, keys: list[str], spread_by: st
     so a hot key is worked on by SALTS tasks.  When Spark finds the small side
     below its broadcast threshold no shuffle takes place at all.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(spread_by), F.lit(SALTS)).cast("int"))
+    # a bit mask, unlike a remainder, is never NULL: no filter is added that would set
+    # this reader of a shared shuffle apart from the others
+    left = big.withColumn("_salt", F.xxhash64(spread_by).bitwiseAND(F.lit(SALTS - 1).cast("bigint")).cast("int"))
     right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

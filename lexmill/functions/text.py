@@ -18,6 +18,7 @@ from .. import constants as C
 WORD = r"[\p{L}\p{N}_]"
 NOT_WORD = r"[^\p{L}\p{N}_]"
 SPACE = r"(?U:[\s\x1c-\x1f])"
+NOT_SPACE = r"(?U:[^\s\x1c-\x1f])"
 TAG = r"<[^>]+>"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -46,7 +47,7 @@ def squeeze(c: Column) -> Column:
 
 
 def blank(c: Column) -> Column:
-    return c.isNull() | (strip(c) == "")
+    return c.isNull() | ~c.rlike(NOT_SPACE)
 
 
 @F.pandas_udf(T.StringType())
@@ -124,7 +125,7 @@ def name_tokens(c: Column) -> Column:
 
 def lines(c: Column) -> Column:
     """Lines that hold something besides white space."""
-    return F.filter(F.split(c, LINE_BREAK), lambda line: strip(line) != "")
+    return F.filter(F.split(c, LINE_BREAK), lambda line: line.rlike(NOT_SPACE))
 
 
 def noise_hits(c: Column) -> Column:

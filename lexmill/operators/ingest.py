@@ -41,10 +41,13 @@ def distinct_ci(values: Column) -> Column:
     return F.filter(values, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
 
 
+# Date, date and time, date and time with Z
+DATE_NOTATION = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}(T[0-9]{2}:[0-9]{2}:[0-9]{2}Z?)?$"
+
+
 def standard_date(value: Column) -> Column:
-    """Date of the three accepted notations, else NULL."""
-    formats = ["yyyy-MM-dd", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss'Z'"]
-    return F.to_date(F.coalesce(*[F.try_to_timestamp(value, F.lit(f)) for f in formats]))
+    """Date of the three accepted notations, else NULL; no parser exceptions on bad rows."""
+    return F.when(value.rlike(DATE_NOTATION), F.to_date(value.try_cast("timestamp")))
 
 
 def flatten_record(df: DataFrame) -> DataFrame:
@@ -93,7 +96,9 @@ def category(kind: Column, parent: Column, version: Column) -> Column:
 
 def review_mean(reviews: Column) -> Column:
     """Mean of the numeric scores, two digits, NULL without one."""
-    scores = F.filter(F.transform(reviews, lambda r: r["score"].try_cast("double")), lambda s: s.isNotNull())
+    number = r"^\s*[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?\s*$"
+    numeric = F.filter(reviews, lambda r: r["score"].rlike(number))
+    scores = F.transform(numeric, lambda r: r["score"].try_cast("double"))
     total = F.aggregate(scores, F.lit(0.0), lambda acc, s: acc + s)
     return F.when(F.size(scores) > 0, F.round(total / F.size(scores), 2))
 

@@ -17,9 +17,9 @@ def norm(vec: str) -> Column:
 
 
 def unit(vec: str) -> Column:
-    """Unit vector; a zero vector stays zero."""
-    n = norm(vec)
-    return F.transform(vec, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    """Unit vector; a zero vector stays zero.  The norm is evaluated once, not per element."""
+    norms = F.array_repeat(norm(vec), F.size(vec))
+    return F.zip_with(vec, norms, lambda x, n: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
 
 
 def dot(a: str | Column, b: str | Column) -> Column:

@@ -17,6 +17,10 @@ from ..session import parallelism
 
 TILE_VECTORS = 20_000
 TILE_QUERIES = 1_000
+# (query, term) pairs every task may hold, cells of one score block, tiles per core
+MAX_QUERY_TERMS = 200_000
+BLOCK_CELLS = 4_000_000
+TILES_PER_CORE = 2
 
 
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
@@ -47,25 +51,34 @@ def sparse_candidates(queries: DataFrame, corpus: DataFrame, key: str, body: str
     return salted_join(found, terms, ["term"], key)
 
 
-def bm25_scores(queries: DataFrame, corpus: DataFrame, key: str, body: str,
-                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
-    """(query_id, key, score) of every text sharing a term with the query."""
+def _weights(queries: DataFrame, corpus: DataFrame, key: str, body: str, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """(query terms, postings of those terms with their BM25 weight)."""
     terms = query_terms(queries)
     tokens = tokenized(corpus, key, body)
     found = postings(tokens, key, terms)
-    df = found.groupBy("term").agg(F.count("*").alias("df"))
+    # counted through tf, so that both readers of the postings share one shuffle
+    df = found.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
     # a one-row scalar subquery, evaluated once
     size = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))).scalar()
     idf = F.log(1 + (F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = terms.join(df, "term").withColumn("c", size).select(
-        "query_id", "term", idf.alias("idf"), F.col("c.avg_len").alias("avg_len"))
+    known = df.withColumn("c", size).select("term", idf.alias("idf"), F.col("c.avg_len").alias("avg_len"))
+    norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
+    return terms, salted_join(found, known, ["term"], key).select(key, "term", weight.alias("w"))
+
+
+def bm25_scores(queries: DataFrame, corpus: DataFrame, key: str, body: str,
+                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """(query_id, key, score) of every text sharing a term with the query.
+
+    The general way, for query tables of any size: one row per matching term.
+    """
+    terms, weights = _weights(queries, corpus, key, body, k1, b)
     # an explicit layout by text id: the join multiplies rows, so small shuffles must not be
     # merged into few tasks, and the final sum needs no further shuffle
-    found = found.repartition(parallelism(found.sparkSession), key)
-    hits = salted_join(found, weighted, ["term"], key)
-    norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return hits.groupBy(key, "query_id").agg(F.round(F.sum(part), 4).alias("score"))
+    weights = weights.repartition(parallelism(weights.sparkSession), key)
+    hits = salted_join(weights, terms, ["term"], key)
+    return hits.groupBy(key, "query_id").agg(F.round(F.sum("w"), 4).alias("score"))
 
 
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
@@ -74,8 +87,58 @@ def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int) -> DataFrame:
-    scored = bm25_scores(queries, corpus, key, body)
+def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int,
+              k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+    """BM25 top-k per query.
+
+    A query table of bounded size is held by every task: the weights of a tile
+    of texts form a term-by-text block, a query's scores are the sum of its
+    term rows, and only its k best leave the tile.  No (query, text) pair is
+    shuffled.  A larger query table takes the join of ``bm25_scores`` instead.
+    """
+    pairs = query_terms(queries).limit(MAX_QUERY_TERMS + 1).collect()
+    if len(pairs) > MAX_QUERY_TERMS:
+        scored = bm25_scores(queries, corpus, key, body, k1, b)
+        return top_k(scored, key, k).select("query_id", "rank", key, "score")
+
+    vocabulary = {t: i for i, t in enumerate(sorted({p["term"] for p in pairs}))}
+    wanted: dict[int, list[int]] = {}
+    for p in pairs:
+        wanted.setdefault(p["query_id"], []).append(vocabulary[p["term"]])
+    block = max(64, min(4096, BLOCK_CELLS // max(1, len(vocabulary))))
+
+    _, weights = _weights(queries, corpus, key, body, k1, b)
+    tiles = parallelism(weights.sparkSession) * TILES_PER_CORE
+    tiled = weights.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
+    kind = corpus.schema[key].dataType.simpleString()
+
+    def best(rows: pd.DataFrame) -> pd.DataFrame:
+        ids, codes = np.unique(rows[key].to_numpy(), return_inverse=True)
+        columns = rows["term"].map(vocabulary).to_numpy()
+        values = rows["w"].to_numpy()
+        order = np.argsort(codes, kind="stable")
+        codes, columns, values = codes[order], columns[order], values[order]
+        out_q, out_id, out_s = [], [], []
+        for first in range(0, len(ids), block):
+            lo, hi = np.searchsorted(codes, [first, first + block])
+            width = min(block, len(ids) - first)
+            grid = np.zeros((len(vocabulary), width))
+            grid[columns[lo:hi], codes[lo:hi] - first] = values[lo:hi]
+            for q, rows_of_q in wanted.items():
+                total = grid[rows_of_q].sum(axis=0)
+                hit = np.flatnonzero(total > 0)
+                score = np.round(total[hit], 4)
+                # ids are sorted, so a stable sort breaks ties by id
+                pick = np.argsort(-score, kind="stable")[:k]
+                out_q.append(np.full(len(pick), q))
+                out_id.append(ids[first + hit[pick]])
+                out_s.append(score[pick])
+        return pd.DataFrame({"query_id": np.concatenate(out_q), key: np.concatenate(out_id), "score": np.concatenate(out_s)})
+
+    scored = (
+        tiled.repartition(tiles, "tile").groupBy("tile")
+        .applyInPandas(best, f"query_id BIGINT, {key} {kind}, score DOUBLE")
+    )
     return top_k(scored, key, k).select("query_id", "rank", key, "score")
 
 
@@ -163,14 +226,14 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, ban
     q = banded(queries, "query_id").withColumnRenamed("vec", "qvec")
     pairs = salted_join(banded(vectors, "id"), q, ["band", "bucket"], "id")
 
-    def dot(a: str, b: str) -> Column:
-        products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
-        return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
+    @F.pandas_udf(T.DoubleType())
+    def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series(np.round((_unit(a) * _unit(b)).sum(axis=1), 6))
 
-    scored = pairs.select("query_id", "id", F.round(
-        dot("vec", "qvec") / F.sqrt(dot("vec", "vec") * dot("qvec", "qvec")), 6).alias("score"))
-    best = scored.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return top_k(best, "id", k).select("query_id", "rank", "id", "score")
+    # a pair may meet in several bands; it is scored once
+    once = pairs.groupBy("query_id", "id").agg(F.any_value("vec").alias("vec"), F.any_value("qvec").alias("qvec"))
+    scored = once.select("query_id", "id", cosine("vec", "qvec").alias("score"))
+    return top_k(scored, "id", k).select("query_id", "rank", "id", "score")
 
 
 def rrf(lists: list[DataFrame], key: str, limit: int, k: int = C.RRF_K) -> DataFrame:

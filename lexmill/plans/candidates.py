@@ -52,12 +52,13 @@ def local_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def site_text(spark: SparkSession, d: str) -> DataFrame:
+    """Cleaned pages, written once: cleaning is dear and several scans follow."""
     pages = spread(table(spark, d, "pages"), "page_id")
     title = F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1)
-    return pages.select(
+    return materialize(pages.select(
         "page_id", "url", text.squeeze(text.decode_entities(title)).alias("title"),
         text.clean_html(F.col("html")).alias("content"),
-    )
+    ), "site")
 
 
 def web_candidates(spark: SparkSession, d: str) -> DataFrame:

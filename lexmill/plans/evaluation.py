@@ -248,9 +248,11 @@ scored AS MATERIALIZED (SELECT should_refuse, (10000 * list_sum(list_transform(w
 
 def scored(spark, d):
     words = text.split_words(F.col("text"))
-    rows = judged(spark, d).select("should_refuse", words.alias("w")).where(F.size("w") > 0)
-    chars = F.aggregate("w", F.lit(0).cast("bigint"), lambda acc, x: acc + F.length(x))
-    return rows.select("should_refuse", (F.floor(chars * 10000 / F.size("w")) / 10000).alias("score"))
+    # the letters of all words are the text without its white space
+    chars = F.length(F.regexp_replace("text", text.SPACE, "")).cast("bigint")
+    rows = judged(spark, d).select("should_refuse", F.size(words).alias("n"), chars.alias("chars"))
+    score = F.floor(F.try_divide(F.col("chars") * 10000, F.col("n"))) / 10000
+    return rows.select("should_refuse", score.alias("score")).where(F.col("score").isNotNull())
 
 
 @query("floor_gap_candidates", "WITH " + GOLDEN + "," + SCORED + """,

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chunking
 from ..schemas import CHUNKS, DOCUMENTS, EVENTS
-from ..session import scratch_path
+from ..session import parallelism, scratch_path
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
@@ -54,6 +54,9 @@ CHUNK_ROWS = ", ".join(p.strip() for p in CHUNKS.split(",") if p.split()[0] in C
 def ingest_chunks(spark: SparkSession, folder: str, table: str, state: str) -> list:
     """Clean, cut, filter and insert the chunks that are not stored yet."""
     def insert(batch: DataFrame, n: int) -> None:
+        if batch.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+            # fewer splits than cores: spread the text work
+            batch = batch.repartition(parallelism(spark), "doc_id")
         fresh = chunking.build_chunks(batch).select(*CHUNK_COLUMNS)
         # the batch's own folder may hold rows of an attempt that is being repeated
         stored = read_batches(spark, table, CHUNK_ROWS).where(F.col("batch") != n).select("chunk_uuid")
@@ -63,7 +66,7 @@ def ingest_chunks(spark: SparkSession, folder: str, table: str, state: str) -> l
 
 
 def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
-    """Ingest, then replay the same files under new state: the second pass adds nothing."""
+    """Ingest every file that is there into a new chunk table."""
     table = scratch_path(spark, "stream-chunks")
     new_table(spark, table, CHUNK_ROWS)
     ingest_chunks(spark, folder, table, scratch_path(spark, "state"))
