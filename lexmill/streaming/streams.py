@@ -1,12 +1,14 @@
 """Four stateful jobs as Structured Streaming queries.
 
-All sinks are tables of ``batch=<n>`` folders: a replayed micro-batch rewrites
-its own folder, so a restart neither loses nor repeats rows.  State and tables
-live in the shared scratch folder.
+All sinks are tables of ``run=<state>/batch=<n>`` folders: a repeated micro-batch
+rewrites its own folder and no other, so a restart neither loses nor repeats
+rows, and a second run with new state never touches the rows of the first.
+State and tables live in the shared scratch folder.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
@@ -33,16 +35,21 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mod
     return list(query.recentProgress)
 
 
-def batch_folder(table: str, batch: int) -> str:
-    return f"{table}/batch={batch}"
+def run_id(state: str) -> str:
+    """Name of the run that owns a state folder."""
+    return "r" + hashlib.sha256(state.encode()).hexdigest()[:12]
+
+
+def batch_folder(table: str, run: str, batch: int) -> str:
+    return f"{table}/run={run}/batch={batch}"
 
 
 def read_batches(spark: SparkSession, table: str, schema: str) -> DataFrame:
-    return spark.read.schema(f"{schema}, batch BIGINT").option("basePath", table).parquet(table)
+    return spark.read.schema(f"{schema}, run STRING, batch BIGINT").option("basePath", table).parquet(table)
 
 
 def new_table(spark: SparkSession, table: str, schema: str) -> None:
-    spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_folder(table, -1))
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_folder(table, "new", -1))
 
 
 # ---------------------------------------------------------------- chunks
@@ -53,14 +60,17 @@ CHUNK_ROWS = ", ".join(p.strip() for p in CHUNKS.split(",") if p.split()[0] in C
 
 def ingest_chunks(spark: SparkSession, folder: str, table: str, state: str) -> list:
     """Clean, cut, filter and insert the chunks that are not stored yet."""
+    run = run_id(state)
+
     def insert(batch: DataFrame, n: int) -> None:
         if batch.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
             # fewer splits than cores: spread the text work
             batch = batch.repartition(parallelism(spark), "doc_id")
         fresh = chunking.build_chunks(batch).select(*CHUNK_COLUMNS)
         # the batch's own folder may hold rows of an attempt that is being repeated
-        stored = read_batches(spark, table, CHUNK_ROWS).where(F.col("batch") != n).select("chunk_uuid")
-        fresh.join(stored, "chunk_uuid", "left_anti").write.mode("overwrite").parquet(batch_folder(table, n))
+        stored = read_batches(spark, table, CHUNK_ROWS).where(
+            ~((F.col("run") == run) & (F.col("batch") == n))).select("chunk_uuid")
+        fresh.join(stored, "chunk_uuid", "left_anti").write.mode("overwrite").parquet(batch_folder(table, run, n))
 
     return run_available(file_stream(spark, folder, "documents", DOCUMENTS), insert, "append", state)
 
@@ -84,7 +94,7 @@ def upsert_aggregate(spark: SparkSession, stream: DataFrame, keys: list[str]) ->
     table, state = scratch_path(spark, "stream-agg"), scratch_path(spark, "state")
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(table, n))
+        batch.write.mode("overwrite").parquet(batch_folder(table, run_id(state), n))
 
     reports = run_available(stream, save, "update", state)
     late = sum(op.numRowsDroppedByWatermark for r in reports for op in r.stateOperators)
@@ -160,7 +170,8 @@ def enrich_stream(spark: SparkSession, stream: DataFrame, dim: RefreshedDimensio
     table, state = scratch_path(spark, "stream-enriched"), scratch_path(spark, "state")
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.join(dim.current(), key, "left").select(*columns).write.mode("overwrite").parquet(batch_folder(table, n))
+        batch.join(dim.current(), key, "left").select(*columns).write.mode("overwrite").parquet(
+            batch_folder(table, run_id(state), n))
 
     run_available(stream, save, "append", state)
     return read_batches(spark, table, schema).select(*columns)
