@@ -69,11 +69,14 @@ def migrated_side(clusters: DataFrame, stored: DataFrame, fresh: DataFrame, samp
 def orphan_reason(children: DataFrame, parents: DataFrame, key: str, second: str) -> DataFrame:
     """Children without their keys or without a parent, with the first reason.
 
-    Children are only joined by key; a hot parent is cut up by the adaptive
-    skew join, which a left outer join with one row per parent allows.
+    Only children with both keys need the join; the others get a spread key that
+    matches nothing, so that missing keys do not meet in one task.  A hot parent
+    is cut up by the adaptive skew join.
     """
-    known = parents.select(F.col(key).alias("_k")).distinct().withColumn("_hit", F.lit(True))
-    joined = children.join(known, children[key] == known["_k"], "left")
+    known = parents.select(F.col(key).cast("string").alias("_k")).distinct().withColumn("_hit", F.lit(True))
+    whole = F.col(key).isNotNull() & F.col(second).isNotNull()
+    probe = F.when(whole, F.col(key).cast("string")).otherwise(F.concat(F.lit("missing-"), F.xxhash64(*children.columns).cast("string")))
+    joined = children.withColumn("_k", probe).join(known, "_k", "left")
     reason = F.when(F.col(key).isNull(), "missing_parent").when(F.col(second).isNull(), "missing_second_key").when(
         F.col("_hit").isNull(), "unknown_parent")
     return joined.withColumn("reason", reason).drop("_k", "_hit")

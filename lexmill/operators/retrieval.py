@@ -17,10 +17,11 @@ from ..session import parallelism
 
 TILE_VECTORS = 20_000
 TILE_QUERIES = 1_000
-# (query, term) pairs every task may hold, cells of one score block, tiles per core
+# (query, term) pairs every task may hold, cells of one score block, texts per tile, most shuffle partitions
 MAX_QUERY_TERMS = 200_000
 BLOCK_CELLS = 4_000_000
-TILES_PER_CORE = 2
+TILE_TEXTS = 20_000
+MAX_PARTITIONS = 20_000
 
 
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
@@ -108,7 +109,11 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int
     block = max(64, min(4096, BLOCK_CELLS // max(1, len(vocabulary))))
 
     _, weights = _weights(queries, corpus, key, body, k1, b)
-    tiles = parallelism(weights.sparkSession) * TILES_PER_CORE
+    # a tile, the unit one task holds in memory, has a bounded number of texts at any scale;
+    # beyond MAX_PARTITIONS a partition holds several tiles, one after the other
+    cores = parallelism(weights.sparkSession)
+    tiles = max(2 * cores, -(-corpus.count() // TILE_TEXTS))
+    partitions = min(tiles, max(2 * cores, MAX_PARTITIONS))
     tiled = weights.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
     kind = corpus.schema[key].dataType.simpleString()
 
@@ -136,7 +141,7 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int
         return pd.DataFrame({"query_id": np.concatenate(out_q), key: np.concatenate(out_id), "score": np.concatenate(out_s)})
 
     scored = (
-        tiled.repartition(tiles, "tile").groupBy("tile")
+        tiled.repartition(partitions, "tile").groupBy("tile")
         .applyInPandas(best, f"query_id BIGINT, {key} {kind}, score DOUBLE")
     )
     return top_k(scored, key, k).select("query_id", "rank", key, "score")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import context
+from ..sources.tables import materialize
 from . import sql as S
 from .candidates import local_candidates, refined_web, web_candidates
 from .registry import query
@@ -129,9 +130,9 @@ def budget_pack(spark, d):
     return context.packed_rows(context.budget_pack(ordered, Q), Q)
 
 
-def assembled(spark, d):
+def assembled(rows):
     """De-duplicate once, then order and pack each query for every task."""
-    unique = context.drop_contained(context.dedupe_longest(merged(spark, d), Q), Q)
+    unique = materialize(context.drop_contained(context.dedupe_longest(rows, Q), Q), "unique")
     orders = {"comparison": context.comparison_order, "listicle": context.list_order, "factual": context.relevance_order}
     out = None
     for task in TASKS:
@@ -154,7 +155,7 @@ parted AS (SELECT split_part(g, ':', 1) AS task, CAST(split_part(g, ':', 2) AS B
 SELECT task, query_id, CAST(generate_subscripts(kept, 1) AS INTEGER) AS rank, unnest(kept).chunk_uuid AS chunk_uuid,
   CAST(unnest(kept).used AS INTEGER) AS used_chars, redundant FROM parted""")
 def context_assembly(spark, d):
-    return context.packed_rows(assembled(spark, d), ["task", "query_id"])
+    return context.packed_rows(assembled(merged(spark, d)), ["task", "query_id"])
 
 
 @query("compression_ratio", ASSEMBLED + """,
@@ -164,8 +165,9 @@ SELECT task, initial, CAST(final AS BIGINT) AS final, round(greatest(0.0, (initi
   round(100.0 * redundant / deduped, 2) AS redundancy_rate FROM s, i""")
 def compression_ratio(spark, d):
     """Rows removed between the merged lists and the packed context, per task."""
-    initial = merged(spark, d).agg(F.count("*")).scalar()
-    per = assembled(spark, d).groupBy("task").agg(
+    rows = merged(spark, d)
+    initial = rows.agg(F.count("*")).scalar()
+    per = assembled(rows).groupBy("task").agg(
         F.sum("n_in").alias("deduped"), F.sum(F.size("kept")).alias("final"), F.sum("redundant").alias("redundant"))
     per = per.withColumn("initial", initial)
     ratio = F.greatest(F.lit(0.0), (F.col("initial") - F.col("final")) / F.col("initial"))
@@ -184,7 +186,7 @@ m AS (SELECT task, CASE WHEN total + {VERBOSE} <= {C.PROMPT_CHARS} THEN 'verbose
 SELECT task, mode, count(*) AS n, CAST(sum(CASE WHEN mode IN ('verbose', 'concise') THEN n ELSE fits END) AS BIGINT) AS chunks_used FROM m GROUP BY ALL""")
 def prompt_budget_ladder(spark, d):
     """How many packed contexts fit which wording; LABEL characters frame each chunk."""
-    kept = assembled(spark, d).select("task", "query_id", F.posexplode("kept").alias("n", "k"))
+    kept = assembled(merged(spark, d)).select("task", "query_id", F.posexplode("kept").alias("n", "k"))
     before = F.col("k.used")
     sized = kept.select("task", "query_id", (F.col("n") + 1).alias("rank"), before.alias("used"))
     from pyspark.sql import Window
