@@ -4,12 +4,26 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import sql
 from .common import table
+from .mixing import mix
+from .quality_rules import quality_rules
 from .registry import query
 from .simhash import hex_digits, simhash_groups
 
 
+@query("op1_quality_rules", sql.QUALITY_RULES)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
 @query("op5_simhash_groups")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), width=4, max_bits=4)
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+@query("op10_source_mix", sql.MIXING)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
