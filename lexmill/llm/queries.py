@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
@@ -10,6 +11,7 @@ from .mixing import mix
 from .quality_rules import quality_rules
 from .registry import query
 from .simhash import hex_digits, simhash_groups
+from .substrings import substring_dedup
 
 
 @query("op1_quality_rules", sql.QUALITY_RULES)
@@ -23,6 +25,12 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", hex_digits("fp").alias("fingerprint"), "component_id")
 
 
+@query("op6_substring_dedup")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("op10_source_mix", sql.MIXING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
