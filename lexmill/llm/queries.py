@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .mixing import mix
+from .pii import base_only, count_kind, private_report, span_list
 from .quality_rules import quality_rules
 from .registry import query
 from .simhash import hex_digits, simhash_groups
 from .substrings import substring_dedup
+from .url_filter import filter_urls
 
 
 @query("op1_quality_rules", sql.QUALITY_RULES)
@@ -19,6 +21,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op4_url_filter", sql.URL_FILTER)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 @query("op5_simhash_groups")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash_groups(table(spark, sf_dir, "documents"), width=4, max_bits=4)
@@ -31,6 +38,16 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query("op7_private_terms")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = private_report(table(spark, sf_dir, "documents"))
+    counts = [count_kind(F.col("spans"), k).alias(f"n_{name}") for k, name in enumerate(("email", "ip", "card", "phone"))]
+    return found.select(
+        "doc_id", *counts, F.sha2(span_list(base_only(F.col("spans"))), 256).alias("base_sha256"),
+        span_list(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op10_source_mix", sql.MIXING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

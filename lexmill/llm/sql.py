@@ -123,3 +123,55 @@ SELECT doc_id, size, source_size, target,
    + greatest(least(begins + rest - n, pos + size) - pos, 0))::BIGINT AS taken
 FROM cut
 """
+
+_KEY = """host || path || CASE WHEN kept <> '' THEN '?' || kept ELSE '' END"""
+
+
+def _parts(url: str, source: str, more: str) -> str:
+    rest = f"CASE WHEN strpos({url}, '://') > 0 THEN substr({url}, strpos({url}, '://') + 3) END"
+    return rf"""
+  SELECT {more}, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path,
+         list_aggregate(list_filter(string_split(regexp_extract(rest, '^[^?#]*\?([^#]*)', 1), '&'),
+           lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|gclid|fbclid|ref)(=|$)')), 'string_agg', '&') AS kept_list,
+         coalesce(kept_list, '') AS kept, CASE WHEN rest IS NOT NULL THEN {_KEY} END AS key
+  FROM (SELECT *, {rest} AS rest FROM {source})"""
+
+
+_FITS = """(host = r.rh OR ends_with(host, '.' || r.rh)) AND starts_with(path, r.rp)"""
+
+URL_FILTER = rf"""
+WITH RECURSIVE rules(rv, rh, rp) AS (
+  VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'),
+         ('allow', 'com', '/fr/'), ('block', 'com', '/de/')
+), parsed AS ({_parts("url", "pages", "page_id, html, url")}
+), tags AS (
+  SELECT host, path, key, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*>')) AS tag FROM parsed WHERE key IS NOT NULL
+), hrefs AS (
+  SELECT *, replace(CASE WHEN regexp_matches(tag, '(?i)\brel\s*=\s*["'']?canonical')
+      THEN regexp_extract(tag, '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+    WHEN regexp_matches(tag, '(?i)http-equiv\s*=\s*["'']?refresh')
+      THEN regexp_extract(tag, '(?i)url\s*=\s*[''"]?([^"''\s>]+)', 1) ELSE '' END, '&amp;', '&') AS t FROM tags
+), aimed AS (
+  SELECT key AS from_key, CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN 'http:' || t
+    WHEN starts_with(t, '/') THEN 'http://' || host || t
+    ELSE 'http://' || host || coalesce(nullif(regexp_extract(path, '^.*/'), ''), '/') || t END AS target
+  FROM hrefs WHERE t <> ''
+), ends AS ({_parts("target", "aimed", "from_key")}
+), edges AS (
+  SELECT from_key AS a, key AS b FROM ends UNION SELECT key, from_key FROM ends
+), reach AS (
+  SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON edges.a = reach.b
+), keys AS (
+  SELECT key, host, path FROM parsed WHERE key IS NOT NULL UNION SELECT key, host, path FROM ends
+), fitted AS (
+  SELECT key, max_by(rh || rp, length(rh || rp)) AS rule, max_by(rv, length(rh || rp)) AS rv
+  FROM keys JOIN rules r ON {_FITS} GROUP BY key
+), aliases AS (
+  SELECT reach.a AS key, bool_or(rv = 'block') AND NOT bool_or(rv = 'allow') AS blocked
+  FROM reach JOIN fitted ON fitted.key = reach.b GROUP BY reach.a
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
+       coalesce(rv, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+FROM parsed LEFT JOIN fitted USING (key) LEFT JOIN aliases USING (key)
+"""
