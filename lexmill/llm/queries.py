@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .mixing import mix
+from .nearest import nearest
 from .pii import base_only, count_kind, private_report, span_list
 from .quality_rules import quality_rules
 from .registry import query
+from .resampling import importance_weights
 from .simhash import hex_digits, simhash_groups
 from .substrings import substring_dedup
 from .url_filter import filter_urls
@@ -21,6 +23,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op3_nearest_neighbours")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 @query("op4_url_filter", sql.URL_FILTER)
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"))
@@ -48,6 +55,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op9_importance_resampling")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op10_source_mix", sql.MIXING)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")

@@ -11,8 +11,15 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 GAP = r"[\x20\x09-\x0D]+"
 
-_IS_GAP = np.zeros(256, dtype=bool)
-_IS_GAP[[9, 10, 11, 12, 13, 32]] = True
+def _classes(split_marks: bool) -> np.ndarray:
+    """Class of every byte: 0 white space, 1 word, 2 ASCII marks if they are tokens of their own."""
+    out = np.ones(256, dtype=np.int8)
+    if split_marks:
+        out[[c for c in range(128) if not chr(c).isalnum()]] = 2
+    out[[9, 10, 11, 12, 13, 32]] = 0
+    return out
+
+
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
 _CHUNK_BYTES = 2 << 20
@@ -74,10 +81,14 @@ class Windows:
 
 
 class WordHasher:
-    """Word hashes of many texts at once, a bounded number of bytes at a time."""
+    """Word hashes of many texts at once, a bounded number of bytes at a time.
+
+    ``split_marks`` cuts runs of ASCII marks off as tokens and folds A-Z, for n-gram models.
+    """
 
-    def __init__(self):
-        self._windows = Windows(_SECOND)
+    def __init__(self, split_marks: bool = False):
+        self._windows, self._fold = Windows(_SECOND), split_marks
+        self._class = _classes(split_marks)
 
     def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Yields (index of the first text, word hashes, bounds); text i has words bounds[i]:bounds[i + 1]."""
@@ -93,10 +104,12 @@ class WordHasher:
             yield (first, *self._hash(held))
 
     def _hash(self, raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        data = np.frombuffer(b"\n".join(raws) + b"\n", dtype=np.uint8)
-        gap = _IS_GAP[data]
-        edge = np.diff(gap.astype(np.int8), prepend=np.int8(1))
-        start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        joined = b"\n".join(raws) + b"\n"
+        data = np.frombuffer(joined.lower() if self._fold else joined, dtype=np.uint8)
+        kind = self._class[data]
+        change = np.flatnonzero(np.diff(kind, prepend=np.int8(0)))
+        start = change[kind[change] != 0]
+        end = change[1:][kind[change[:-1]] != 0]
         ends = np.cumsum([len(r) + 1 for r in raws])
         bounds = np.concatenate([[0], np.searchsorted(start, ends)])
         return self._windows.slices(data.astype(np.uint64) + np.uint64(1), start, end), bounds
