@@ -17,14 +17,25 @@ Query = Callable[[SparkSession, str], DataFrame]
 ROW_KEY = ["_rid", "_tag"]
 
 
-def with_row_key(docs: DataFrame) -> DataFrame:
-    """Adds _rid and _tag.  Rows with equal keys hold the same id and text, so they share every result."""
+def with_row_key(docs: DataFrame, plain: bool = False) -> DataFrame:
+    """Adds _rid and _tag.  Rows with equal keys hold the same id and text, so they share every result.
+
+    ``plain`` says that doc_id alone is a key (see ``ids_are_keys``); the tag, which takes space in
+    every shuffle, is then 0.
+    """
     tag = F.xxhash64(F.col("text")).bitwiseAND(F.lit(0x7FFFFFFE)).bitwiseOR(F.col("doc_id").isNull().cast("bigint"))
+    tag = F.lit(0) if plain else tag
     return docs.select(
         F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("_rid"), tag.cast("int").alias("_tag"), *docs.columns
     )
 
 
+def ids_are_keys(docs: DataFrame) -> bool:
+    """No NULL and no repeated doc_id."""
+    repeats = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    return repeats.isEmpty()
+
+
 def key_to_id() -> Column:
     return F.when(F.col("_tag").bitwiseAND(F.lit(1)) == 0, F.col("_rid")).alias("doc_id")
 

@@ -19,11 +19,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ROW_KEY, key_to_id, with_row_key
+from .common import ROW_KEY, ids_are_keys, key_to_id, with_row_key
 from .words import Windows, WordHasher, encoded_words, mix
 
-#: A perfect difference set: every residue modulo 13 is a difference of two of its members.
-PERIOD, COVER = 13, (0, 1, 3, 9)
+#: A perfect difference set: every residue modulo 21 is a difference of two of its members.
+PERIOD, COVER = 21, (3, 6, 7, 12, 14)
 WINDOW = 35
 
 _THIRD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -48,14 +48,20 @@ def _spans(doc: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
     return doc[start], low[start], high[last]
 
 
-def _frame(part: pd.DataFrame, doc: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({
-        "_rid": part["_rid"].to_numpy()[doc], "_tag": part["_tag"].to_numpy()[doc],
-        **columns,
-    })
+#: Four longs a row: the shuffles carry tens of such rows per hundred words.  ``place`` holds the
+#: first start, and above bit 40 how many more follow; ``mark`` the tag, and above bit 32 more hash.
+ROWS = "h bigint, _rid bigint, mark bigint, place bigint, known boolean"
+_LONGEST = (1 << 22) - 1
 
 
-ROWS = "_rid bigint, _tag int, low int, high int, h bigint, g int, known boolean"
+def _frame(
+    part: pd.DataFrame, doc: np.ndarray, low: np.ndarray, high: np.ndarray, h: np.ndarray, g: np.ndarray, known: bool
+) -> pd.DataFrame:
+    tag = part["_tag"].to_numpy(dtype=np.int64)[doc]
+    return pd.DataFrame({
+        "h": h.view(np.int64), "_rid": part["_rid"].to_numpy()[doc], "mark": (g.astype(np.int64) << 32) | tag,
+        "place": low.astype(np.int64) | ((high - low).astype(np.int64) << 40), "known": known,
+    })
 
 
 def _rows(
@@ -65,16 +71,13 @@ def _rows(
     if not len(doc):
         return
     first, often = _occurrences(h)
-    yield _frame(
-        part, doc[first], low=low[first].astype(np.int32), high=high[first].astype(np.int32),
-        h=h[first].view(np.int64), g=g[first], known=np.zeros(int(first.sum()), dtype=bool),
-    )
+    yield _frame(part, doc[first], low[first], high[first], h[first], g[first], known=False)
     d, a, b = _spans(doc[often], low[often], high[often])
-    yield _frame(
-        part, d, low=a.astype(np.int32), high=b.astype(np.int32),
-        h=mix(part["_rid"].to_numpy()[d].astype(np.uint64)).view(np.int64),
-        g=np.zeros(len(d), dtype=np.int32), known=np.ones(len(d), dtype=bool),
-    )
+    while len(d):
+        # a range is written in steps of at most _LONGEST starts
+        end = np.minimum(b, a + _LONGEST)
+        yield _frame(part, d, a, end, mix(part["_rid"].to_numpy()[d].astype(np.uint64)), np.zeros(len(d)), known=True)
+        d, a, b = d[end < b], end[end < b] + 1, b[end < b]
 
 
 def anchor_rows(window: int, period: int, cover: tuple[int, ...]):
@@ -98,7 +101,8 @@ def anchor_rows(window: int, period: int, cover: tuple[int, ...]):
                 found.append((d + first, np.maximum(p - period + 1, 0), np.minimum(p, n - window), h))
             if found:
                 doc, low, high, h = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield from _rows(part, doc, low, high, h, np.zeros(len(h), dtype=np.int32))
+                # 48 bits: anchors only point at candidates, and shorter numbers shuffle less
+                yield from _rows(part, doc, low, high, h >> np.uint64(16), np.zeros(len(h)))
 
     return run
 
@@ -122,7 +126,7 @@ def window_rows(window: int):
                 at = start - bounds[doc]
                 h = one.slices(words, start, start + window)
                 g = two.slices(mix(words ^ _THIRD), start, start + window)
-                found.append((doc + first, at, h, (g >> np.uint64(33)).astype(np.int32)))
+                found.append((doc + first, at, h, (g >> np.uint64(33)).astype(np.int64)))
             if found:
                 doc, at, h, g = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield from _rows(part, doc, at, at, h, g)
@@ -154,11 +158,16 @@ def kept_rows(window: int):
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
     """Per document: ranges whose hash occurs at least twice, or was settled in its batch."""
-    counted = rows.withColumn("n", F.count("*").over(Window.partitionBy("h", "g")))
+    # dealt by h before the rest of the hash is taken out of ``mark``, so that no row travels wider
+    dealt = rows.repartition("h").withColumn("g", F.shiftright("mark", 32))
+    counted = dealt.withColumn("n", F.count("*").over(Window.partitionBy("h", "g")))
+    low = F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")
+    span = F.struct(low.alias("low"), (low + F.shiftright("place", 40)).cast("int").alias("high"))
     return (
         counted.where("known or n > 1")
+        .select("_rid", F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("_tag"), span.alias("span"))
         .groupBy(*ROW_KEY)
-        .agg(F.collect_set(F.struct("low", "high")).alias("spans"))
+        .agg(F.collect_set("span").alias("spans"))
     )
 
 
@@ -174,7 +183,8 @@ def substring_dedup(
     """
     if window < period:
         raise ValueError("a window must be at least as long as the period")
-    texts = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(*ROW_KEY, "text")
+    picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    texts = with_row_key(picked, plain=ids_are_keys(picked)).select(*ROW_KEY, "text")
     anchors = texts.where("text is not null").mapInPandas(anchor_rows(window, period, cover), ROWS)
     # both joins need the texts dealt by the row key: Spark shuffles them once and reads them twice
     around = texts.join(repeated_spans(anchors), ROW_KEY)
