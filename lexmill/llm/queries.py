@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .common import table
+from .langid import predict_languages
 from .mixing import mix
 from .nearest import nearest
+from .packing import pack
 from .pii import base_only, count_kind, private_report, span_list
 from .quality_rules import quality_rules
 from .registry import query
@@ -23,6 +25,11 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op2_best_fit_packing")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"))
+
+
 @query("op3_nearest_neighbours")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
@@ -55,6 +62,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op8_language_id")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(table(spark, sf_dir, "documents"))
+
+
 @query("op9_importance_resampling")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_weights(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

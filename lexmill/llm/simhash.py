@@ -86,8 +86,11 @@ def fingerprints(docs: DataFrame, width: int) -> DataFrame:
             fp = [fingerprint(t, width)[0] for t in part["text"]]
             yield pd.DataFrame({"doc_id": part["doc_id"], "fp": np.array(fp, dtype=np.uint64).view(np.int64)})
 
-    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInPandas(run, "doc_id bigint, fp bigint")
+    # ids travel as strings: pandas has no long with NULLs
+    picked = docs.select(
+        F.col("doc_id").cast("bigint").cast("string").alias("doc_id"), F.col("text").cast("string").alias("text")
+    )
+    return picked.mapInPandas(run, "doc_id string, fp bigint").withColumn("doc_id", F.col("doc_id").cast("bigint"))
 
 
 # ---------------------------------------------------------------- the index
