@@ -37,7 +37,7 @@ _PAIR = np.uint64(0x9E3779B97F4A7C15)
 
 def ngrams(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(index of the first text, buckets of all n-grams, index of the text each belongs to), chunk by chunk."""
-    for first, words, bounds in WordHasher(split_marks=True).chunks(texts):
+    for first, words, bounds in WordHasher(split_marks=True, fold=True).chunks(texts):
         doc = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
         same = np.flatnonzero(doc[:-1] == doc[1:]) if len(doc) else np.zeros(0, dtype=np.int64)
         pairs = mix(words[same] * _PAIR + words[same + 1])

@@ -83,11 +83,11 @@ class Windows:
 class WordHasher:
     """Word hashes of many texts at once, a bounded number of bytes at a time.
 
-    ``split_marks`` cuts runs of ASCII marks off as tokens and folds A-Z, for n-gram models.
+    ``split_marks`` cuts runs of ASCII marks off as tokens, ``fold`` lower-cases A-Z.
     """
 
-    def __init__(self, split_marks: bool = False):
-        self._windows, self._fold = Windows(_SECOND), split_marks
+    def __init__(self, split_marks: bool = False, fold: bool = False):
+        self._windows, self._fold = Windows(_SECOND), fold
         self._class = _classes(split_marks)
 
     def chunks(self, texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
