@@ -80,6 +80,13 @@ def _rows(
         d, a, b = d[end < b], end[end < b] + 1, b[end < b]
 
 
+def _starts(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last window start of each place."""
+    places = np.asarray(places, dtype=np.int64)
+    low = places & ((1 << 40) - 1)
+    return low, low + (places >> 40)
+
+
 def anchor_rows(window: int, period: int, cover: tuple[int, ...]):
     """Anchors at cover positions; low..high are the starts of the windows that hold the anchor."""
     length = window - period + 1
@@ -113,14 +120,14 @@ def window_rows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hasher, one, two = WordHasher(), Windows(), Windows(_THIRD)
         for part in batches:
-            spans = part["spans"].tolist()
+            places = part["places"].tolist()
             found = []
             for first, words, bounds in hasher.chunks(part["text"].tolist()):
                 wanted = np.zeros(len(words) + 1, dtype=np.int64)
                 for i in range(len(bounds) - 1):
-                    pairs = np.array([(s["low"], s["high"]) for s in spans[first + i]], dtype=np.int64)
-                    np.add.at(wanted, pairs[:, 0] + bounds[i], 1)
-                    np.add.at(wanted, pairs[:, 1] + bounds[i] + 1, -1)
+                    low, high = _starts(places[first + i])
+                    np.add.at(wanted, low + bounds[i], 1)
+                    np.add.at(wanted, high + bounds[i] + 1, -1)
                 start = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
                 doc = np.searchsorted(bounds, start, side="right") - 1
                 at = start - bounds[doc]
@@ -138,12 +145,12 @@ def kept_rows(window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
             total, removed, kept = [], [], []
-            for text, spans in zip(part["text"], part["spans"], strict=True):
+            for text, places in zip(part["text"], part["places"], strict=True):
                 words = encoded_words(text)
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
-                for s in spans if spans is not None else ():
-                    gone[s["low"]] += 1
-                    gone[s["high"] + window] -= 1
+                low, high = _starts(places if places is not None else [])
+                np.add.at(gone, low, 1)
+                np.add.at(gone, high + window, -1)
                 stay = np.cumsum(gone)[:-1] == 0
                 total.append(len(words))
                 removed.append(len(words) - int(stay.sum()))
@@ -156,18 +163,15 @@ def kept_rows(window: int):
     return run
 
 
-def repeated_spans(rows: DataFrame) -> DataFrame:
-    """Per document: ranges whose hash occurs at least twice, or was settled in its batch."""
+def repeated_spans(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Per document: places whose hash occurs at least twice, or was settled in its batch."""
     # dealt by h before the rest of the hash is taken out of ``mark``, so that no row travels wider
     dealt = rows.repartition("h").withColumn("g", F.shiftright("mark", 32))
     counted = dealt.withColumn("n", F.count("*").over(Window.partitionBy("h", "g")))
-    low = F.col("place").bitwiseAND(F.lit((1 << 40) - 1)).cast("int")
-    span = F.struct(low.alias("low"), (low + F.shiftright("place", 40)).cast("int").alias("high"))
+    tag = F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
     return (
-        counted.where("known or n > 1")
-        .select("_rid", F.col("mark").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("_tag"), span.alias("span"))
-        .groupBy(*ROW_KEY)
-        .agg(F.collect_set("span").alias("spans"))
+        counted.where("known or n > 1").select("_rid", tag.alias("_tag"), "place")
+        .groupBy(*key).agg(F.collect_list("place").alias("places"))
     )
 
 
@@ -184,13 +188,15 @@ def substring_dedup(
     if window < period:
         raise ValueError("a window must be at least as long as the period")
     picked = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    texts = with_row_key(picked, plain=ids_are_keys(picked)).select(*ROW_KEY, "text")
+    plain = ids_are_keys(picked)
+    key = ROW_KEY[:1] if plain else ROW_KEY
+    texts = with_row_key(picked, plain).select(*ROW_KEY, "text")
     anchors = texts.where("text is not null").mapInPandas(anchor_rows(window, period, cover), ROWS)
     # both joins need the texts dealt by the row key: Spark shuffles them once and reads them twice
-    around = texts.join(repeated_spans(anchors), ROW_KEY)
+    around = texts.join(repeated_spans(anchors, key), key).select(*ROW_KEY, "text", "places")
     windows = around.mapInPandas(window_rows(window), ROWS)
-    gone = repeated_spans(windows)
-    out = texts.join(gone, ROW_KEY, "left").mapInPandas(
+    gone = repeated_spans(windows, key)
+    out = texts.join(gone, key, "left").select(*ROW_KEY, "text", "places").mapInPandas(
         kept_rows(window), "_rid bigint, _tag int, n_words bigint, n_removed bigint, kept_text string"
     )
     return out.select(key_to_id(), "n_words", "n_removed", "kept_text")
