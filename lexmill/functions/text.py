@@ -141,3 +141,19 @@ def is_temporal(c: Column) -> Column:
 def occurrences(c: Column, piece: str) -> Column:
     """Non-overlapping occurrences of a literal."""
     return (F.length(c) - F.length(F.replace(c, F.lit(piece), F.lit("")))) / F.lit(len(piece))
+
+
+def first_of_each(values: Column) -> Column:
+    """Structs (pos, value) of the first of every value, whatever its case; n log n, without a shuffle.
+
+    Sorted by folded value and position, the first of each run differs from the entry before it.
+    """
+    rows = F.sort_array(F.transform(values, lambda v, i: F.struct(F.lower(v).alias("k"), i.alias("pos"), v.alias("value"))))
+
+    def heads(s: Column) -> Column:
+        before = F.concat(F.array(F.lit(None).cast("string")), F.transform(s, lambda x: x["k"]))
+        marked = F.zip_with(s, F.slice(before, 1, F.size(s)), lambda x, b: F.when(b.isNull() | (b != x["k"]), x))
+        return F.transform(F.filter(marked, lambda x: x.isNotNull()), lambda x: F.struct(x["pos"].alias("pos"), x["value"].alias("value")))
+
+    # bound once as a lambda variable, so the sort is not repeated
+    return F.element_at(F.transform(F.array(rows), heads), 1)

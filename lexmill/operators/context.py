@@ -152,15 +152,19 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
 
 
 def prompt_ladder(chunks: DataFrame, group: list[str], size: str, verbose: int, concise: int, cap: int = C.PROMPT_CHARS) -> DataFrame:
-    """Longest prefix of the packed chunks that fits, and which wording it forces."""
+    """Longest prefix of the packed chunks that fits, and which wording it forces.
+
+    A group without chunks is one row with a NULL rank and size.  Only an empty prompt that is
+    itself too long is minimal.
+    """
     upto = Window.partitionBy(*group).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     sized = chunks.withColumn("_upto", F.sum(size).over(upto))
     per = sized.groupBy(*group).agg(
-        F.max("_upto").alias("total"), F.count("*").alias("n"),
+        F.coalesce(F.max("_upto"), F.lit(0)).alias("total"), F.count("rank").alias("n"),
         F.count_if(F.col("_upto") + concise <= cap).alias("fits"))
     mode = (
         F.when(F.col("total") + verbose <= cap, "verbose").when(F.col("total") + concise <= cap, "concise")
-        .when(F.col("fits") > 0, "truncated").otherwise("minimal")
+        .when(F.lit(concise <= cap), "truncated").otherwise("minimal")
     )
     used = F.when(mode.isin("verbose", "concise"), F.col("n")).otherwise(F.col("fits"))
     return per.select(*group, mode.alias("mode"), used.alias("chunks_used"))

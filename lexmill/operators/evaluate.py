@@ -110,10 +110,11 @@ def entity_matches(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def precision_at_k(retrieved: DataFrame, expected: DataFrame, k: int) -> DataFrame:
-    """Title hits in the first k rows, divided by k and not by the rows returned."""
+    """Title hits in the first k rows, divided by k and not by the rows returned; every expected query has a row."""
     top = retrieved.where(F.col("pos") <= k).select("query_id", "pos", normalized(F.col("source_title")).alias("want"))
     wanted = expected.select("query_id", normalized(F.col("expected")).alias("want"), F.lit(1).alias("hit")).distinct()
-    rows = top.join(wanted, ["query_id", "want"], "left")
+    hits = top.join(wanted, ["query_id", "want"]).select("query_id", "hit")
+    rows = expected.select("query_id").distinct().join(hits, "query_id", "left")
     return rows.groupBy("query_id").agg(F.count("hit").alias("hits")).select("query_id", "hits", F.round(F.col("hits") / k, 4).alias("precision"))
 
 
@@ -159,8 +160,10 @@ def fidelity(answer: Column) -> Column:
     """Struct (sentences, grounded): sentences whose first citation is a context title."""
     sentences = F.filter(F.split(answer, "[.!?]+"), lambda s: text.strip(s) != "")
 
+    titles = F.transform("titles", text.fold_apostrophes)
+
     def grounded(s: Column) -> Column:
-        return F.array_contains("titles", F.lower(text.strip(F.regexp_extract(s, C.CITATION, 1))))
+        return F.array_contains(titles, text.fold_apostrophes(F.lower(text.strip(F.regexp_extract(s, C.CITATION, 1)))))
 
     return F.struct(F.size(sentences).alias("sentences"), F.size(F.filter(sentences, grounded)).alias("grounded"))
 

@@ -147,10 +147,11 @@ def prefix_hits(span_table: DataFrame, evidence: DataFrame) -> DataFrame:
 
 
 def grounding(queries: DataFrame, message: str, titles: DataFrame, title: str, evidence: DataFrame) -> DataFrame:
-    """(query_id, grounded): NULL without a span, true if one is known, else false."""
+    """(query_id, grounded): NULL without a span or without any known title, true if one is known, else false."""
     found = match_spans(queries, message)
     hits = exact_hits(found, titles, title).select("query_id").union(prefix_hits(found, evidence).select("query_id")).distinct()
-    named = F.size(spans(F.col(message), False)) > 0
+    any_title = titles.agg(F.count(title) > 0).scalar()
+    named = (F.size(spans(F.col(message), False)) > 0) & any_title
     hit = hits.withColumn("hit", F.lit(True))
     return queries.select("query_id", named.alias("named")).join(hit, "query_id", "left").select(
         "query_id", F.when(F.col("named"), F.coalesce("hit", F.lit(False))).alias("grounded"))
@@ -163,14 +164,12 @@ def relevance_aggregate(rows: DataFrame) -> DataFrame:
     good = ~F.col("is_noise")
     corpus = good & (F.coalesce("source_type", F.lit("local")) != "web")
     web = good & (F.col("source_type") == "web")
-    tenths = F.round(F.coalesce("score", F.lit(0.0)) * 10000).cast("bigint")
     return rows.groupBy("query_id").agg(
         F.count("*").alias("n_rows"),
         F.max(F.when(good, F.col("rerank_score"))).alias("max_rel"),
         F.max(F.when(corpus, F.col("rerank_score"))).alias("corpus_max"),
         F.max(F.when(web, F.col("rerank_score"))).alias("web_max"),
-        # summed as ten-thousandths, so the mean does not depend on the order of addition
-        F.round(F.sum(F.when(good, tenths)) / F.count_if(good) / 10000, 6).alias("avg_score"),
+        F.round(F.avg(F.when(good, F.coalesce("score", F.lit(0.0)))), 6).alias("avg_score"),
         F.coalesce(F.max(F.when(good, F.col("temporal"))), F.lit(False)).alias("temporal"),
         F.count_if(good).alias("evidence_count"),
     )
@@ -261,7 +260,7 @@ def capability(asked: DataFrame, verdict: DataFrame, balance: DataFrame) -> Data
     weak = F.col("status") == STATUS[1]
     grade = F.when(empty | narrow, "insufficient").when(weak | lopsided | stale, "partial").otherwise("full")
     why = (
-        F.when(empty, F.concat(F.lit("quality_empty:"), "reason")).when(narrow, "comparison_entity_coverage")
+        F.when(F.col("evidence_count") == 0, "no_evidence").when(empty, F.concat(F.lit("quality_empty:"), "reason")).when(narrow, "comparison_entity_coverage")
         .when(stale, "no_temporal_evidence").when(lopsided, "unbalanced_entities").when(weak, "weak_evidence").otherwise("sufficient")
     )
     return rows.select("query_id", "asked", grade.alias("capability"), why.alias("reason"))

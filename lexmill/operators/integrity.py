@@ -66,6 +66,11 @@ def migrated_side(clusters: DataFrame, stored: DataFrame, fresh: DataFrame, samp
 
 # ---------------------------------------------------------------- keys
 
+def present(key: str) -> Column:
+    """A key that is there; an empty string is none."""
+    return F.coalesce(F.col(key).cast("string") != "", F.lit(False))
+
+
 def orphan_reason(children: DataFrame, parents: DataFrame, key: str, second: str) -> DataFrame:
     """Children without their keys or without a parent, with the first reason.
 
@@ -74,16 +79,18 @@ def orphan_reason(children: DataFrame, parents: DataFrame, key: str, second: str
     is cut up by the adaptive skew join.
     """
     known = parents.select(F.col(key).cast("string").alias("_k")).distinct().withColumn("_hit", F.lit(True))
-    whole = F.col(key).isNotNull() & F.col(second).isNotNull()
+    whole = present(key) & present(second)
     probe = F.when(whole, F.col(key).cast("string")).otherwise(F.concat(F.lit("missing-"), F.xxhash64(*children.columns).cast("string")))
     joined = children.withColumn("_k", probe).join(known, "_k", "left")
-    reason = F.when(F.col(key).isNull(), "missing_parent").when(F.col(second).isNull(), "missing_second_key").when(
+    reason = F.when(~present(key), "missing_parent").when(~present(second), "missing_second_key").when(
         F.col("_hit").isNull(), "unknown_parent")
     return joined.withColumn("reason", reason).drop("_k", "_hit")
 
 
-def children_count(children: DataFrame, key: str, second: str) -> DataFrame:
-    return children.where(F.col(key).isNotNull() & F.col(second).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
+def children_count(children: DataFrame, parents: DataFrame, key: str, second: str) -> DataFrame:
+    """Children with both keys per known parent; counted first, so the join sees one row per key."""
+    counts = children.where(present(key) & present(second)).groupBy(key).agg(F.count("*").alias("n"))
+    return counts.join(parents.select(key).distinct(), key, "left_semi")
 
 
 def childless(parents: DataFrame, children: DataFrame, key: str) -> DataFrame:

@@ -146,13 +146,17 @@ LIMITS_SQL = "CASE provider WHEN 'gemini' THEN 1500 WHEN 'groq' THEN 14400 END"
 
 @query("usage_daily", "WITH " + EVENTS + f"""
 SELECT day AS "date", provider, surface, count(*) AS requests, CAST(sum(prompt_tokens) AS BIGINT) AS prompt_tokens, CAST(sum(completion_tokens) AS BIGINT) AS completion_tokens,
-  count(*) FILTER (fallback) AS fallbacks, round(100.0 * count(*) / {LIMITS_SQL}, 1) AS pct_limit FROM usage GROUP BY 1, 2, 3""")
+  count(*) FILTER (fallback) AS fallbacks, round(100.0 * sum(count(*)) OVER (PARTITION BY day, provider) / {LIMITS_SQL}, 1) AS pct_limit FROM usage GROUP BY 1, 2, 3""")
 def usage_daily(spark, d):
     limit = F.coalesce(*[F.when(F.col("provider") == p, n) for p, n in C.DAILY_LIMITS.items()])
     per = usage_of(spark, d).groupBy(F.col("day").alias("date"), "provider", "surface").agg(
         F.count("*").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"),
         F.count_if("fallback").alias("fallbacks"))
-    return per.withColumn("pct_limit", F.round(100.0 * F.col("requests") / limit, 1))
+    from pyspark.sql import Window
+
+    # the limit is the provider's for the day, so all of its surfaces count; a row per surface from here on
+    day = F.sum("requests").over(Window.partitionBy("date", "provider"))
+    return per.withColumn("pct_limit", F.round(100.0 * day / limit, 1))
 
 
 @query("usage_rollup", "WITH " + EVENTS + """
@@ -194,9 +198,12 @@ def judged(spark, d):
         F.when(F.col("lang") == "en", "LOCAL_ONLY").when(F.col("lang") == "fr", "LOCAL_PLUS_WEB").alias("merge_state"), "quality", "toxic", "text")
 
 
-@query("golden_runs_join", "WITH " + GOLDEN + f" SELECT doc_id, length(text) AS answer_chars FROM judged WHERE NOT should_refuse AND NOT errored AND {S.strip('text')} <> ''")
+@query("golden_runs_join", "WITH " + GOLDEN + f" SELECT doc_id, length(text) AS answer_chars FROM judged WHERE NOT should_refuse AND toxic = 0 AND NOT errored AND {S.strip('text')} <> ''")
 def golden_runs_join(spark, d):
-    golden = table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("should_refuse"))
+    """Golden records with a reference answer (toxic ones have none) and a run that gave an answer."""
+    reference = F.when(F.col("toxic") == 0, F.concat(F.lit("reference "), F.col("doc_id").cast("string")))
+    golden = table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).alias("should_refuse"), reference.alias("reference"))
+    golden = golden.where(~text.blank(F.col("reference")))
     runs = table(spark, d, "documents").select("doc_id", F.col("text").alias("answer"), F.when(F.col("lang") == "es", "failed").alias("error"))
     rows = golden.where(~F.col("should_refuse")).join(runs.where(F.col("error").isNull() & ~text.blank(F.col("answer"))), "doc_id")
     return rows.select("doc_id", F.length("answer").cast("bigint").alias("answer_chars"))
@@ -288,7 +295,8 @@ def expected(spark, d):
 
 @query("precision_at_k", S.LOCAL + "," + EXPECTED + """
 SELECT query_id, count(*) FILTER (hit) AS hits, round(count(*) FILTER (hit) / 5, 4) AS precision FROM (
-  SELECT query_id, EXISTS (SELECT 1 FROM expected e WHERE e.query_id = l.query_id AND lower(trim(e.expected)) = lower(trim(l.source_title))) AS hit FROM local l WHERE pos <= 5) GROUP BY query_id""")
+  SELECT g.query_id, EXISTS (SELECT 1 FROM expected e WHERE e.query_id = l.query_id AND lower(trim(e.expected)) = lower(trim(l.source_title))) AS hit
+  FROM (SELECT DISTINCT query_id FROM expected) g LEFT JOIN (SELECT * FROM local WHERE pos <= 5) l ON l.query_id = g.query_id) GROUP BY query_id""")
 def precision_at_k(spark, d):
     return evaluate.precision_at_k(local_candidates(spark, d), expected(spark, d), 5)
 
@@ -314,10 +322,10 @@ def entity_coverage(spark, d):
 @query("ablation_summary", f"""
 WITH lists AS ({MODES_SQL}), {EXPECTED},
 t AS (SELECT l.mode, l.query_id, d.source FROM lists l JOIN documents d ON d.doc_id = l.id),
-p AS (SELECT mode, query_id, count(*) FILTER (source IN (SELECT expected FROM expected e WHERE e.query_id = t.query_id)) / {LIMIT} AS precision FROM t GROUP BY ALL),
+p AS (SELECT mode, query_id, count(*) FILTER (source IN (SELECT expected FROM expected e WHERE e.query_id = t.query_id)) / least(count(*), {LIMIT}) AS precision FROM t GROUP BY ALL),
 c AS (SELECT mode, query_id, avg(found::INT) AS coverage FROM (SELECT mode, e.query_id, EXISTS (SELECT 1 FROM t WHERE t.mode = m.mode AND t.query_id = e.query_id AND t.source = e.expected) AS found
   FROM expected e, (SELECT DISTINCT mode FROM lists) m) GROUP BY ALL),
-s AS (SELECT mode, round(avg(precision), 4) AS mean_precision, round(avg(coverage), 4) AS mean_coverage, count(*) AS n FROM p JOIN c USING (mode, query_id) GROUP BY mode)
+s AS (SELECT mode, round(avg(coalesce(precision, 0)), 4) AS mean_precision, round(avg(coverage), 4) AS mean_coverage, count(*) AS n FROM c LEFT JOIN p USING (mode, query_id) GROUP BY mode)
 SELECT *, mean_precision > (SELECT max(o.mean_precision) FROM s o WHERE o.mode <> s.mode) AS wins FROM s""")
 def ablation_summary(spark, d):
     """Mean precision and coverage per retrieval mode; a mode wins only when it beats all others."""
@@ -327,13 +335,14 @@ def ablation_summary(spark, d):
     lists = materialize(modes(spark, d).join(docs, "id"), "modes")
     golden = materialize(expected(spark, d).select("query_id", F.col("expected").alias("want")), "golden")
     hits = lists.join(golden.distinct().withColumn("hit", F.lit(1)), ["query_id", "want"], "left")
-    precision = hits.groupBy("mode", "query_id").agg((F.count("hit") / LIMIT).alias("precision"))
+    precision = hits.groupBy("mode", "query_id").agg((F.count("hit") / F.least(F.count("*"), F.lit(LIMIT))).alias("precision"))
     got = lists.select("mode", "query_id", "want").distinct().withColumn("hit", F.lit(1))
     names = F.explode(F.array(*[F.lit(m) for m in ("dense", "bm25", "hybrid", "hybrid_rerank")])).alias("mode")
     coverage = golden.select("query_id", "want", names).join(got, ["mode", "query_id", "want"], "left").groupBy("mode", "query_id").agg(
         (F.count("hit") / F.count("*")).alias("coverage"))
-    per = precision.join(coverage, ["mode", "query_id"]).groupBy("mode").agg(
-        F.round(F.avg("precision"), 4).alias("mean_precision"), F.round(F.avg("coverage"), 4).alias("mean_coverage"), F.count("*").alias("n"))
+    # a query without rows counts as 0
+    per = coverage.join(precision, ["mode", "query_id"], "left").groupBy("mode").agg(
+        F.round(F.avg(F.coalesce("precision", F.lit(0.0))), 4).alias("mean_precision"), F.round(F.avg("coverage"), 4).alias("mean_coverage"), F.count("*").alias("n"))
     # one row per mode from here on: a mode wins if the runner-up stays below it
     best = Window.orderBy(F.desc("mean_precision"))
     alone = F.lead("mean_precision").over(best) < F.col("mean_precision")
@@ -385,9 +394,12 @@ def refusal_check(spark, d):
     return answers(spark, d).groupBy("role").agg(F.count_if(evaluate.is_refusal(F.col("answer"))).alias("refusals"), F.count("*").alias("n"))
 
 
+CURLED = "translate({x}, '" + C.CURLY_APOSTROPHES + "', '" + "''" * len(C.CURLY_APOSTROPHES) + "')"
+
+
 @query("grounding_fidelity", "WITH " + ANSWERS + f""",
 s AS (SELECT conv_id, turn, titles, list_filter(string_split_regex(answer, '[.!?]+'), lambda x: {S.strip('x')} <> '') AS s FROM a),
-g AS (SELECT *, list_filter(s, lambda x: list_contains(titles, lower(regexp_extract(x, '\\(Source:\\s*''([^'']+)''\\)', 1)))) AS g FROM s)
+g AS (SELECT *, list_filter(s, lambda x: list_contains(list_transform(titles, lambda t: {CURLED.format(x='t')}), {CURLED.format(x="lower(regexp_extract(x, '\\(Source:\\s*''([^'']+)''\\)', 1))")})) AS g FROM s)
 SELECT conv_id, turn, CAST(len(s) AS INTEGER) AS sentences, CAST(len(g) AS INTEGER) AS grounded, CASE WHEN len(s) > 0 THEN round(len(g) / len(s), 4) ELSE 0.0 END AS fidelity,
   CASE WHEN len(s) > 0 THEN round(1.0 - (len(s) - len(g)) / len(s), 4) ELSE 0.0 END AS avoidance FROM g""")
 def grounding_fidelity(spark, d):
@@ -430,23 +442,20 @@ def routing_accuracy_determinism(spark, d):
 
 
 @query("regression_case_check", "WITH " + TASK_SQL + """,
-c AS (SELECT conv_id * 1000 + turn AS case_id, ta = want AS routing_ok, CASE WHEN length(text) > 200 THEN 'full' ELSE 'partial' END = CASE role WHEN 'user' THEN 'partial' ELSE 'full' END AS capability_ok,
+c AS (SELECT conv_id, turn, ta = want AS routing_ok, CASE WHEN length(text) > 200 THEN 'full' ELSE 'partial' END = CASE role WHEN 'user' THEN 'partial' ELSE 'full' END AS capability_ok,
   CASE role WHEN 'user' THEN regexp_matches(text, '(?i)(the|les)') WHEN 'assistant' THEN regexp_matches(text, '[A-Z][a-z]+ .*,') ELSE regexp_matches(text, '^[0-9]') END AS structure_ok FROM r)
 SELECT *, routing_ok AND capability_ok AND structure_ok AS passed, round(avg((routing_ok AND capability_ok AND structure_ok)::INT) OVER (), 4) AS stability FROM c""")
 def regression_case_check(spark, d):
     """Expected against actual task, capability and answer shape, each case with its own pattern."""
     log = spread(table(spark, d, "conversations"), "conv_id")
-    case_id = F.col("conv_id") * 1000 + F.col("turn")
     role = F.col("role")
-    cases = log.select(
-        case_id.alias("case_id"), F.when(role == "system", "factual").otherwise("open").alias("task"), F.when(role == "user", "partial").otherwise("full").alias("capability"),
-        F.when(role == "user", "(?i)(the|les)").when(role == "assistant", "[A-Z][a-z]+ .*,").otherwise("^[0-9]").alias("pattern"))
-    actual = log.select(
-        case_id.alias("case_id"), gate.primary_task(gate.intent_signals(F.col("text"))).alias("got_task"),
-        F.when(F.length("text") > 200, "full").otherwise("partial").alias("got_capability"), "text")
-    checks = cases.join(actual, "case_id").select(
-        "case_id", (F.col("task") == F.col("got_task")).alias("routing_ok"), (F.col("capability") == F.col("got_capability")).alias("capability_ok"),
-        F.rlike("text", F.col("pattern")).alias("structure_ok"))
+    task = F.when(role == "system", "factual").otherwise("open")
+    wanted = F.when(role == "user", "partial").otherwise("full")
+    shape = F.when(role == "user", "(?i)(the|les)").when(role == "assistant", "[A-Z][a-z]+ .*,").otherwise("^[0-9]")
+    checks = log.select(
+        "conv_id", "turn", (task == gate.primary_task(gate.intent_signals(F.col("text")))).alias("routing_ok"),
+        (wanted == F.when(F.length("text") > 200, "full").otherwise("partial")).alias("capability_ok"),
+        F.rlike("text", shape).alias("structure_ok"))
     checks = checks.withColumn("passed", F.col("routing_ok") & F.col("capability_ok") & F.col("structure_ok"))
     rate = checks.agg(evaluate.ratio(F.count_if("passed"), F.count("*"))).scalar()
     return checks.withColumn("stability", rate)

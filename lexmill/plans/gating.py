@@ -213,7 +213,7 @@ def prefix_title_grounding(spark, d):
 
 
 @query("grounding_verdict", "WITH " + GROUND_SQL + """
-SELECT query_id, CASE WHEN len(verdict) > 0 THEN query_id IN (SELECT query_id FROM exact_hits UNION SELECT query_id FROM prefix_hits) END AS grounded FROM asked""")
+SELECT query_id, CASE WHEN len(verdict) > 0 AND EXISTS (SELECT 1 FROM known) THEN query_id IN (SELECT query_id FROM exact_hits UNION SELECT query_id FROM prefix_hits) END AS grounded FROM asked""")
 def grounding_verdict(spark, d):
     return gate.grounding(part_queries(spark, d), "ask", known_titles(spark, d), "title", part_evidence(spark, d))
 
@@ -231,7 +231,7 @@ def aggregate_sql(rows: str, name: str) -> str:
 {name} AS (SELECT query_id, count(*) AS n_rows, max(rerank_score) FILTER (NOT is_noise) AS max_rel,
   max(rerank_score) FILTER (NOT is_noise AND source_type <> 'web') AS corpus_max,
   max(rerank_score) FILTER (NOT is_noise AND source_type = 'web') AS web_max,
-  round(sum(CAST(round(score * 10000) AS BIGINT)) FILTER (NOT is_noise) / count(*) FILTER (NOT is_noise) / 10000, 6) AS avg_score,
+  round(avg(coalesce(score, 0)) FILTER (NOT is_noise), 6) AS avg_score,
   coalesce(bool_or(temporal) FILTER (NOT is_noise), FALSE) AS temporal,
   count(*) FILTER (NOT is_noise) AS evidence_count FROM {rows} GROUP BY query_id)"""
 
@@ -355,10 +355,10 @@ ASKED = {"plain": [], "comparison": ["comparison"], "temporal": ["temporal"], "b
 per AS (SELECT query_id, coalesce(nullif(retrieval_context, ''), nullif(source_title, '')) AS entity, count(*) AS c FROM local GROUP BY ALL),
 bal AS (SELECT query_id, count(*) AS entities, count(*) < 2 OR max(c) > 3 * min(c) AS unbalanced FROM per WHERE entity IS NOT NULL GROUP BY query_id),
 kinds AS (SELECT * FROM (VALUES ('plain', FALSE, FALSE), ('comparison', TRUE, FALSE), ('temporal', FALSE, TRUE), ('both', TRUE, TRUE)) AS k(asked, cmp, dated)),
-j AS (SELECT v.query_id, asked, status, reason, cmp, cmp AND coalesce(entities, 0) < 2 AS narrow, cmp AND coalesce(unbalanced, TRUE) AS lop, dated AND NOT temporal AS stale
+j AS (SELECT v.query_id, asked, status, reason, evidence_count, cmp, cmp AND coalesce(entities, 0) < 2 AS narrow, cmp AND coalesce(unbalanced, TRUE) AS lop, dated AND NOT temporal AS stale
   FROM v CROSS JOIN kinds LEFT JOIN bal USING (query_id) WHERE provider = 'local')
 SELECT query_id, asked, CASE WHEN status = 'quality_empty' OR narrow THEN 'insufficient' WHEN status = 'quality_weak' OR lop OR stale THEN 'partial' ELSE 'full' END AS capability,
-  CASE WHEN status = 'quality_empty' THEN 'quality_empty:' || reason WHEN narrow THEN 'comparison_entity_coverage' WHEN stale THEN 'no_temporal_evidence'
+  CASE WHEN evidence_count = 0 THEN 'no_evidence' WHEN status = 'quality_empty' THEN 'quality_empty:' || reason WHEN narrow THEN 'comparison_entity_coverage' WHEN stale THEN 'no_temporal_evidence'
     WHEN lop THEN 'unbalanced_entities' WHEN status = 'quality_weak' THEN 'weak_evidence' ELSE 'sufficient' END AS reason FROM j""")
 def capability_verdict(spark, d):
     """Every query asked plainly, as a comparison and as a question about now."""

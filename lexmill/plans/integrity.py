@@ -48,9 +48,9 @@ def childless_parents(spark, d):
     return integrity.childless(owners, children, "parent_id")
 
 
-@query("children_per_parent", "WITH " + LINES + "SELECT parent_id, count(*) AS n FROM lines WHERE parent_id IS NOT NULL AND second_id IS NOT NULL GROUP BY 1")
+@query("children_per_parent", "WITH " + LINES + "SELECT parent_id, count(*) AS n FROM lines WHERE second_id IS NOT NULL AND parent_id IN (SELECT parent_id FROM parents) GROUP BY 1")
 def children_per_parent(spark, d):
-    return integrity.children_count(lines(spark, d), "parent_id", "second_id")
+    return integrity.children_count(lines(spark, d), parents(spark, d), "parent_id", "second_id")
 
 
 @query("duplicate_keys", """

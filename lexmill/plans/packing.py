@@ -181,12 +181,13 @@ VERBOSE, CONCISE, LABEL = 900, 400, 24
 
 @query("prompt_budget_ladder", ASSEMBLED + f""",
 k AS (SELECT task, query_id, generate_subscripts(kept, 1) AS rank, unnest(kept).used AS used FROM parted),
-per AS (SELECT task, query_id, max(used + rank * {LABEL}) AS total, count(*) AS n, count(*) FILTER (used + rank * {LABEL} + {CONCISE} <= {C.PROMPT_CHARS}) AS fits FROM k GROUP BY ALL),
-m AS (SELECT task, CASE WHEN total + {VERBOSE} <= {C.PROMPT_CHARS} THEN 'verbose' WHEN total + {CONCISE} <= {C.PROMPT_CHARS} THEN 'concise' WHEN fits > 0 THEN 'truncated' ELSE 'minimal' END AS mode, n, fits FROM per)
+per AS (SELECT task, query_id, coalesce(max(used + rank * {LABEL}), 0) AS total, count(rank) AS n, count(*) FILTER (used + rank * {LABEL} + {CONCISE} <= {C.PROMPT_CHARS}) AS fits
+  FROM (SELECT DISTINCT task, query_id FROM parted) LEFT JOIN k USING (task, query_id) GROUP BY ALL),
+m AS (SELECT task, CASE WHEN total + {VERBOSE} <= {C.PROMPT_CHARS} THEN 'verbose' WHEN total + {CONCISE} <= {C.PROMPT_CHARS} THEN 'concise' WHEN {CONCISE} <= {C.PROMPT_CHARS} THEN 'truncated' ELSE 'minimal' END AS mode, n, fits FROM per)
 SELECT task, mode, count(*) AS n, CAST(sum(CASE WHEN mode IN ('verbose', 'concise') THEN n ELSE fits END) AS BIGINT) AS chunks_used FROM m GROUP BY ALL""")
 def prompt_budget_ladder(spark, d):
     """How many packed contexts fit which wording; LABEL characters frame each chunk."""
-    kept = assembled(merged(spark, d)).select("task", "query_id", F.posexplode("kept").alias("n", "k"))
+    kept = assembled(merged(spark, d)).select("task", "query_id", F.posexplode_outer("kept").alias("n", "k"))
     before = F.col("k.used")
     sized = kept.select("task", "query_id", (F.col("n") + 1).alias("rank"), before.alias("used"))
     from pyspark.sql import Window

@@ -40,10 +40,10 @@ def chunk_text_normalize(spark, d):
 WITH t AS (SELECT doc_id, unnest({S.words('text')}) AS value, generate_subscripts({S.words('text')}, 1) - 1 AS pos FROM documents)
 SELECT doc_id, CAST(min(pos) AS INTEGER) AS pos, arg_min(value, pos) AS value FROM t GROUP BY doc_id, lower(value)""")
 def array_dedupe_ci(spark, d):
-    """Words of each document, each once whatever its case; the counts combine map-side."""
-    words = spread(table(spark, d, "documents"), "doc_id").select("doc_id", F.posexplode(text.split_words(F.col("text"))).alias("pos", "value"))
-    first = words.groupBy("doc_id", F.lower("value").alias("k")).agg(F.min(F.struct("pos", "value")).alias("f"))
-    return first.select("doc_id", "f.pos", "f.value")
+    """Words of each document, each once whatever its case; all of it inside the row."""
+    docs = spread(table(spark, d, "documents"), "doc_id")
+    first = text.first_of_each(text.split_words(F.col("text")))
+    return docs.select("doc_id", F.explode(first).alias("f")).select("doc_id", "f.pos", "f.value")
 
 
 TITLES = "SELECT array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || CASE WHEN p_size > 25 THEN ' (' || (1990 + p_size) || ')' ELSE '' END AS title, 1990 + p_size AS year FROM part"

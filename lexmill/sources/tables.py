@@ -49,8 +49,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def insert_if_absent(target: DataFrame, batch: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(new table, inserted rows): rows of the batch whose key is not stored yet."""
-    inserted = batch.join(target.select(key), key, "left_anti")
+    """(new table, inserted rows): rows of the batch whose key is not stored yet.
+
+    Of repeats of a new key inside the batch the smallest row is inserted.
+    """
+    rest = [c for c in batch.columns if c != key]
+    once = batch.groupBy(key).agg(F.min(F.struct(*rest)).alias("row")).select(key, "row.*").select(*batch.columns)
+    inserted = once.join(target.select(key), key, "left_anti")
     return target.unionByName(inserted), inserted
 
 
