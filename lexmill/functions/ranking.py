@@ -2,7 +2,7 @@
 
 A window without partition keys, ``percentile`` and ``median`` all gather a
 whole column in one task.  Here values are first counted per distinct value
-(combined map-side), cut into ranges at sampled bounds, summed per range, and
+(combined map-side), dealt into ranges at sampled bounds, summed per range, and
 shifted by the totals of the ranges before.
 """
 
@@ -14,30 +14,20 @@ from pyspark.sql import functions as F
 from ..session import parallelism
 from ..sources.tables import materialize
 
-MAX_RANGES = 256
-
-
 def ordered_stats(dist: DataFrame, value: str, measures: list[str]) -> DataFrame:
     """Running sums in rising order of ``value``, one input row per distinct value.
 
-    Adds ``cum_<m>`` (up to and including the row), ``tot_<m>`` and
-    ``next_<value>`` (the next larger value).  Only the range bounds, at most
-    MAX_RANGES numbers, pass through the driver.
+    Adds ``cum_<m>`` (up to and including the row), ``tot_<m>`` and ``next_<value>`` (the next
+    larger value).  Values are dealt into as many ranges as the session has shuffle partitions;
+    one row per range, its first value and sums, is what is put together in one place.
     """
-    dist = materialize(dist, "ordered")
-    ranges = min(parallelism(dist.sparkSession), MAX_RANGES)
-    probs = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(dist.approxQuantile(value, probs, 0.5 / ranges))) if probs else []
-    if bounds:
-        cuts = F.array(*[F.lit(float(b)) for b in bounds])
-        bucket = F.size(F.filter(cuts, lambda b: b < F.col(value)))
-    else:
-        bucket = F.lit(0)
-    parts = dist.withColumn("_range", bucket)
+    ranges = parallelism(dist.sparkSession)
+    dealt = dist.repartitionByRange(ranges, value).withColumn("_range", F.spark_partition_id())
+    parts = materialize(dealt, "ordered")
     totals = parts.groupBy("_range").agg(
         F.min(value).alias("_first"), *[F.sum(m).alias(f"_s_{m}") for m in measures]
     )
-    # at most MAX_RANGES rows from here on
+    # at most ``ranges`` rows from here on
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(

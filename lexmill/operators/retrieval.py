@@ -17,11 +17,9 @@ from ..session import parallelism
 
 TILE_VECTORS = 20_000
 TILE_QUERIES = 1_000
-# (query, term) pairs every task may hold, cells of one score block, texts per tile, most shuffle partitions
-MAX_QUERY_TERMS = 200_000
-BLOCK_CELLS = 4_000_000
-TILE_TEXTS = 20_000
-MAX_PARTITIONS = 20_000
+# queries scored in one pass over the texts, and cells of one score block (terms by texts)
+QUERY_BLOCK = 2_000
+BLOCK_CELLS = 2_000_000
 
 
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
@@ -52,99 +50,97 @@ def sparse_candidates(queries: DataFrame, corpus: DataFrame, key: str, body: str
     return salted_join(found, terms, ["term"], key)
 
 
-def _weights(queries: DataFrame, corpus: DataFrame, key: str, body: str, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
-    """(query terms, postings of those terms with their BM25 weight)."""
-    terms = query_terms(queries)
-    tokens = tokenized(corpus, key, body)
-    found = postings(tokens, key, terms)
-    # counted through tf, so that both readers of the postings share one shuffle
-    df = found.groupBy("term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
-    # a one-row scalar subquery, evaluated once
-    size = tokens.agg(F.struct(F.count("*").alias("n"), F.avg("doc_len").alias("avg_len"))).scalar()
-    idf = F.log(1 + (F.col("c.n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    known = df.withColumn("c", size).select("term", idf.alias("idf"), F.col("c.avg_len").alias("avg_len"))
-    norm = k1 * (1 - b + b * F.col("doc_len") / F.col("avg_len"))
-    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + norm)
-    return terms, salted_join(found, known, ["term"], key).select(key, "term", weight.alias("w"))
-
-
-def bm25_scores(queries: DataFrame, corpus: DataFrame, key: str, body: str,
-                k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
-    """(query_id, key, score) of every text sharing a term with the query.
-
-    The general way, for query tables of any size: one row per matching term.
-    """
-    terms, weights = _weights(queries, corpus, key, body, k1, b)
-    # an explicit layout by text id: the join multiplies rows, so small shuffles must not be
-    # merged into few tasks, and the final sum needs no further shuffle
-    weights = weights.repartition(parallelism(weights.sparkSession), key)
-    hits = salted_join(weights, terms, ["term"], key)
-    return hits.groupBy(key, "query_id").agg(F.round(F.sum("w"), 4).alias("score"))
-
-
 def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     """Best k per query; the rank filter becomes a group limit before the shuffle."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key))
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _counts(tokens: pd.Series, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, term, occurrences) of the known terms in a batch of token lists."""
+    lists = [[] if t is None else [codes[w] for w in t if w in codes] for t in tokens]
+    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    flat = np.fromiter((c for x in lists for c in x), dtype=np.int64, count=len(owner))
+    both, tf = np.unique(owner * max(1, len(codes)) + flat, return_counts=True)
+    return both // max(1, len(codes)), both % max(1, len(codes)), tf
+
+
+def corpus_statistics(tokens: DataFrame, codes: dict[str, int]) -> tuple[int, float, np.ndarray]:
+    """Texts, mean length, and in how many texts each known term occurs; one small row set per task."""
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # the last three counters: texts, texts with tokens known, tokens
+        totals = np.zeros(len(codes) + 3, dtype=np.int64)
+        for part in parts:
+            _, term, _ = _counts(part["toks"], codes)
+            totals[: len(codes)] += np.bincount(term, minlength=len(codes))
+            known = part["toks"].notna()
+            totals[len(codes):] += [len(part), int(known.sum()), int(part["toks"][known].map(len).sum())]
+        yield pd.DataFrame({"counter": np.arange(len(totals)), "n": totals})
+
+    # as many rows as a query block has terms
+    rows = tokens.select("toks").mapInPandas(run, "counter BIGINT, n BIGINT").groupBy("counter").agg(F.sum("n").alias("n")).collect()
+    totals = np.zeros(len(codes) + 3, dtype=np.int64)
+    for r in rows:
+        totals[r["counter"]] = r["n"]
+    texts, known, length = totals[len(codes):]
+    return int(texts), length / max(1, known), totals[: len(codes)]
+
+
+def bm25_block(wanted: dict[int, list[int]], codes: dict[str, int], tokens: DataFrame, key: str, k: int, k1: float, b: float) -> DataFrame:
+    """Best k texts of each task for a block of queries, scored where the texts lie."""
+    texts, mean_length, df = corpus_statistics(tokens, codes)
+    idf = np.log(1 + (texts - df + 0.5) / (df + 0.5))
+    width = max(1, BLOCK_CELLS // max(1, len(codes)))
+    kind = tokens.schema[key].dataType.simpleString()
+
+    def score(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        ids = part[key].to_numpy()
+        text_no, term, tf = _counts(part["toks"], codes)
+        length = np.array([0 if t is None else len(t) for t in part["toks"]])
+        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[text_no] / mean_length))
+        for first in range(0, len(ids), width):
+            lo, hi = np.searchsorted(text_no, [first, first + width])
+            grid = np.zeros((len(codes), min(width, len(ids) - first)))
+            grid[term[lo:hi], text_no[lo:hi] - first] = weight[lo:hi]
+            for q, rows_of_q in wanted.items():
+                total = grid[rows_of_q].sum(axis=0)
+                hit = np.flatnonzero(total > 0)
+                if len(hit):
+                    yield q, ids[first + hit], np.round(total[hit], 4)
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for part in parts:
+            for q, ids, scores in score(part):
+                if q in best:
+                    ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
+                pick = np.lexsort((ids, -scores))[:k]
+                best[q] = ids[pick], scores[pick]
+        for q, (ids, scores) in best.items():
+            yield pd.DataFrame({"query_id": q, key: ids, "score": scores})
+
+    return tokens.select(key, "toks").mapInPandas(run, f"query_id BIGINT, {key} {kind}, score DOUBLE")
+
+
 def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int,
-              k1: float = C.BM25_K1, b: float = C.BM25_B) -> DataFrame:
+              k1: float = C.BM25_K1, b: float = C.BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
     """BM25 top-k per query.
 
-    A query table of bounded size is held by every task: the weights of a tile
-    of texts form a term-by-text block, a query's scores are the sum of its
-    term rows, and only its k best leave the tile.  No (query, text) pair is
-    shuffled.  A larger query table takes the join of ``bm25_scores`` instead.
+    The query table is cut into blocks of about ``block`` queries, whose terms every task holds;
+    texts are counted and scored where they lie, one pass per block, and only k rows per query and
+    task are shuffled.  No posting is.
     """
-    pairs = query_terms(queries).limit(MAX_QUERY_TERMS + 1).collect()
-    if len(pairs) > MAX_QUERY_TERMS:
-        scored = bm25_scores(queries, corpus, key, body, k1, b)
-        return top_k(scored, key, k).select("query_id", "rank", key, "score")
-
-    vocabulary = {t: i for i, t in enumerate(sorted({p["term"] for p in pairs}))}
-    wanted: dict[int, list[int]] = {}
-    for p in pairs:
-        wanted.setdefault(p["query_id"], []).append(vocabulary[p["term"]])
-    block = max(64, min(4096, BLOCK_CELLS // max(1, len(vocabulary))))
-
-    _, weights = _weights(queries, corpus, key, body, k1, b)
-    # a tile, the unit one task holds in memory, has a bounded number of texts at any scale;
-    # beyond MAX_PARTITIONS a partition holds several tiles, one after the other
-    cores = parallelism(weights.sparkSession)
-    tiles = max(2 * cores, -(-corpus.count() // TILE_TEXTS))
-    partitions = min(tiles, max(2 * cores, MAX_PARTITIONS))
-    tiled = weights.withColumn("tile", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
-    kind = corpus.schema[key].dataType.simpleString()
-
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        ids, codes = np.unique(rows[key].to_numpy(), return_inverse=True)
-        columns = rows["term"].map(vocabulary).to_numpy()
-        values = rows["w"].to_numpy()
-        order = np.argsort(codes, kind="stable")
-        codes, columns, values = codes[order], columns[order], values[order]
-        out_q, out_id, out_s = [], [], []
-        for first in range(0, len(ids), block):
-            lo, hi = np.searchsorted(codes, [first, first + block])
-            width = min(block, len(ids) - first)
-            grid = np.zeros((len(vocabulary), width))
-            grid[columns[lo:hi], codes[lo:hi] - first] = values[lo:hi]
-            for q, rows_of_q in wanted.items():
-                total = grid[rows_of_q].sum(axis=0)
-                hit = np.flatnonzero(total > 0)
-                score = np.round(total[hit], 4)
-                # ids are sorted, so a stable sort breaks ties by id
-                pick = np.argsort(-score, kind="stable")[:k]
-                out_q.append(np.full(len(pick), q))
-                out_id.append(ids[first + hit[pick]])
-                out_s.append(score[pick])
-        return pd.DataFrame({"query_id": np.concatenate(out_q), key: np.concatenate(out_id), "score": np.concatenate(out_s)})
-
-    scored = (
-        tiled.repartition(partitions, "tile").groupBy("tile")
-        .applyInPandas(best, f"query_id BIGINT, {key} {kind}, score DOUBLE")
-    )
-    return top_k(scored, key, k).select("query_id", "rank", key, "score")
+    asked = queries.select("query_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("terms"))
+    blocks = max(1, -(-asked.count() // block))
+    tokens = tokenized(corpus, key, body).select(key, "toks")
+    found = None
+    for n in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
+        codes = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"] or ()}))}
+        wanted = {r["query_id"]: [codes[t] for t in sorted(r["terms"])] for r in rows if r["terms"]}
+        part = bm25_block(wanted, codes, tokens, key, k, k1, b)
+        found = part if found is None else found.unionByName(part)
+    return top_k(found, key, k).select("query_id", "rank", key, "score")
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -250,18 +246,15 @@ def rrf(lists: list[DataFrame], key: str, limit: int, k: int = C.RRF_K) -> DataF
     return top_k(fused, key, limit).select("query_id", "rank", key, "score")
 
 
-@F.pandas_udf(T.DoubleType())
-def coverage_scorer(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def coverage_score(wanted: Column, held: Column) -> Column:
     """Stand-in cross scorer: share of the query's tokens found, on a -6..6 scale."""
-    for wanted, held in parts:
-        out = []
-        for q, c in zip(wanted, held):
-            terms = set(q)
-            out.append(round(12.0 * len(terms & set(c)) / len(terms) - 6.0, 4) if terms and len(c) else None)
-        yield pd.Series(out, dtype="float64")
+    terms = F.array_distinct(wanted)
+    share = F.size(F.array_intersect(terms, held)) / F.size(terms)
+    return F.when((F.size(terms) > 0) & (F.size(held) > 0), F.round(12.0 * share - 6.0, 4))
 
 
-SCORERS: dict[str, Column] = {"coverage": coverage_scorer}
+#: Scorers by name: functions of two token columns; a model would be a pandas UDF here.
+SCORERS: dict[str, Callable[[Column, Column], Column]] = {"coverage": coverage_score}
 
 
 def rerank(candidates: DataFrame, key: str, query_tokens: str, tokens: str, limit: int, scorer: str = "coverage") -> DataFrame:

@@ -27,27 +27,22 @@ def built_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coverage(query: Column, body: Column) -> Column:
-    """Native form of the coverage scorer: -6 without a shared token, 6 with all."""
-    wanted = F.array_distinct(text.word_tokens(query))
-    held = text.word_tokens(body)
-    share = F.size(F.array_intersect(wanted, held)) / F.size(wanted)
-    return F.when((F.size(wanted) > 0) & (F.size(held) > 0), F.round(12.0 * share - 6.0, 4))
+    return retrieval.coverage_score(text.word_tokens(query), text.word_tokens(body))
 
 
 def local_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Best chunks per benchmark passage; the scorer only handles English chunks.
+    """Best chunks per benchmark passage, scored whatever their language.
 
     The lists are written once: later steps read them several times.
     """
     queries, chunks = queries_of(spark, d), chunks_of(spark, d)
     top = retrieval.bm25_topk(queries, chunks, "chunk_uuid", "content", C.BRANCH_DEPTH)
     rows = chunks.join(top, "chunk_uuid").join(queries, "query_id")
-    english = F.col("lang") == "en"
     return materialize(rows.select(
         "query_id", F.col("rank").alias("pos"), "chunk_uuid", "content", "source_title",
         F.lit("local").alias("source_type"), F.lit(None).cast("string").alias("source_url"), "chunk_index",
-        F.when(english, F.col("source")).alias("retrieval_context"), "score",
-        F.when(english, coverage(F.col("text"), F.col("content"))).alias("rerank_score"),
+        F.col("source").alias("retrieval_context"), "score",
+        coverage(F.col("text"), F.col("content")).alias("rerank_score"),
     ), "candidates")
 
 

@@ -163,9 +163,11 @@ def rrf_fusion(spark, d):
 
 def reranked(spark, d, fused: DataFrame) -> DataFrame:
     """Fused rows with the tokens of both sides, rescored and cut."""
-    docs = docs_of(spark, d).select(F.col("doc_id").alias("id"), text.word_tokens(F.col("text")).alias("c_toks"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     terms = queries_of(spark, d).select("query_id", text.word_tokens(F.col("text")).alias("q_toks"))
-    return retrieval.rerank(docs.join(fused, "id").join(terms, "query_id"), "id", "q_toks", "c_toks", LIMIT)
+    # only the texts of fused rows are cut into tokens
+    met = docs.join(fused, "id").withColumn("c_toks", text.word_tokens(F.col("text"))).drop("text")
+    return retrieval.rerank(met.join(terms, "query_id"), "id", "q_toks", "c_toks", LIMIT)
 
 
 RERANKED = f""",

@@ -161,8 +161,8 @@ LOCAL = "WITH " + CHUNKS + ", " + QUERIES + "," + bm25("c", "chunks", "chunk_uui
 local AS MATERIALIZED (
   SELECT t.query_id, t.rank AS pos, t.chunk_uuid, c.content, c.source AS source_title,
     'local' AS source_type, CAST(NULL AS VARCHAR) AS source_url, c.chunk_index,
-    CASE WHEN c.lang = 'en' THEN c.source END AS retrieval_context, t.score,
-    CASE WHEN c.lang = 'en' THEN {coverage('q.qtext', 'c.content')} END AS rerank_score
+    c.source AS retrieval_context, t.score,
+    {coverage('q.qtext', 'c.content')} AS rerank_score
   FROM c_top t JOIN chunks c USING (chunk_uuid) JOIN qry q USING (query_id))"""
 
 PAGE_TITLE = squeeze(decode("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))

@@ -12,17 +12,24 @@ import hashlib
 import time
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..operators import chunking
 from ..schemas import CHUNKS, DOCUMENTS, EVENTS
 from ..session import parallelism, scratch_path
+from ..sources.tables import materialize
 
 
-def file_stream(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
     """Parquet files of one table as a stream; the schema is fixed, never inferred."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet").parquet(folder)
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(folder)
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, state: str) -> list:
@@ -48,7 +55,7 @@ def read_batches(spark: SparkSession, table: str, schema: str) -> DataFrame:
     return spark.read.schema(f"{schema}, run STRING, batch BIGINT").option("basePath", table).parquet(table)
 
 
-def new_table(spark: SparkSession, table: str, schema: str) -> None:
+def new_table(spark: SparkSession, table: str, schema: str | StructType) -> None:
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(batch_folder(table, "new", -1))
 
 
@@ -59,54 +66,71 @@ CHUNK_ROWS = ", ".join(p.strip() for p in CHUNKS.split(",") if p.split()[0] in C
 
 
 def ingest_chunks(spark: SparkSession, folder: str, table: str, state: str) -> list:
-    """Clean, cut, filter and insert the chunks that are not stored yet."""
+    """Clean, cut and filter; insert the chunks of each owner that are not stored yet."""
     run = run_id(state)
 
     def insert(batch: DataFrame, n: int) -> None:
-        if batch.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
-            # fewer splits than cores: spread the text work
-            batch = batch.repartition(parallelism(spark), "doc_id")
+        batch = batch.repartition(parallelism(spark), "doc_id")
         fresh = chunking.build_chunks(batch).select(*CHUNK_COLUMNS)
         # the batch's own folder may hold rows of an attempt that is being repeated
         stored = read_batches(spark, table, CHUNK_ROWS).where(
-            ~((F.col("run") == run) & (F.col("batch") == n))).select("chunk_uuid")
-        fresh.join(stored, "chunk_uuid", "left_anti").write.mode("overwrite").parquet(batch_folder(table, run, n))
+            ~((F.col("run") == run) & (F.col("batch") == n))).select("chunk_uuid", "doc_id")
+        fresh.join(stored, ["chunk_uuid", "doc_id"], "left_anti").write.mode("overwrite").parquet(batch_folder(table, run, n))
 
     return run_available(file_stream(spark, folder, "documents", DOCUMENTS), insert, "append", state)
 
 
+def stored_chunks(spark: SparkSession, table: str) -> DataFrame:
+    """The chunk table: of equal chunks the one with the smallest owner, whatever arrived first.
+
+    The winners are found on narrow rows and joined back by chunk and owner.
+    """
+    rows = read_batches(spark, table, CHUNK_ROWS).select(*CHUNK_COLUMNS)
+    owner = rows.groupBy("chunk_uuid").agg(F.min(F.struct("doc_id", "chunk_index")).alias("o"))
+    return rows.join(owner.select("chunk_uuid", "o.doc_id", "o.chunk_index"), ["chunk_uuid", "doc_id", "chunk_index"]).select(*CHUNK_COLUMNS)
+
+
 def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
     """Ingest every file that is there into a new chunk table."""
     table = scratch_path(spark, "stream-chunks")
     new_table(spark, table, CHUNK_ROWS)
     ingest_chunks(spark, folder, table, scratch_path(spark, "state"))
-    stored = read_batches(spark, table, CHUNK_ROWS)
-    return stored.select(*CHUNK_COLUMNS)
+    return stored_chunks(spark, table)
 
 
 # ---------------------------------------------------------------- windowed aggregates
 
-def upsert_aggregate(spark: SparkSession, stream: DataFrame, keys: list[str]) -> tuple[DataFrame, int]:
-    """Run an aggregate in update mode; the newest row per key is its current value.
+def additive_aggregate(
+    spark: SparkSession, stream: DataFrame, keys: dict[str, Column], sums: dict[str, Column],
+    extremes: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Counters that lose nothing: every micro-batch is aggregated by itself, and read back summed.
 
-    Returns the current table and how many rows came too late for the watermark.
+    A batch writes its delta under its own number, so a repeated batch changes nothing, and a late
+    row adds to its own key however late it is: there is no watermark and no state to expire.
+    ``sums`` are added up; ``extremes`` are (min or max, column).
     """
     table, state = scratch_path(spark, "stream-agg"), scratch_path(spark, "state")
+    merge = {"min": F.min, "max": F.max}
+    extremes = extremes or {}
 
     def save(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(batch_folder(table, run_id(state), n))
+        delta(batch).write.mode("overwrite").parquet(batch_folder(table, run_id(state), n))
 
-    reports = run_available(stream, save, "update", state)
-    late = sum(op.numRowsDroppedByWatermark for r in reports for op in r.stateOperators)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in stream.schema.fields)
-    rows = read_batches(spark, table, schema)
-    rest = [c for c in stream.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), "batch")
-    return rows.groupBy(*keys).agg(newest.alias("v")).select(*keys, "v.*"), late
+    def delta(rows: DataFrame) -> DataFrame:
+        return rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
+            *[F.sum(c).alias(k) for k, c in sums.items()], *[merge[how](c).alias(k) for k, (how, c) in extremes.items()])
 
+    schema = delta(spark.createDataFrame([], stream.schema)).schema
+    new_table(spark, table, schema)
+    run_available(stream, save, "append", state)
+    rows = read_batches(spark, table, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
+    return rows.groupBy(*keys).agg(
+        *[F.sum(k).alias(k) for k in sums], *[merge[how](k).alias(k) for k, (how, _) in extremes.items()])
 
-def usage_stream(spark: SparkSession, folder: str) -> DataFrame:
-    events = file_stream(spark, folder, "events", EVENTS)
+
+def usage_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    events = file_stream(spark, folder, "events", EVENTS, files_per_batch)
     k = F.from_json("props", "k BIGINT")["k"]
     surface = F.element_at(F.array(F.lit("chat"), F.lit("eval"), F.lit("ingest")), (F.pmod(k, F.lit(3)) + 1).cast("int"))
     provider = F.when(F.col("event_type").isin("click", "view", "error"), "groq").otherwise("gemini")
@@ -115,37 +139,38 @@ def usage_stream(spark: SparkSession, folder: str) -> DataFrame:
         (k * 10).alias("prompt_tokens"), k.alias("completion_tokens"), (F.col("event_type") == "error").cast("bigint").alias("fallback"))
 
 
-def stream_usage_daily(spark: SparkSession, folder: str, lateness: str = "1 day") -> DataFrame:
+def stream_usage_daily(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
     """Additive counters per UTC day; a late delta still adds to its own day."""
-    usage = usage_stream(spark, folder).withWatermark("ts", lateness)
-    per = usage.groupBy(F.window("ts", "1 day").alias("w"), "provider", "surface").agg(
-        F.count("*").alias("requests"), F.sum("prompt_tokens").alias("prompt_tokens"),
-        F.sum("completion_tokens").alias("completion_tokens"), F.sum("fallback").alias("fallbacks"))
-    flat = per.select(F.to_date("w.start").alias("day"), "provider", "surface", "requests", "prompt_tokens", "completion_tokens", "fallbacks")
-    return upsert_aggregate(spark, flat, ["day", "provider", "surface"])[0]
+    keys = {"day": F.to_date("ts"), "provider": F.col("provider"), "surface": F.col("surface")}
+    sums = {"requests": F.lit(1), "prompt_tokens": F.col("prompt_tokens"), "completion_tokens": F.col("completion_tokens"),
+            "fallbacks": F.col("fallback")}
+    return additive_aggregate(spark, usage_stream(spark, folder, files_per_batch), keys, sums)
 
 
-def stream_latency_windows(spark: SparkSession, folder: str, width: str = "12 hours", slide: str = "6 hours") -> DataFrame:
-    """Tumbling and sliding windows over span times, per span name."""
+def stream_latency_windows(
+    spark: SparkSession, folder: str, width: str = "12 hours", slide: str = "6 hours", files_per_batch: int | None = None,
+) -> DataFrame:
+    """Tumbling and sliding windows over span times, per span name; means are kept as sum and count."""
     parts = []
     for kind, step in (("tumbling", width), ("sliding", slide)):
-        spans = usage_stream(spark, folder).withWatermark("ts", "1 day")
-        per = spans.groupBy(F.window("ts", width, step).alias("w"), "event_type").agg(
-            F.count("*").alias("n"), F.avg("value").alias("avg"), F.min("value").alias("min"), F.max("value").alias("max"))
-        flat = per.select(
-            F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("window_start"), F.col("event_type").alias("name"),
-            "n", F.round("avg", 6).alias("avg"), "min", "max")
-        rows, _ = upsert_aggregate(spark, flat, ["window_start", "name"])
-        parts.append(rows.select(F.lit(kind).alias("kind"), "window_start", "name", "n", "avg", "min", "max"))
+        spans = usage_stream(spark, folder, files_per_batch).select(F.window("ts", width, step).alias("w"), "event_type", "value")
+        keys = {"window_start": F.date_format("w.start", "yyyy-MM-dd HH:mm"), "name": F.col("event_type")}
+        rows = additive_aggregate(
+            spark, spans, keys, {"n": F.lit(1), "total": F.col("value"), "valued": F.col("value").isNotNull().cast("int")},
+            {"min": ("min", "value"), "max": ("max", "value")})
+        parts.append(rows.select(
+            F.lit(kind).alias("kind"), "window_start", "name", "n",
+            F.round(F.col("total") / F.nullif("valued", F.lit(0)), 6).alias("avg"), "min", "max"))
     return parts[0].unionByName(parts[1])
 
 
 # ---------------------------------------------------------------- dimension refresh
 
 class RefreshedDimension:
-    """A dimension that is read again after ``ttl`` seconds; an empty read keeps the old one.
+    """A dimension that is read again after ``ttl`` seconds; an empty or failed read keeps the old one.
 
-    ``ttl`` of zero or less never reads again.  Only the plan is held, not rows.
+    ``ttl`` of zero or less never reads again.  Every good read is written to a folder of its own,
+    so that the rows outlive the source; the first read must succeed.
     """
 
     def __init__(self, load: Callable[[], DataFrame], ttl: float, clock: Callable[[], float] = time.monotonic):
@@ -157,10 +182,15 @@ class RefreshedDimension:
     def current(self) -> DataFrame:
         due = self.rows is None or (self.ttl > 0 and self.clock() - self.loaded_at >= self.ttl)
         if due:
-            fresh = self.load()
-            self.reads += 1
             self.loaded_at = self.clock()
-            if self.rows is None or not fresh.isEmpty():
+            try:
+                fresh = materialize(self.load(), "dimension")
+            except (PySparkException, Py4JJavaError):
+                if self.rows is None:
+                    raise
+                fresh = None
+            self.reads += 1
+            if self.rows is None or (fresh is not None and not fresh.isEmpty()):
                 self.rows = fresh
         return self.rows
 

@@ -3,10 +3,11 @@
 import pytest
 
 import __spark_entry__ as entry_module
+from lexmill import plans as registered
 from tests.oracle import compare, duck
 
 SF = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -24,5 +25,9 @@ def test_matches_sql(spark, con, name):
     assert not problems, problems
 
 
+def test_entry_offers_every_query():
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+
+
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0

@@ -4,9 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexmill.functions import ranking
+from lexmill.functions import ranking, text
 from lexmill.functions.joins import salted_join
-from lexmill.operators import evaluate, integrity, retrieval
+from lexmill.operators import context, evaluate, gate, integrity, retrieval
 from lexmill.session import scratch_path
 from lexmill.sources import tables
 from lexmill.streaming import streams
@@ -57,12 +57,30 @@ def test_salted_join_equals_join(spark):
         assert a == sorted(map(tuple, big.join(small, "k", how).select("id", "k", "v").collect()))
 
 
-def test_block_scoring_equals_the_join(spark, monkeypatch):
+def test_query_blocks_do_not_change_bm25(spark):
+    docs = tables.table(spark, SF, "documents").select("doc_id", "text")
+    queries = tables.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text").limit(12)
+    found = [
+        sorted(map(tuple, retrieval.bm25_topk(queries, docs.repartition(n), "doc_id", "text", 5, block=block).collect()))
+        for n, block in ((1, 12), (5, 7), (3, 2))
+    ]
+    assert found[0] == found[1] == found[2] and len(found[0]) == 60
+
+
+def test_bm25_shuffles_no_posting(spark):
     docs = tables.table(spark, SF, "documents").select("doc_id", "text")
     queries = tables.table(spark, SF, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    block = sorted(map(tuple, retrieval.bm25_topk(queries, docs, "doc_id", "text", 5).collect()))
-    monkeypatch.setattr(retrieval, "MAX_QUERY_TERMS", 1)
-    assert block == sorted(map(tuple, retrieval.bm25_topk(queries, docs, "doc_id", "text", 5).collect()))
+    plan = retrieval.bm25_topk(queries, docs, "doc_id", "text", 5)._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.rindex("Exchange"):]
+    assert plan.count("Exchange") == 1 and "WindowGroupLimit" in before and "toks" in before
+
+
+def test_bm25_without_texts_or_terms(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "a b"), (3, "a b")], "doc_id BIGINT, text STRING")
+    queries = spark.createDataFrame([(1, "a a"), (2, None), (3, "z")], "query_id BIGINT, text STRING")
+    assert [r["doc_id"] for r in retrieval.bm25_topk(queries, docs, "doc_id", "text", 5).collect()] == [3, 3]
+    assert retrieval.bm25_topk(queries, docs.limit(0), "doc_id", "text", 5).count() == 0
+    assert retrieval.bm25_topk(queries.limit(0), docs, "doc_id", "text", 5).count() == 0
 
 
 def test_dense_topk_is_exact_over_many_tiles(spark, monkeypatch):
@@ -128,7 +146,7 @@ def test_answer_issues(spark):
 def test_insert_if_absent_and_overwrite(spark):
     old = spark.createDataFrame([(1, "a"), (2, "b")], "id INT, v STRING")
     new = spark.createDataFrame([(2, "x"), (3, "c")], "id INT, v STRING")
-    after, inserted = tables.insert_if_absent(old, new, "id")
+    after, inserted = tables.insert_if_absent(old, new.union(new), "id")
     assert sorted(map(tuple, after.collect())) == [(1, "a"), (2, "b"), (3, "c")] and inserted.count() == 1
 
 
@@ -150,6 +168,90 @@ def test_stream_replay_adds_nothing(spark):
     assert sorted(r["n"] > 0 for r in rows.groupBy("run").agg(F.count("*").alias("n")).collect()) == [True]
 
 
+def test_late_rows_and_repeated_batches_change_nothing(spark, tmp_path):
+    whole = spark.read.parquet(f"{SF}/events.parquet")
+    for n, part in enumerate(("event_id % 3 = 2", "event_id % 3 = 0", "event_id % 3 = 1")):
+        # the first files hold the newest days
+        rows = whole.where(part).withColumn("ts", F.col("ts") + F.expr(f"INTERVAL {40 - 20 * n} DAYS"))
+        rows.coalesce(1).write.parquet(f"{tmp_path}/raw{n}")
+    one, many = tmp_path / "one", tmp_path / "many"
+    one.mkdir()
+    many.mkdir()
+    rows = None
+    for n in range(3):
+        file = next((tmp_path / f"raw{n}").glob("part-*.parquet"))
+        (many / f"events{n}.parquet").write_bytes(file.read_bytes())
+        part = spark.read.parquet(str(file))
+        rows = part if rows is None else rows.union(part)
+    rows.coalesce(1).write.parquet(f"{tmp_path}/all")
+    (one / "events.parquet").write_bytes(next((tmp_path / "all").glob("part-*.parquet")).read_bytes())
+    for job in (streams.stream_usage_daily, streams.stream_latency_windows):
+        batch = sorted(map(str, job(spark, str(one)).collect()))
+        assert batch == sorted(map(str, job(spark, str(many), files_per_batch=1).collect())) and batch
+
+
+def test_smallest_owner_whatever_arrives_first(spark, tmp_path):
+    body = " ".join(f"word{i} of a long enough sentence." for i in range(120))
+    schema = spark.read.parquet(f"{SF}/documents.parquet").schema
+    for n, i in enumerate((9, 3, 5)):
+        spark.createDataFrame([(i, body, "en", "s", len(body))], schema).coalesce(1).write.parquet(f"{tmp_path}/raw{n}")
+    folder = tmp_path / "in"
+    folder.mkdir()
+    table = scratch_path(spark, "owners")
+    streams.new_table(spark, table, streams.CHUNK_ROWS)
+    state = scratch_path(spark, "state")
+    for n in range(3):
+        (folder / f"documents{n}.parquet").write_bytes(next((tmp_path / f"raw{n}").glob("part-*.parquet")).read_bytes())
+        streams.ingest_chunks(spark, str(folder), table, state)
+    rows = streams.stored_chunks(spark, table).collect()
+    assert rows and {r["doc_id"] for r in rows} == {3} and len({r["chunk_uuid"] for r in rows}) == len(rows)
+
+
+def test_dimension_outlives_its_source(spark, tmp_path):
+    now, path = [0.0], f"{tmp_path}/dim"
+    spark.createDataFrame([(1, "a")], "k INT, v STRING").write.parquet(path)
+    dim = streams.RefreshedDimension(lambda: spark.read.parquet(path), 10, lambda: now[0])
+    assert dim.current().first()["v"] == "a"
+    spark.createDataFrame([], "k INT, v STRING").write.mode("overwrite").parquet(path)
+    now[0] = 11
+    assert [r["v"] for r in dim.current().collect()] == ["a"]
+    (tmp_path / "dim").rename(tmp_path / "gone")
+    now[0] = 22
+    assert [r["v"] for r in dim.current().collect()] == ["a"]
+    spark.createDataFrame([(1, "b")], "k INT, v STRING").write.parquet(path)
+    now[0] = 33
+    assert [r["v"] for r in dim.current().collect()] == ["b"]
+
+
+def test_results_the_tables_do_not_show(spark):
+    titles = spark.createDataFrame([("Far Cry",)], "title STRING")
+    asked = spark.createDataFrame([(1, "Tell me about Far Cry please"), (2, "what is it")], "query_id INT, m STRING")
+    none = spark.createDataFrame([], "query_id INT, source_type STRING, source_title STRING")
+    got = {r["query_id"]: r["grounded"] for r in gate.grounding(asked, "m", titles, "title", none).collect()}
+    assert got == {1: True, 2: None}
+    assert {r["grounded"] for r in gate.grounding(asked, "m", titles.limit(0), "title", none).collect()} == {None}
+
+    said = spark.createDataFrame([("It is so (Source: 'Assassin\u2019s').", ["assassin's"])], "answer STRING, titles ARRAY<STRING>")
+    assert said.select(evaluate.fidelity(F.col("answer")).alias("f")).select("f.grounded").first()[0] == 1
+
+    chunks = spark.createDataFrame([(1, None, None), (2, 1, 50), (3, 1, 10_000_000)], "g INT, rank INT, chars INT")
+    modes = {r["g"]: (r["mode"], r["chunks_used"]) for r in context.prompt_ladder(chunks, ["g"], "chars", 900, 400).collect()}
+    assert modes == {1: ("verbose", 0), 2: ("verbose", 1), 3: ("truncated", 0)}
+    assert {r["mode"] for r in context.prompt_ladder(chunks, ["g"], "chars", 900, 400, cap=300).collect()} == {"minimal"}
+
+    kids = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("", "x"), (None, "x"), ("a", "")], "p STRING, s STRING")
+    known = spark.createDataFrame([("a",), ("c",)], "p STRING")
+    assert [tuple(r) for r in integrity.children_count(kids, known, "p", "s").collect()] == [("a", 2)]
+
+    rows = spark.createDataFrame([(["b", "A", "a", "B", "c"],), ([],), (None,)], "v ARRAY<STRING>")
+    firsts = [[(x["pos"], x["value"]) for x in r[0]] if r[0] is not None else None for r in rows.select(text.first_of_each(F.col("v"))).collect()]
+    assert [sorted(f) if f else f for f in firsts] == [[(0, "b"), (1, "A"), (4, "c")], [], None]
+
+    wanted = spark.createDataFrame([(1, "T"), (2, "U")], "query_id INT, expected STRING")
+    lists = spark.createDataFrame([(1, 1, "t"), (1, 2, "z")], "query_id INT, pos INT, source_title STRING")
+    assert {r["query_id"]: r["precision"] for r in evaluate.precision_at_k(lists, wanted, 5).collect()} == {1: 0.2, 2: 0.0}
+
+
 def test_dimension_refresh(spark):
     now, versions = [0.0], [[(1, "a")], [], [(1, "b")]]
     dim = streams.RefreshedDimension(lambda: spark.createDataFrame(versions[min(dim.reads, 2)], "k INT, v STRING"), 10, lambda: now[0])
