@@ -22,7 +22,7 @@ def _classes(split_marks: bool) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _SECOND = np.uint64(0xD6E8FEB86659FD93)
-_CHUNK_BYTES = 2 << 20
+_CHUNK_BYTES = 1 << 20
 
 
 def split_words(text: Column) -> Column:
