@@ -132,7 +132,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_windows(docs: DataFrame, per_language: int = TRAIN_WINDOWS) -> pd.DataFrame:
-    """Windows of learnable documents with their languages; documents in order of a hash of their text."""
+    """Windows of learnable documents with their languages.
+
+    Different texts whose hash falls below the share that gives ``per_language`` / 2 of them are
+    cut up, so only the sample is shuffled; at most ``per_language`` windows of a language stay.
+    """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
@@ -143,11 +147,10 @@ def training_windows(docs: DataFrame, per_language: int = TRAIN_WINDOWS) -> pd.D
             yield pd.DataFrame(rows, columns=["lang", "window"])
 
     learnable = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id")) != 1)
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    chosen = (
-        learnable.select("lang", "text").withColumn("n", F.row_number().over(by_hash))
-        .where(F.col("n") <= per_language // 2)
-    )
+    hashed = learnable.select("lang", "text", F.xxhash64("text").alias("h"))
+    shares = hashed.groupBy("lang").agg((F.lit(per_language / 2) / F.count("*")).alias("share"))
+    below = F.col("h") / float(1 << 64) + 0.5 < F.col("share")
+    chosen = hashed.join(shares, "lang").where(below).dropDuplicates(["lang", "h"])
     by_window = Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window")
     cut_up = chosen.select("lang", "text").mapInPandas(cut, "lang string, window binary")
     return (
