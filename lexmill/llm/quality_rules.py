@@ -21,7 +21,7 @@ WHITE = "".join(chr(c) for c in (0x20, *range(0x09, 0x0E)))
 
 #: Signal and the least distance of its fence from the quartile, in the signal's unit.
 #: Shares are per 10,000 words (symbols, repeats) or lines, word length is per 100 words.
-SIGNALS = {"symbols": 500, "repeats": 2000, "dup_lines": 2500, "word_length": 200}
+SIGNALS = {"symbols": 500, "repeats": 3000, "dup_lines": 4000, "word_length": 200}
 TWO_SIDED = {"word_length"}
 IQR_TIMES = 3
 MIN_DOCS = 200

@@ -57,8 +57,8 @@ WITH base AS (
 ), fences AS (
   SELECT level, lk, sk, max(docs) AS docs,
     max(CASE WHEN signal = 'symbols' THEN q3 + 3 * (q3 - q1) + 500 END) AS f_symbols,
-    max(CASE WHEN signal = 'repeats' THEN q3 + 3 * (q3 - q1) + 2000 END) AS f_repeats,
-    max(CASE WHEN signal = 'dup_lines' THEN q3 + 3 * (q3 - q1) + 2500 END) AS f_lines,
+    max(CASE WHEN signal = 'repeats' THEN q3 + 3 * (q3 - q1) + 3000 END) AS f_repeats,
+    max(CASE WHEN signal = 'dup_lines' THEN q3 + 3 * (q3 - q1) + 4000 END) AS f_lines,
     max(CASE WHEN signal = 'word_length' THEN q3 + 3 * (q3 - q1) + 200 END) AS f_long,
     max(CASE WHEN signal = 'word_length' THEN q1 - 3 * (q3 - q1) - 200 END) AS f_short
   FROM quartiles GROUP BY ALL
