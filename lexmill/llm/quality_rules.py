@@ -90,10 +90,10 @@ def signals(docs: DataFrame) -> DataFrame:
 
 def _measures() -> dict[str, Column]:
     return {
-        "symbols": F.expr("10000 * n_symbols div n_words"),
-        "repeats": F.expr("10000 * n_repeat_words div n_words"),
+        "symbols": F.expr("10000 * n_symbols div greatest(n_words, 1)"),
+        "repeats": F.expr("10000 * n_repeat_words div greatest(n_words, 1)"),
         "dup_lines": F.expr("10000 * n_dup_lines div greatest(n_lines, 1)"),
-        "word_length": F.expr("100 * word_chars div n_words"),
+        "word_length": F.expr("100 * word_chars div greatest(n_words, 1)"),
     }
 
 
