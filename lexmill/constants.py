@@ -109,10 +109,13 @@ BOILERPLATE = [
 ]
 SUMMARY_CHARS = 500
 
-# Name parts of media fields.
+# Name parts of media fields, for the first and the second source.
 MEDIA_FIELDS = [
     "image", "screenshot", "clip", "movie", "logo", "thumbnail", "background", "icon", "cover",
+    "images", "video", "videos", "thumbnails", "poster", "banner", "avatar",
 ]
+# Whole names of media fields of the third source.
+MEDIA_NAMES = ["artworks", "cover", "screenshots", "videos"]
 
 # Names under which the first matching child is looked up.
 PC_NAMES = ["pc", "pc (microsoft windows)", "windows", "pc dos"]

@@ -10,14 +10,14 @@ from .. import constants as C
 from ..functions import keys, text
 
 
-def prune_fields(df: DataFrame, parts: list[str] = C.MEDIA_FIELDS) -> DataFrame:
-    """Drop fields whose name holds one of ``parts``, at every nesting level.
+def prune_fields(df: DataFrame, parts: list[str] = C.MEDIA_FIELDS, names: list[str] = C.MEDIA_NAMES) -> DataFrame:
+    """Drop fields whose name holds one of ``parts`` or is one of ``names``, at every nesting level.
 
     Only the schema is walked; the rows are rebuilt by struct and transform,
     so nothing leaves the JVM and dropped leaves are never read.
     """
     def banned(name: str) -> bool:
-        return any(p in name.lower() for p in parts)
+        return name.lower() in names or any(p in name.lower() for p in parts)
 
     def touched(kind: T.DataType) -> bool:
         if isinstance(kind, T.StructType):
@@ -36,9 +36,8 @@ def prune_fields(df: DataFrame, parts: list[str] = C.MEDIA_FIELDS) -> DataFrame:
 
 
 def distinct_ci(values: Column) -> Column:
-    """Distinct strings of a short array whatever their case, first spelling kept."""
-    lowered = F.transform(values, F.lower)
-    return F.filter(values, lambda v, i: F.array_position(lowered, F.lower(v)) == i + 1)
+    """Distinct strings of an array whatever their case, first spelling and order kept."""
+    return F.transform(F.sort_array(text.first_of_each(values)), lambda x: x["value"])
 
 
 # Date, date and time, date and time with Z

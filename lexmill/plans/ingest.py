@@ -98,7 +98,7 @@ def prune_fields_recursive(spark, d):
     items = F.transform(F.slice(parts, 3, 2), lambda p: F.struct(p.alias("alt"), F.col("url").alias("thumbnail_url")))
     nested = pages.select(
         "page_id", "url", F.struct(F.length("html").cast("bigint").alias("title"), F.col("html").alias("Background"), items.alias("items")).alias("page"),
-        F.struct(F.col("url").alias("href")).alias("coverImage"))
+        F.struct(F.col("url").alias("href")).alias("coverImage"), F.col("url").alias("avatar_url"), F.array("url").alias("Artworks"))
     out = ingest.prune_fields(nested)
 
     def paths(kind, prefix=""):

@@ -44,6 +44,10 @@ def chunk_build(spark, d):
     return built_chunks(spark, d).select("chunk_uuid", "doc_id", "chunk_index", "source_title", "content_hash")
 
 
+query("chunk_pipeline", "WITH " + S.CHUNKS + """
+SELECT chunk_uuid, doc_id, chunk_index, source AS source_title, sha256(content) AS content_hash FROM chunks""")(chunk_build)
+
+
 @query("drop_counts_by_reason", "WITH " + S.WINDOWS + f""",
 judged AS (SELECT coalesce({S.drop_reason('content')}, 'kept') AS reason FROM windows)
 SELECT coalesce(reason, 'generated') AS reason, count(*) AS n FROM judged GROUP BY GROUPING SETS ((reason), ())""")
