@@ -101,3 +101,17 @@ def test_standard_date(spark):
 def test_prune_fields(spark):
     df = spark.createDataFrame([(1, (("x", 2), [("a", "b")]))], "id INT, page STRUCT<logo: STRUCT<u: STRING, n: INT>, items: ARRAY<STRUCT<Icon: STRING, alt: STRING>>>")
     assert ingest.prune_fields(df).schema.simpleString() == "struct<id:int,page:struct<items:array<struct<alt:string>>>>"
+
+
+def test_distinct_keeps_first_spelling_and_order(spark):
+    from lexmill.operators.ingest import distinct_ci
+
+    rows = spark.createDataFrame([(["b", "A", "a", "B", "c", "b"],), ([],)], "v ARRAY<STRING>")
+    assert [r[0] for r in rows.select(distinct_ci(F.col("v"))).collect()] == [["b", "A", "c"], []]
+
+
+def test_media_fields_of_all_sources_go(spark):
+    from lexmill.operators.ingest import prune_fields
+
+    names = ["id", "avatarUrl", "artworks", "my_artworks", "Poster", "videoList", "cover_id"]
+    assert prune_fields(spark.createDataFrame([tuple("x" * len(names))], names)).columns == ["id", "my_artworks"]
