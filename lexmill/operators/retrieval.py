@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -202,38 +204,50 @@ def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     return top_k(scored, "id", k).select("query_id", "rank", "id", "score")
 
 
-def sign_bands(vec: Column, dim: int, bands: int, bits: int, seed: int = 7) -> Column:
-    """Band keys of a vector: signs of its dot products with fixed random directions."""
-    planes = np.random.default_rng(seed).standard_normal((bands * bits, dim)).round(4)
+def sign_planes(count: int, dim: int) -> np.ndarray:
+    """Directions of +1 and -1 from the first hex digit of an MD5, so that any engine can make them."""
+    digit = [[int(hashlib.md5(f"{p}:{i}".encode()).hexdigest()[0], 16) for i in range(dim)] for p in range(count)]
+    return np.where(np.array(digit).reshape(count, dim) < 8, 1.0, -1.0)
 
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+
+def sign_bands(vec: Column, dim: int, bands: int, bits: int) -> Column:
+    """Band keys of a vector: signs of its dot products with fixed directions."""
+    planes = sign_planes(bands * bits, dim)
+
+    @F.pandas_udf(T.ArrayType(T.LongType()))
     def signature(vecs: pd.Series) -> pd.Series:
-        m = np.asarray(vecs.tolist(), dtype="float64")
+        m = np.asarray(vecs.tolist(), dtype="float64").reshape(len(vecs), dim)
         signs = (m @ planes.T > 0).reshape(len(m), bands, bits)
-        return pd.Series(list(signs @ (1 << np.arange(bits))))
+        return pd.Series(list(signs @ (1 << np.arange(bits, dtype="int64"))))
 
     return signature(vec)
 
 
-def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bands: int = 32, bits: int = 6) -> DataFrame:
+def band_bits(rows: int) -> int:
+    """Bits per band; one more for every doubling, so that a band's share of all pairs keeps falling."""
+    return max(4, math.ceil(math.log2(max(2, rows))) - 3)
+
+
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bands: int = 32) -> DataFrame:
     """Approximate top-k: only pairs that share a band, rescored exactly.
 
-    A query band is small and a vector band may be hot, so the join is salted
-    on the vector id.
+    Bands are joined on ids alone; a query band is small and a vector band may be hot, so that join
+    is salted on the vector id.  Vectors are looked up for the distinct pairs.
     """
+    bits = band_bits(vectors.count())
+
     def banded(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, "vec", F.posexplode(sign_bands(F.col("vec"), dim, bands, bits)).alias("band", "bucket"))
+        return df.select(key, F.posexplode(sign_bands(F.col("vec"), dim, bands, bits)).alias("band", "bucket"))
 
-    q = banded(queries, "query_id").withColumnRenamed("vec", "qvec")
-    pairs = salted_join(banded(vectors, "id"), q, ["band", "bucket"], "id")
+    met = salted_join(banded(vectors, "id"), banded(queries, "query_id"), ["band", "bucket"], "id")
+    once = met.select("query_id", "id").distinct()
 
     @F.pandas_udf(T.DoubleType())
     def cosine(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series(np.round((_unit(a) * _unit(b)).sum(axis=1), 6))
 
-    # a pair may meet in several bands; it is scored once
-    once = pairs.groupBy("query_id", "id").agg(F.any_value("vec").alias("vec"), F.any_value("qvec").alias("qvec"))
-    scored = once.select("query_id", "id", cosine("vec", "qvec").alias("score"))
+    pairs = once.join(vectors, "id").join(queries.withColumnRenamed("vec", "qvec"), "query_id")
+    scored = pairs.select("query_id", "id", cosine("vec", "qvec").alias("score"))
     return top_k(scored, "id", k).select("query_id", "rank", "id", "score")
 
 

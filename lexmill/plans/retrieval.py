@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text
 from ..operators import chunking, retrieval
-from ..sources.tables import spread, table
+from ..sources.tables import materialize, spread, table
 from . import sql as S
 from .candidates import built_chunks, chunks_of, queries_of
 from .registry import query
@@ -118,16 +118,30 @@ def dense_topk(spark, d):
     return retrieval.dense_topk(query_vectors(spark, d), vectors_of(spark, d), 10)
 
 
-@query("dense_topk_lsh")
+BANDS = 32
+LSH = f"""
+size AS (SELECT greatest(4, ceil(log2(greatest(count(*), 2)))::INTEGER - 3) AS bits FROM embeddings),
+planes AS (SELECT p, bits, list(CASE WHEN ('0x' || substr(md5(p || ':' || i), 1, 1))::INTEGER < 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS w
+  FROM size, range({BANDS} * 64) AS a(p), range((SELECT max(len(embedding)) FROM embeddings)) AS b(i) WHERE p < {BANDS} * bits GROUP BY ALL),
+sig AS MATERIALIZED (SELECT vec_id, p // bits AS band, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], w) > 0 THEN 1::BIGINT << (p % bits) ELSE 0 END) AS bucket
+  FROM embeddings, planes GROUP BY ALL),
+met AS (SELECT DISTINCT q.vec_id AS query_id, v.vec_id AS id FROM sig q JOIN sig v USING (band, bucket) WHERE q.vec_id IN (SELECT query_id FROM qv)),
+near AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM met JOIN cos USING (query_id, id)) WHERE rank <= 10),
+hit AS (SELECT query_id, round(count(*) / 10, 4) AS recall FROM near JOIN (SELECT query_id, id FROM dtop WHERE rank <= 10) USING (query_id, id) GROUP BY 1)
+SELECT qv.query_id, near.rank, near.id, near.score, coalesce(recall, 0) AS recall FROM qv LEFT JOIN near USING (query_id) LEFT JOIN hit USING (query_id)"""
+
+
+@query("dense_topk_lsh", "WITH " + VECTORS + "," + LSH)
 def dense_topk_lsh(spark, d):
-    """Approximate search with its recall against the exact one."""
+    """Approximate search with its recall against the exact one; a query without candidates has recall 0."""
     vectors, queries = vectors_of(spark, d), query_vectors(spark, d)
     dim = vectors.select(F.size("vec")).first()[0]
     exact = retrieval.dense_topk(queries, vectors, 10).select("query_id", "id", F.lit(1).alias("hit"))
-    near = retrieval.dense_topk_lsh(queries, vectors, 10, dim)
+    near = materialize(retrieval.dense_topk_lsh(queries, vectors, 10, dim, BANDS), "lsh")
     found = near.join(exact, ["query_id", "id"], "left")
     recall = found.groupBy("query_id").agg(F.round(F.count("hit") / 10, 4).alias("recall"))
-    return near.join(recall, "query_id").select("query_id", "rank", "id", "score", "recall")
+    rows = queries.select("query_id").join(near, "query_id", "left").join(recall, "query_id", "left")
+    return rows.select("query_id", "rank", "id", "score", F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 BM25_CHUNKS = "WITH " + S.CHUNKS + ", " + S.QUERIES + "," + S.bm25("c", "chunks", "chunk_uuid", "content", 5)
