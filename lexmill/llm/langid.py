@@ -22,6 +22,8 @@ FILTERS = 10
 DIMENSIONS = 5
 #: Windows trained on at most, for each language: a bounded sample, those with the smallest hashes.
 TRAIN_WINDOWS = 1500
+#: Languages learned at most, the most frequent ones.
+MAX_LANGUAGES = 1000
 EPOCHS = 4
 UNKNOWN = "und"
 
@@ -148,9 +150,13 @@ def training_windows(docs: DataFrame, per_language: int = TRAIN_WINDOWS) -> pd.D
 
     learnable = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id")) != 1)
     hashed = learnable.select("lang", "text", F.xxhash64("text").alias("h"))
-    shares = hashed.groupBy("lang").agg((F.lit(per_language / 2) / F.count("*")).alias("share"))
+    shares = (
+        learnable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+        .select("lang", (F.lit(per_language / 2) / F.col("n")).alias("share"))
+    )
     below = F.col("h") / float(1 << 64) + 0.5 < F.col("share")
-    chosen = hashed.join(shares, "lang").where(below).dropDuplicates(["lang", "h"])
+    # at most MAX_LANGUAGES rows; a shuffle by language would move every text
+    chosen = hashed.join(F.broadcast(shares), "lang").where(below).dropDuplicates(["lang", "h"])
     by_window = Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window")
     cut_up = chosen.select("lang", "text").mapInPandas(cut, "lang string, window binary")
     return (
