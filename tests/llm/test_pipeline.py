@@ -53,6 +53,24 @@ def test_a_large_group_in_tiles(make_docs, monkeypatch):
     assert {r["doc_id"] for r in N.without_near_duplicates(make_docs(rows)).collect()} == {0, 100}
 
 
+def test_only_pairs_at_the_similarity_are_linked(make_docs):
+    # templates that share most of their shingles, then pairs at 0.8 and just below it
+    rng = random.Random(6)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    shared = fresh(304)
+    rows = [(i, " ".join(shared + fresh(52))) for i in range(1000)]  # 300 of 352 shingles: 0.743
+    rows += [(2000 + i, " ".join(shared + fresh(37))) for i in range(2)]  # 300 of 337 each: 0.802
+    kept = {r["doc_id"] for r in N.without_near_duplicates(make_docs(rows)).collect()}
+    sets = {i: shingles(t) for i, t in rows}
+    assert 0.74 < jaccard(sets[0], sets[1]) < 0.75 and 0.8 <= jaccard(sets[2000], sets[2001]) < 0.81
+    assert kept == {*range(1000), 2000}
+    a, b, c = fresh(40), fresh(5), fresh(5)
+    pair = [(1, " ".join(a + b)), (2, " ".join(a + c))]  # 36 of 46 shingles
+    exact = [(3, " ".join((x := fresh(84)) + fresh(10))), (4, " ".join([*x, *fresh(10)]))]  # 80 of 100: 0.8
+    assert jaccard(shingles(exact[0][1]), shingles(exact[1][1])) == 0.8
+    assert {r["doc_id"] for r in N.without_near_duplicates(make_docs(pair + exact)).collect()} == {1, 2, 3}
+
+
 def test_forests_are_cheapest():
     rng = np.random.default_rng(0)
     heads = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
