@@ -4,7 +4,8 @@ Patterns find e-mail and IP addresses, card and phone numbers.  Each distinct va
 entity.  How much a term reveals an entity is the pointwise mutual information of their
 co-occurrence relative to the entity's own information, which for a term t and an entity e is
 fixed by P(e | t): the share of the texts holding t in which t stands close to e.  Terms above the
-lower threshold are generalised to their shape, terms above the upper one are removed.
+upper threshold give the entity away wherever they stand and are removed from all texts.  Terms
+above the lower one are generalised to their shape throughout the texts that hold the entity.
 """
 
 from __future__ import annotations
@@ -14,11 +15,13 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import salted_join
 from .common import ROW_KEY, key_to_id, materialize, with_row_key
 
 KINDS = ("email", "ip", "card", "phone")
@@ -114,50 +117,53 @@ def _merged(spans: list[tuple[int, int, int, str]]) -> tuple[list[int], list[int
     return starts, ends
 
 
+def _outside(starts: list[int], ends: list[int], low: int, high: int) -> bool:
+    i = bisect_left(starts, high) - 1
+    return i < 0 or ends[i] <= low
+
+
 def near_terms(text: str, spans: list[tuple[int, int, int, str]], reach: int) -> list[dict]:
-    """Terms close to each value: entity, term, place, and a hash of the surroundings.
+    """Terms close to each value: entity, term, and a hash of the surroundings.
 
-    ``first`` marks the first meeting of an entity and a term in the text.  Words that are
-    personal data themselves are no terms.
+    Only the first meeting of an entity and a term in the text is listed.  Words that are personal
+    data themselves are no terms.
     """
     words = [(m.start(), m.end(), term(m.group())) for m in _WORD.finditer(text)]
     begins, finishes = [w[0] for w in words], [w[1] for w in words]
     starts, ends = _merged(spans)
 
     def free(w: tuple) -> bool:
-        i = bisect_left(starts, w[1]) - 1
-        return w[2] is not None and (i < 0 or ends[i] <= w[0])
+        return w[2] is not None and _outside(starts, ends, w[0], w[1])
 
     out, seen = [], set()
     for start, kind, end, value in spans:
         before, after = bisect_right(finishes, start), bisect_left(begins, end)
         close = [w for w in words[max(0, before - reach) : before] + words[after : after + reach] if free(w)]
         entity, around = _hash(kind, value), _hash(*(w[2] for w in close))
-        for low, high, t in close:
+        for _, _, t in close:
             h = _hash(t)
-            out.append({
-                "entity": entity, "term": h, "low": low, "high": high, "around": around,
-                "first": (entity, h) not in seen,
-            })
-            seen.add((entity, h))
+            if (entity, h) not in seen:
+                out.append({"entity": entity, "term": h, "around": around})
+                seen.add((entity, h))
     return out
 
 
 FOUND = (
     "_rid bigint, _tag int, base array<struct<low:int,kind:int,high:int>>, "
-    "near array<struct<entity:bigint,term:bigint,low:int,high:int,around:bigint,first:boolean>>"
+    "held array<bigint>, near array<struct<entity:bigint,term:bigint,around:bigint>>"
 )
 
 
 def find_values(texts: DataFrame, reach: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            base, near = [], []
+            base, held, near = [], [], []
             for text in part["text"]:
                 spans = base_spans(text)
                 base.append([{"low": s, "kind": k, "high": e} for s, k, e, _ in spans])
+                held.append(sorted({_hash(k, value) for _, k, _, value in spans}))
                 near.append(near_terms(text, spans, reach) if spans else [])
-            yield pd.DataFrame({"_rid": part["_rid"], "_tag": part["_tag"], "base": base, "near": near})
+            yield pd.DataFrame({"_rid": part["_rid"], "_tag": part["_tag"], "base": base, "held": held, "near": near})
 
     return texts.mapInPandas(run, FOUND)
 
@@ -194,7 +200,7 @@ def term_texts(texts: DataFrame) -> DataFrame:
 
 def disclosures(found: DataFrame, texts: DataFrame, min_contexts: int, at: float) -> DataFrame:
     """Pairs (entity, term) whose share P(entity | term) reaches ``at``, with the share."""
-    met = found.select(F.explode("near").alias("n")).where("n.first").select("n.entity", "n.term", "n.around")
+    met = found.select(F.explode("near").alias("n")).select("n.entity", "n.term", "n.around")
     close = (
         met.groupBy("entity", "term", "around")
         .agg(F.count("*").alias("n"))
@@ -208,6 +214,62 @@ def disclosures(found: DataFrame, texts: DataFrame, min_contexts: int, at: float
     return shares.where(F.col("share") >= at)
 
 
+#: Bits of the filter that tells which words need to meet the disclosing terms in a join.
+FILTER_BITS = 1 << 23
+
+
+def term_filter(told: DataFrame) -> np.ndarray:
+    """One bit per remainder of a term; of fixed size, and never without a bit that belongs to a term."""
+    place = F.pmod("term", F.lit(FILTER_BITS))
+    words = (
+        told.select(place.alias("place")).distinct()
+        .groupBy(F.expr("place div 64").alias("word"))
+        .agg(F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+        .collect()  # FILTER_BITS / 64 rows at most
+    )
+    out = np.zeros(FILTER_BITS // 64, dtype=np.int64)
+    for r in words:
+        out[r["word"]] = r["bits"]
+    return out
+
+
+class _Listed(_Terms):
+    """Word to hash of its term where the filter has it, else None."""
+
+    def __init__(self, listed: np.ndarray):
+        super().__init__()
+        self.listed = listed
+
+    def __missing__(self, word: str) -> int | None:
+        value = super().__missing__(word)
+        if value is not None:
+            at = value % FILTER_BITS
+            if not (int(self.listed[at >> 6]) >> (at & 63)) & 1:
+                value = self[word] = None
+        return value
+
+
+def occurrences(texts: DataFrame, told: DataFrame) -> DataFrame:
+    """Row key, term, low, high: every place in all whole texts, outside values, of a term the filter has."""
+    listed = term_filter(told)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = _Listed(listed)
+        for part in batches:
+            out = []
+            for rid, tag, text in zip(part["_rid"], part["_tag"], part["text"], strict=True):
+                hits = {w: h for w in set(_WORD.findall(text or "")) if (h := known[w]) is not None}
+                if hits:
+                    starts, ends = _merged(base_spans(text))
+                    out += [
+                        (rid, tag, hits[m.group()], m.start(), m.end()) for m in _WORD.finditer(text)
+                        if m.group() in hits and _outside(starts, ends, m.start(), m.end())
+                    ]
+            yield pd.DataFrame(out, columns=[*ROW_KEY, "term", "low", "high"], dtype="int64")
+
+    return texts.mapInPandas(run, "_rid bigint, _tag int, term bigint, low int, high int")
+
+
 def private_spans(
     docs: DataFrame,
     reach: int = REACH,
@@ -224,10 +286,13 @@ def private_spans(
     texts = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(*ROW_KEY, "text")
     found = materialize(find_values(texts, reach), "values")
     told = materialize(disclosures(found, texts.select("text"), min_contexts, generalise_at), "disclosures")
-    met = found.select(*ROW_KEY, F.explode("near").alias("n")).select(*ROW_KEY, "n.entity", "n.term", "n.low", "n.high")
+    met = materialize(salted_join(occurrences(texts, told), told, ["term"], "_rid"), "occurrences")
+    everywhere = met.where(F.col("share") >= remove_at)
+    held = found.select(*ROW_KEY, F.explode("held").alias("entity"))
+    beside = met.where(F.col("share") < remove_at).join(held, [*ROW_KEY, "entity"], "left_semi").select(*met.columns)
     kind = F.when(F.col("share") >= remove_at, F.lit(5)).otherwise(F.lit(4))
     marks = (
-        met.join(told, ["entity", "term"])
+        everywhere.unionByName(beside)
         .groupBy(*ROW_KEY, "low", "high")
         .agg(F.max("share").alias("share"))
         .groupBy(*ROW_KEY)

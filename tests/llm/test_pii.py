@@ -64,6 +64,21 @@ def test_revealing_terms(make_docs):
     assert texts[80] == "uuu0 [TERM] [EMAIL] vvv0" and texts[90] == "half one"
 
 
+def test_revealing_terms_go_from_whole_texts(make_docs):
+    far = [" ".join(f"far{n}x{i}" for i in range(20)) for n in range(40)]
+    rows = [(i, f"aa{i} Quokka jo@x.org bb{i} {far[i]} (Quokka) quokka@z.org") for i in range(9)] + [(9, f"Then Quokka. {far[9]}")]
+    # 'half' is near the address in 3 of 5 texts: it is generalised where the address is, near or far
+    rows += [(20 + i, f"uu{i} half bo@x.org vv{i} {far[20 + i]} Half") for i in range(3)]
+    rows += [(30, "half one"), (31, f"half {far[31]} bo@x.org")]
+    texts = {r["doc_id"]: r["text"] for r in P.sanitised(make_docs(rows)).collect()}
+    assert texts[0] == f"aa0  [EMAIL] bb0 {far[0]}  [EMAIL]"
+    assert texts[9] == f"Then  {far[9]}"
+    assert texts[20] == f"uu0 [TERM] [EMAIL] vv0 {far[20]} [NAME]"
+    assert texts[30] == "half one" and texts[31] == f"[TERM] {far[31]} [EMAIL]"
+    spans = {r["doc_id"]: [(s["low"], s["kind"], s["high"]) for s in r["spans"]] for r in P.private_report(make_docs(rows)).collect()}
+    assert spans[9] == [(5, 5, 12)]
+
+
 def test_odd_documents(odd_docs):
     rows = P.private_report(odd_docs).collect()
     assert len(rows) == odd_docs.count()
