@@ -71,6 +71,19 @@ def test_only_pairs_at_the_similarity_are_linked(make_docs):
     assert {r["doc_id"] for r in N.without_near_duplicates(make_docs(pair + exact)).collect()} == {1, 2, 3}
 
 
+def test_related_texts_do_not_displace_a_link(make_docs):
+    rng = random.Random(7)
+    fresh = lambda k: [f"v{rng.randrange(10**9)}" for _ in range(k)]
+    shared = fresh(304)
+    rows = [(i, " ".join(shared + fresh(60))) for i in range(500)]  # 300 of 360 shingles: 0.714
+    for i in range(20):
+        mine = fresh(26)  # 326 of 360 with its copy: 0.83
+        rows += [(1000 + i, " ".join(shared + mine + fresh(34))), (2000 + i, " ".join(shared + mine + fresh(34)))]
+    assert 0.82 < jaccard(shingles(rows[-1][1]), shingles(rows[-2][1])) < 0.84
+    kept = {r["doc_id"] for r in N.without_near_duplicates(make_docs(rows)).collect()}
+    assert kept == {*range(500), *range(1000, 1020)}
+
+
 def test_forests_are_cheapest():
     rng = np.random.default_rng(0)
     heads = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
