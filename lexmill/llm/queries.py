@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .langid import predict_languages
+from .line_dedup import line_dedup
 from .mixing import mix
 from .nearest import nearest
 from .packing import pack
@@ -16,6 +17,7 @@ from .quality_rules import quality_rules
 from .registry import query
 from .resampling import importance_weights
 from .simhash import hex_digits, simhash_groups
+from .spelling import spelling_variants
 from .substrings import substring_dedup
 from .url_filter import filter_urls
 
@@ -76,3 +78,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op11_spelling_variants", sql.SPELLING)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_line_dedup", sql.LINE_DEDUP)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

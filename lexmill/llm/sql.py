@@ -175,3 +175,67 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
        coalesce(rv, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
 FROM parsed LEFT JOIN fitted USING (key) LEFT JOIN aliases USING (key)
 """
+
+LINE_DEDUP = """
+WITH spread AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
+  FROM documents
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM spread
+), shared AS (
+  SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2
+), judged AS (
+  SELECT k.*, s.first IS NOT NULL AND s.first <> k.doc_id AS gone FROM keyed k LEFT JOIN shared s USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
+SPELLING = """
+WITH RECURSIVE crc_table AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 1, 1, 1, 1, 1, 1, 1],
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t
+), runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents
+), counted_runs AS (
+  SELECT doc_id, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), coded AS (
+  SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS code FROM counted_runs
+), hashed AS (
+  SELECT run, n, xor(list_reduce(
+    list_prepend(4294967295, list_transform(range(length(code) // 2), lambda i: ('0x' || substr(code, 2 * i + 1, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM coded, crc_table
+), spelled AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT) || substr(run, (h % length(run))::INT + 2) ELSE run END AS word, n
+  FROM hashed
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM spelled WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), places AS (
+  SELECT word, n, unnest(range(length(word)))::INT AS place FROM words
+), cut AS MATERIALIZED (
+  SELECT word, n, place, substr(word, 1, place) || substr(word, place + 2) AS rest FROM places
+), near AS (
+  SELECT a.word, b.word AS near, b.n FROM cut a JOIN cut b ON a.place = b.place AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word
+), best AS (
+  SELECT word, count(*) AS n_near, max(n) AS most, arg_min(near, (-n, near)) AS near FROM near GROUP BY word
+), judged AS MATERIALIZED (
+  SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * words.n THEN near END AS form,
+         CASE WHEN most >= 10 * words.n THEN most END AS form_n
+  FROM words LEFT JOIN best USING (word)
+), steps AS (
+  SELECT word, form AS root FROM judged WHERE form IS NOT NULL
+  UNION SELECT steps.word, judged.form FROM steps JOIN judged ON judged.word = steps.root WHERE judged.form IS NOT NULL
+), ends AS (
+  SELECT steps.word, steps.root FROM steps JOIN judged ON judged.word = steps.root WHERE judged.form IS NULL
+)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM judged LEFT JOIN ends USING (word)
+"""
