@@ -13,6 +13,10 @@ from ..sources.tables import materialize, spread, table
 WEB_RESULTS = 5
 
 
+def docs_of(spark: SparkSession, d: str) -> DataFrame:
+    return spread(table(spark, d, "documents"), "doc_id")
+
+
 def queries_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -23,7 +27,7 @@ def chunks_of(spark: SparkSession, d: str) -> DataFrame:
 
 
 def built_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.build_chunks(spread(table(spark, d, "documents"), "doc_id"))
+    return chunking.build_chunks(docs_of(spark, d))
 
 
 def coverage(query: Column, body: Column) -> Column:

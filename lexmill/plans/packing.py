@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import constants as C
-from ..operators import context
+from ..functions import text
+from ..operators import context, similarity
 from ..sources.tables import materialize
 from . import sql as S
-from .candidates import local_candidates, refined_web, web_candidates
+from .candidates import docs_of, local_candidates, refined_web, web_candidates
 from .registry import query
 
 Q = ["query_id"]
@@ -92,16 +93,50 @@ def list_order(spark, d):
     return context.list_order(merged(spark, d), Q).select("query_id", "rank", "chunk_uuid")
 
 
-@query("jaccard_near_dup_pairs", MERGED + f""",
+@query("jaccard_candidate_pairs", MERGED + f""",
 t AS MATERIALIZED (SELECT query_id, pos, chunk_uuid, list_distinct({S.compare_tokens('content')}) AS toks FROM merged)
 SELECT a.query_id, a.chunk_uuid AS id_a, b.chunk_uuid AS id_b,
   round(len(list_intersect(a.toks, b.toks)) / len(list_distinct(list_concat(a.toks, b.toks))), 6) AS jaccard
 FROM t a JOIN t b ON a.query_id = b.query_id AND a.pos < b.pos
 WHERE len(list_intersect(a.toks, b.toks)) >= {C.JACCARD_LIMIT} * len(list_distinct(list_concat(a.toks, b.toks)))""")
-def jaccard_near_dup_pairs(spark, d):
+def jaccard_candidate_pairs(spark, d):
+    """The pairwise test inside each query's candidate list."""
     return context.near_duplicates(merged(spark, d))
 
 
+# every pair of different token sets, counted token by token: no prefix, no bound
+ALL_SETS = f"""
+WITH sets AS MATERIALIZED (SELECT doc_id, coalesce(list_sort(list_distinct({S.compare_tokens('text')})), []) AS toks FROM documents),
+classes AS MATERIALIZED (SELECT toks, min(doc_id) AS class_id, count(*) AS members FROM sets GROUP BY toks),
+each AS MATERIALIZED (SELECT class_id, len(toks) AS n, unnest(toks) AS token FROM classes),
+met AS (SELECT a.class_id AS class_a, b.class_id AS class_b, a.n, b.n AS m, count(*) AS shared
+  FROM each a JOIN each b ON a.token = b.token AND a.class_id < b.class_id GROUP BY ALL),
+pairs AS MATERIALIZED (SELECT class_a, class_b, round(shared / (n + m - shared), 6) AS jaccard FROM met WHERE shared >= {C.JACCARD_LIMIT} * (n + m - shared))"""
+
+
+def near_dup_sets(spark, d):
+    docs = docs_of(spark, d)
+    return similarity.similarity_classes(docs, "doc_id", text.compare_set(F.col("text")), C.JACCARD_LIMIT)
+
+
+@query("jaccard_near_dup_pairs", ALL_SETS + " SELECT class_a AS id_a, class_b AS id_b, jaccard FROM pairs")
+def jaccard_near_dup_pairs(spark, d):
+    """All pairs of different texts, corpus wide; equal token sets are named by their smallest id."""
+    pairs, _ = near_dup_sets(spark, d)
+    return pairs.select(F.col("class_a").alias("id_a"), F.col("class_b").alias("id_b"), F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("jaccard_near_dup_classes", ALL_SETS + """,
+ends AS (SELECT class_a AS class_id, jaccard FROM pairs UNION ALL SELECT class_b, jaccard FROM pairs),
+links AS (SELECT class_id, count(*) AS links, max(jaccard) AS best_jaccard FROM ends GROUP BY class_id)
+SELECT doc_id, class_id, members, coalesce(links, 0) AS links, best_jaccard
+FROM sets JOIN classes USING (toks) LEFT JOIN links USING (class_id)""")
+def jaccard_near_dup_classes(spark, d):
+    """Per document: its class of equal token sets, how many it holds, how many other sets it links to, the best link."""
+    _, members = near_dup_sets(spark, d)
+    return members.withColumn("best_jaccard", F.round("best_jaccard", 6))
+
+
 def pack_sql(ordered: str, cap: int = C.CONTEXT_CHARS) -> str:
     """Recursive fold over rows (g, rank, chunk_uuid, content) of ``ordered``; ends in CTE packed."""
     return f"""

@@ -8,16 +8,12 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text
 from ..operators import chunking, retrieval
-from ..sources.tables import materialize, spread, table
+from ..sources.tables import materialize, table
 from . import sql as S
-from .candidates import built_chunks, chunks_of, queries_of
+from .candidates import built_chunks, chunks_of, docs_of, queries_of
 from .registry import query
 
 
-def docs_of(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents"), "doc_id")
-
-
 def vectors_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
 
