@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,25 @@ def _star(pairs: DataFrame, large: bool) -> DataFrame:
     return materialize(out.where(F.col("u") > F.col("v")).distinct(), "star")
 
 
+def contracted(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links of some rows as stars: every node but the smallest of its component, with that smallest node."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = label.copy()
+        np.minimum.at(least, u, label[v])
+        np.minimum.at(least, v, label[u])
+        # a node that is no root follows its root, and roots take over what their nodes have met
+        np.minimum.at(least, label, least)
+        least = least[least]
+        if np.array_equal(least, label):
+            break
+        label = least
+    member = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[member], nodes[label[member]]
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """Rows (node, root): every node of an edge with the smallest node it is connected to.
 

@@ -7,14 +7,14 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexmill.llm import QUERIES
-from lexmill.llm.alignment import FIRST, SECOND, TOKENIZERS, Fragment, Pair, align_tokens, fragment
+from lexmill.llm.alignment import FIRST, SECOND, TOKENIZERS, Fragment, align_tokens, fragment, load
 
 COLUMNS = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
 @pytest.fixture(scope="module")
 def pair():
-    return Pair(TOKENIZERS, FIRST, SECOND)
+    return load(TOKENIZERS, FIRST, SECOND)
 
 
 def groups_of(pair, text):
@@ -111,7 +111,7 @@ def test_composition_is_associative(a, b, data):
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab .,'\n1é漢▁-", min_size=1, max_size=60))
 def test_parts_are_tokenized_like_the_whole(text):
-    p = test_parts_are_tokenized_like_the_whole.__dict__.setdefault("pair", Pair(TOKENIZERS, FIRST, SECOND))
+    p = load(TOKENIZERS, FIRST, SECOND)
     whole = groups_of(p, text)
     parts = [groups_of(p, part) for part in p.parts(text)]
     assert (None if None in parts else [g for part in parts for g in part]) == whole
