@@ -16,12 +16,14 @@ from .. import constants as C
 from ..functions import text
 from ..functions.joins import salted_join
 from ..session import parallelism
+from ..sources.tables import materialize
 
 TILE_VECTORS = 20_000
 TILE_QUERIES = 1_000
-# queries scored in one pass over the texts, and cells of one score block (terms by texts)
-QUERY_BLOCK = 2_000
-BLOCK_CELLS = 2_000_000
+# postings of rare terms that give a query the score its list has to reach
+FLOOR_POSTINGS = 2_000
+# true neighbours an approximate search must meet on its sample, and queries in that sample
+LSH_TARGET, LSH_SAMPLE = 0.95, 64
 
 
 def query_terms(queries: DataFrame, body: str = "text") -> DataFrame:
@@ -58,91 +60,77 @@ def top_k(scored: DataFrame, key: str, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _counts(tokens: pd.Series, codes: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, term, occurrences) of the known terms in a batch of token lists."""
-    lists = [[] if t is None else [codes[w] for w in t if w in codes] for t in tokens]
-    owner = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-    flat = np.fromiter((c for x in lists for c in x), dtype=np.int64, count=len(owner))
-    both, tf = np.unique(owner * max(1, len(codes)) + flat, return_counts=True)
-    return both // max(1, len(codes)), both % max(1, len(codes)), tf
-
-
-def corpus_statistics(tokens: DataFrame, codes: dict[str, int]) -> tuple[int, float, np.ndarray]:
-    """Texts, mean length, and in how many texts each known term occurs; one small row set per task."""
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # the last three counters: texts, texts with tokens known, tokens
-        totals = np.zeros(len(codes) + 3, dtype=np.int64)
-        for part in parts:
-            _, term, _ = _counts(part["toks"], codes)
-            totals[: len(codes)] += np.bincount(term, minlength=len(codes))
-            known = part["toks"].notna()
-            totals[len(codes):] += [len(part), int(known.sum()), int(part["toks"][known].map(len).sum())]
-        yield pd.DataFrame({"counter": np.arange(len(totals)), "n": totals})
-
-    # as many rows as a query block has terms
-    rows = tokens.select("toks").mapInPandas(run, "counter BIGINT, n BIGINT").groupBy("counter").agg(F.sum("n").alias("n")).collect()
-    totals = np.zeros(len(codes) + 3, dtype=np.int64)
-    for r in rows:
-        totals[r["counter"]] = r["n"]
-    texts, known, length = totals[len(codes):]
-    return int(texts), length / max(1, known), totals[: len(codes)]
-
-
-def bm25_block(wanted: dict[int, list[int]], codes: dict[str, int], tokens: DataFrame, key: str, k: int, k1: float, b: float) -> DataFrame:
-    """Best k texts of each task for a block of queries, scored where the texts lie."""
-    texts, mean_length, df = corpus_statistics(tokens, codes)
-    idf = np.log(1 + (texts - df + 0.5) / (df + 0.5))
-    width = max(1, BLOCK_CELLS // max(1, len(codes)))
-    kind = tokens.schema[key].dataType.simpleString()
-
-    def score(part: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        ids = part[key].to_numpy()
-        text_no, term, tf = _counts(part["toks"], codes)
-        length = np.array([0 if t is None else len(t) for t in part["toks"]])
-        weight = idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length[text_no] / mean_length))
-        for first in range(0, len(ids), width):
-            lo, hi = np.searchsorted(text_no, [first, first + width])
-            grid = np.zeros((len(codes), min(width, len(ids) - first)))
-            grid[term[lo:hi], text_no[lo:hi] - first] = weight[lo:hi]
-            for q, rows_of_q in wanted.items():
-                total = grid[rows_of_q].sum(axis=0)
-                hit = np.flatnonzero(total > 0)
-                if len(hit):
-                    yield q, ids[first + hit], np.round(total[hit], 4)
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for part in parts:
-            for q, ids, scores in score(part):
-                if q in best:
-                    ids, scores = np.concatenate([best[q][0], ids]), np.concatenate([best[q][1], scores])
-                pick = np.lexsort((ids, -scores))[:k]
-                best[q] = ids[pick], scores[pick]
-        for q, (ids, scores) in best.items():
-            yield pd.DataFrame({"query_id": q, key: ids, "score": scores})
-
-    return tokens.select(key, "toks").mapInPandas(run, f"query_id BIGINT, {key} {kind}, score DOUBLE")
+def asked_postings(queries: DataFrame, corpus: DataFrame, key: str, body: str) -> tuple[DataFrame, DataFrame]:
+    """(terms, postings) of one pass over the texts.
+
+    terms: (query_id, term), each once.  postings: a row per text and asked term, and one with a NULL term per
+    text, so that texts and lengths are known without reading them again.  ``row`` tells repeated keys apart.
+    """
+    terms = materialize(query_terms(queries), "terms")
+    toks = tokenized(corpus, key, body).withColumn("row", F.monotonically_increasing_id())
+    each = toks.select("row", key, "doc_len", F.explode("toks").alias("term"))
+    asked = each.join(terms.select("term").distinct(), "term", "left_semi")
+    # the rows of one text come from one task, so counts combine before the shuffle
+    counted = asked.groupBy("row", key, "doc_len", "term").agg(F.count("*").cast("int").alias("tf"))
+    texts = toks.select("row", key, "doc_len", F.lit(None).cast("string").alias("term"), F.lit(0).alias("tf"))
+    # numbers are given by the task, so they are written before they are used
+    return terms, materialize(counted.unionByName(texts), "postings")
+
+
+def weighted(postings: DataFrame, key: str, k1: float, b: float) -> tuple[DataFrame, DataFrame]:
+    """(weights, terms): the BM25 weight of every posting; per term its df and its largest weight."""
+    size = postings.where("term is null").agg(F.count("*").alias("texts"), F.avg(F.when(F.col("doc_len") >= 0, F.col("doc_len"))).alias("mean")).first()
+    texts, mean = size["texts"], size["mean"] or 1.0
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("doc_len") / mean))
+    rows = postings.where("term is not null").select("row", key, "term", part.alias("part"))
+    per = rows.groupBy("term").agg(F.count("*").alias("df"), F.max("part").alias("part"))
+    idf = F.log(1 + (texts - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    known = materialize(per.select("term", "df", idf.alias("idf"), (idf * F.col("part")).alias("most")), "known")
+    weights = salted_join(rows, known.select("term", "idf"), ["term"], "row")
+    return materialize(weights.select("row", key, "term", (F.col("idf") * F.col("part")).alias("w")), "weights"), known
+
+
+def floors(terms: DataFrame, weights: DataFrame, k: int, budget: int) -> DataFrame:
+    """(query_id, floor): a score that k texts of the query reach, from the rarest of its terms alone.
+
+    Terms are taken by rising df while they bring ``budget`` postings at most, more only until k are there.
+    """
+    upto = Window.partitionBy("query_id").orderBy("df", "term").rowsBetween(Window.unboundedPreceding, 0)
+    rare = terms.withColumn("seen", F.sum("df").over(upto)).where((F.col("seen") <= budget) | (F.col("seen") - F.col("df") < k))
+    part = salted_join(weights, rare.select("query_id", "term"), ["term"], "row").groupBy("query_id", "row").agg(F.sum("w").alias("score"))
+    best = top_k(part, "row", k)
+    return best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
 
 def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int,
-              k1: float = C.BM25_K1, b: float = C.BM25_B, block: int = QUERY_BLOCK) -> DataFrame:
-    """BM25 top-k per query.
+              k1: float = C.BM25_K1, b: float = C.BM25_B, budget: int = FLOOR_POSTINGS) -> DataFrame:
+    """Exact BM25 top-k per query with score bounds, for any number of queries and in one pass over the texts.
 
-    The query table is cut into blocks of about ``block`` queries, whose terms every task holds;
-    texts are counted and scored where they lie, one pass per block, and only k rows per query and
-    task are shuffled.  No posting is.
+    The rarest terms of a query give a score that k texts reach.  Terms whose largest weights
+    together stay below it cannot lift a text into the list by themselves, so only the postings of the other, essential
+    terms are met with queries.  Of the texts met, those whose sum plus all that the rest could add stays
+    below are left out, and the rest is looked up for the others.
     """
-    asked = queries.select("query_id", F.array_distinct(text.word_tokens(F.col("text"))).alias("terms"))
-    blocks = max(1, -(-asked.count() // block))
-    tokens = tokenized(corpus, key, body).select(key, "toks")
-    found = None
-    for n in range(blocks):
-        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
-        codes = {t: i for i, t in enumerate(sorted({t for r in rows for t in r["terms"] or ()}))}
-        wanted = {r["query_id"]: [codes[t] for t in sorted(r["terms"])] for r in rows if r["terms"]}
-        part = bm25_block(wanted, codes, tokens, key, k, k1, b)
-        found = part if found is None else found.unionByName(part)
-    return top_k(found, key, k).select("query_id", "rank", key, "score")
+    terms, postings = asked_postings(queries, corpus, key, body)
+    weights, known = weighted(postings, key, k1, b)
+    asked = materialize(terms.join(known, "term").select("query_id", "term", "df", "most"), "asked")
+    rising = Window.partitionBy("query_id").orderBy("most", "term").rowsBetween(Window.unboundedPreceding, 0)
+    # scores are rounded to four digits before they are ranked, so a bound is only safe beyond them
+    floor = F.coalesce("floor", F.lit(0.0)) - 2e-4
+    bound = asked.join(floors(asked, weights, k, budget), "query_id", "left").withColumn("upto", F.sum("most").over(rising))
+    bound = materialize(bound.select("query_id", "term", "most", floor.alias("floor"), (F.col("upto") >= floor).alias("essential")), "bounds")
+    rest = bound.groupBy("query_id").agg(
+        F.first("floor").alias("floor"), F.sum(F.when(~F.col("essential"), F.col("most")).otherwise(0.0)).alias("rest"))
+    met = salted_join(weights, bound.where("essential").select("query_id", "term"), ["term"], "row")
+    part = met.groupBy("query_id", "row", key).agg(F.sum("w").alias("part"))
+    left = part.join(rest, "query_id").where(F.col("part") + F.col("rest") >= F.col("floor")).select("query_id", "row", key, "part")
+    left = materialize(left, "possible")
+    looked_up = left.join(bound.where("not essential").select("query_id", "term"), "query_id").join(
+        weights.select("row", "term", "w"), ["row", "term"]).select("query_id", "row", key, "w")
+    total = left.withColumnRenamed("part", "w").unionByName(looked_up).groupBy("query_id", "row", key).agg(F.round(F.sum("w"), 4).alias("score"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key), F.asc("row"))
+    ranked = total.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", "rank", key, "score")
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
@@ -210,36 +198,79 @@ def sign_planes(count: int, dim: int) -> np.ndarray:
     return np.where(np.array(digit).reshape(count, dim) < 8, 1.0, -1.0)
 
 
-def sign_bands(vec: Column, dim: int, bands: int, bits: int) -> Column:
-    """Band keys of a vector: signs of its dot products with fixed directions."""
-    planes = sign_planes(bands * bits, dim)
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def signature(vecs: pd.Series) -> pd.Series:
-        m = np.asarray(vecs.tolist(), dtype="float64").reshape(len(vecs), dim)
-        signs = (m @ planes.T > 0).reshape(len(m), bands, bits)
-        return pd.Series(list(signs @ (1 << np.arange(bits, dtype="int64"))))
-
-    return signature(vec)
-
-
 def band_bits(rows: int) -> int:
-    """Bits per band; one more for every doubling, so that a band's share of all pairs keeps falling."""
+    """Bits per band; one more for every doubling, so that a bucket holds about as many vectors at any size."""
     return max(4, math.ceil(math.log2(max(2, rows))) - 3)
 
 
-def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bands: int = 32) -> DataFrame:
-    """Approximate top-k: only pairs that share a band, rescored exactly.
+def signatures(df: DataFrame, key: str, dim: int, bands: int, bits: int) -> DataFrame:
+    """(key, band, bucket, doubt): the bits of each band, and one mask per bit, the least certain first.
 
-    Bands are joined on ids alone; a query band is small and a vector band may be hot, so that join
-    is salted on the vector id.  Vectors are looked up for the distinct pairs.
+    Certainty is the distance from the plane, rounded so that any engine orders it alike; ties go by bit.
     """
-    bits = band_bits(vectors.count())
-
-    def banded(df: DataFrame, key: str) -> DataFrame:
-        return df.select(key, F.posexplode(sign_bands(F.col("vec"), dim, bands, bits)).alias("band", "bucket"))
+    planes = sign_planes(bands * bits, dim)
 
-    met = salted_join(banded(vectors, "id"), banded(queries, "query_id"), ["band", "bucket"], "id")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        power = 1 << np.arange(bits, dtype="int64")
+        for part in batches:
+            m = np.asarray(part["vec"].tolist(), dtype="float64").reshape(len(part), dim)
+            dots = (m @ planes.T).reshape(len(m), bands, bits)
+            doubt = power[np.argsort(np.round(np.abs(dots), 9), axis=2, kind="stable")]
+            yield pd.DataFrame({
+                key: np.repeat(part[key].to_numpy(), bands), "band": np.tile(np.arange(bands, dtype="int32"), len(m)),
+                "bucket": ((dots > 0) @ power).ravel(), "doubt": list(doubt.reshape(-1, bits)),
+            })
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, "vec").mapInPandas(run, f"{key} {kind}, band INT, bucket BIGINT, doubt ARRAY<BIGINT>")
+
+
+def flips_needed(query: str, doubt: str, vector: str) -> Column:
+    """How many of a query's least certain bits must be flipped in all ways until a vector's bucket is met."""
+    apart = F.col(query).bitwiseXOR(F.col(vector))
+    return F.array_max(F.transform(doubt, lambda mask, i: F.when(apart.bitwiseAND(mask) != 0, i + 1).otherwise(0)))
+
+
+def probe_bits(queries: DataFrame, vectors: DataFrame, index: DataFrame, asked: DataFrame, bits: int, k: int,
+               target: float, sample: int) -> int:
+    """The fewest bits to flip that find ``target`` of the true neighbours of a bounded sample of queries."""
+    chosen = queries.orderBy(F.md5(F.col("query_id").cast("string")), "query_id").limit(sample)
+    true = dense_topk(chosen, vectors, k).select("query_id", "id")
+    both = true.join(asked.select("query_id", "band", F.col("bucket").alias("q"), "doubt"), "query_id").join(
+        index.select("id", "band", F.col("bucket").alias("v")), ["id", "band"])
+    need = both.groupBy("query_id", "id").agg(F.min(flips_needed("q", "doubt", "v")).alias("need"))
+    # a row per number of bits at most
+    counts = {r["need"]: r["n"] for r in need.groupBy("need").agg(F.count("*").alias("n")).collect()}
+    found, total = 0, sum(counts.values())
+    for m in range(bits + 1):
+        found += counts.get(m, 0)
+        if found >= target * total:
+            return m
+    return bits
+
+
+def probes(asked: DataFrame, m: int) -> DataFrame:
+    """Every bucket that differs from the query's in its ``m`` least certain bits of a band only."""
+    buckets = F.aggregate(
+        F.slice("doubt", 1, m), F.array("bucket"), lambda found, mask: F.concat(found, F.transform(found, lambda x: x.bitwiseXOR(mask)))
+    ) if m else F.array("bucket")
+    return asked.select("query_id", "band", F.explode(buckets).alias("bucket"))
+
+
+def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, bands: int = 32,
+                   target: float = LSH_TARGET, sample: int = LSH_SAMPLE) -> DataFrame:
+    """Approximate top-k by multi-probe sign bands, rescored exactly; ``met`` counts the pairs a query scored.
+
+    A query visits its own bucket of each band and those reached by flipping its least certain bits; how
+    many bits is fitted on ``sample`` queries so that ``target`` of their true neighbours are met.  Bands are
+    joined on ids alone, salted on the vector id because a bucket may be hot, and vectors are looked up
+    for the distinct pairs.
+    """
+    bits = band_bits(vectors.count())
+    index = materialize(signatures(vectors, "id", dim, bands, bits).drop("doubt"), "index")
+    asked = materialize(signatures(queries, "query_id", dim, bands, bits), "asked")
+    m = probe_bits(queries, vectors, index, asked, bits, k, target, sample)
+    met = salted_join(index, probes(asked, m), ["band", "bucket"], "id")
     once = met.select("query_id", "id").distinct()
 
     @F.pandas_udf(T.DoubleType())
@@ -247,8 +278,9 @@ def dense_topk_lsh(queries: DataFrame, vectors: DataFrame, k: int, dim: int, ban
         return pd.Series(np.round((_unit(a) * _unit(b)).sum(axis=1), 6))
 
     pairs = once.join(vectors, "id").join(queries.withColumnRenamed("vec", "qvec"), "query_id")
-    scored = pairs.select("query_id", "id", cosine("vec", "qvec").alias("score"))
-    return top_k(scored, "id", k).select("query_id", "rank", "id", "score")
+    scored = materialize(pairs.select("query_id", "id", cosine("vec", "qvec").alias("score")), "scored")
+    sizes = scored.groupBy("query_id").agg(F.count("*").alias("met"))
+    return top_k(scored, "id", k).join(sizes, "query_id").select("query_id", "rank", "id", "score", "met")
 
 
 def rrf(lists: list[DataFrame], key: str, limit: int, k: int = C.RRF_K) -> DataFrame:

@@ -115,21 +115,33 @@ def dense_topk(spark, d):
 
 
 BANDS = 32
+# the SQL counts, for every query and vector, how many of the query's least certain bits must be flipped
 LSH = f"""
 size AS (SELECT greatest(4, ceil(log2(greatest(count(*), 2)))::INTEGER - 3) AS bits FROM embeddings),
 planes AS (SELECT p, bits, list(CASE WHEN ('0x' || substr(md5(p || ':' || i), 1, 1))::INTEGER < 8 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END ORDER BY i) AS w
   FROM size, range({BANDS} * 64) AS a(p), range((SELECT max(len(embedding)) FROM embeddings)) AS b(i) WHERE p < {BANDS} * bits GROUP BY ALL),
-sig AS MATERIALIZED (SELECT vec_id, p // bits AS band, sum(CASE WHEN list_dot_product(embedding::DOUBLE[], w) > 0 THEN 1::BIGINT << (p % bits) ELSE 0 END) AS bucket
-  FROM embeddings, planes GROUP BY ALL),
-met AS (SELECT DISTINCT q.vec_id AS query_id, v.vec_id AS id FROM sig q JOIN sig v USING (band, bucket) WHERE q.vec_id IN (SELECT query_id FROM qv)),
+dots AS MATERIALIZED (SELECT vec_id, p // bits AS band, p % bits AS bit, list_dot_product(embedding::DOUBLE[], w) AS dot FROM embeddings, planes),
+doubts AS (SELECT vec_id AS query_id, band, bit, dot > 0 AS side,
+    row_number() OVER (PARTITION BY vec_id, band ORDER BY round(abs(dot), 9), bit) AS nth
+  FROM dots WHERE vec_id IN (SELECT query_id FROM qv)),
+needs AS (SELECT query_id, v.vec_id AS id, band, max(CASE WHEN side <> (v.dot > 0) THEN nth ELSE 0 END) AS need
+  FROM doubts JOIN dots v USING (band, bit) GROUP BY ALL),
+need AS MATERIALIZED (SELECT query_id, id, min(need) AS need FROM needs GROUP BY ALL),
+drawn AS (SELECT query_id FROM qv ORDER BY md5(query_id::VARCHAR), query_id LIMIT {retrieval.LSH_SAMPLE}),
+counted AS (SELECT need, count(*) AS n FROM need JOIN dtop USING (query_id, id) WHERE rank <= 10 AND query_id IN (FROM drawn) GROUP BY need),
+upto AS (SELECT need, sum(n) OVER (ORDER BY need) AS found, sum(n) OVER () AS total FROM counted),
+flips AS (SELECT coalesce(min(need), 0) AS m FROM upto WHERE found >= {retrieval.LSH_TARGET} * total),
+met AS MATERIALIZED (SELECT query_id, id FROM need, flips WHERE need <= m),
+sizes AS (SELECT query_id, count(*) AS met FROM met GROUP BY query_id),
 near AS (SELECT * FROM (SELECT query_id, id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM met JOIN cos USING (query_id, id)) WHERE rank <= 10),
 hit AS (SELECT query_id, round(count(*) / 10, 4) AS recall FROM near JOIN (SELECT query_id, id FROM dtop WHERE rank <= 10) USING (query_id, id) GROUP BY 1)
-SELECT qv.query_id, near.rank, near.id, near.score, coalesce(recall, 0) AS recall FROM qv LEFT JOIN near USING (query_id) LEFT JOIN hit USING (query_id)"""
+SELECT qv.query_id, near.rank, near.id, near.score, coalesce(met, 0) AS met, coalesce(recall, 0) AS recall
+FROM qv LEFT JOIN near USING (query_id) LEFT JOIN sizes USING (query_id) LEFT JOIN hit USING (query_id)"""
 
 
 @query("dense_topk_lsh", "WITH " + VECTORS + "," + LSH)
 def dense_topk_lsh(spark, d):
-    """Approximate search with its recall against the exact one; a query without candidates has recall 0."""
+    """Approximate search with the pairs it scored and its recall against the exact one; a query without candidates has recall 0."""
     vectors, queries = vectors_of(spark, d), query_vectors(spark, d)
     dim = vectors.select(F.size("vec")).first()[0]
     exact = retrieval.dense_topk(queries, vectors, 10).select("query_id", "id", F.lit(1).alias("hit"))
@@ -137,7 +149,8 @@ def dense_topk_lsh(spark, d):
     found = near.join(exact, ["query_id", "id"], "left")
     recall = found.groupBy("query_id").agg(F.round(F.count("hit") / 10, 4).alias("recall"))
     rows = queries.select("query_id").join(near, "query_id", "left").join(recall, "query_id", "left")
-    return rows.select("query_id", "rank", "id", "score", F.coalesce("recall", F.lit(0.0)).alias("recall"))
+    return rows.select("query_id", "rank", "id", "score", F.coalesce("met", F.lit(0).cast("bigint")).alias("met"),
+                       F.coalesce("recall", F.lit(0.0)).alias("recall"))
 
 
 BM25_CHUNKS = "WITH " + S.CHUNKS + ", " + S.QUERIES + "," + S.bm25("c", "chunks", "chunk_uuid", "content", 5)
