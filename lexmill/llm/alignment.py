@@ -38,7 +38,10 @@ FIRST, SECOND = "byte_bpe_50k.json", "piece_bpe_32k.model"
 PIECE_BYTES, FRAGMENT_BYTES, FANIN = 32_768, 8_192, 8
 #: Pairs of texts in a block, texts in a block, and parts whose fragments a task remembers.
 BLOCK_PAIRS, BLOCK_TEXTS, REMEMBERED = 1_000_000, 20_000, 300_000
-SLICE_CHARS = 2_000_000
+SLICE_CHARS, RUN_PARTS = 2_000_000, 5_000
+#: Pairs of a group that are listed before they are counted; larger groups are counted by distinct ids.
+LARGE_GROUP = 100_000
+SIGNS = np.array([",", "|", ";", "\n"], dtype=object)
 
 SAFE = re.compile(r"(?<=[!-~]) (?=[!-~])")
 
@@ -168,6 +171,8 @@ class Pair:
             bytes([int(p[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", p) else p.replace("▁", " ").encode()
             for p in pieces
         ]
+        self.length_a, self.length_b = (np.array([len(x) for x in known], dtype=np.int64) for known in (self.bytes_a, self.bytes_b))
+        self.decimal = np.array([str(i) for i in range(max(len(self.bytes_a), len(pieces)))], dtype=object)
         before = spec.get("pre_tokenizer") or {}
         plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space")
         #: Whether a single space between ASCII marks always starts a token of both.
@@ -184,6 +189,50 @@ class Pair:
             same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
             yield a, b, same
 
+    def flat_tokens(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all parts one after the other, the numbers per part, and which parts both give back; others have none.
+
+        Parts that begin and end with an ASCII mark or letter are joined by spaces, at which both tokenizers
+        begin anew, and tokenized in long runs; the ids are dealt to the parts by their ends.
+        """
+        joined = [i for i, p in enumerate(parts) if self.separable and p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"]
+        raw = [(" " + p).encode("utf-8", "surrogatepass") for p in parts]
+        length = np.array([len(r) for r in raw], dtype=np.int64)
+        ids: list[list[list[int]]] = [[], []]
+        size = [np.zeros(len(parts), dtype=np.int64) for _ in range(2)]
+        ok = np.zeros(len(parts), dtype=bool)
+        runs = [joined[at : at + RUN_PARTS] for at in range(0, len(joined), RUN_PARTS)]
+        order: list[int] = []
+        for run in runs:
+            ((a, b, same),) = self.tokens([" ".join([parts[i] for i in run])])
+            if not same:
+                # one part spoils the run: its parts are looked at one by one
+                joined = [i for i in joined if i not in set(run)]
+                continue
+            borders = np.cumsum(length[run])
+            for k, (flat, lengths) in enumerate(((a, self.length_a), (b, self.length_b))):
+                upto = np.searchsorted(np.cumsum(lengths[flat]), borders, side="right")
+                size[k][run] = np.diff(upto, prepend=0)
+                ids[k].append(flat)
+            ok[run] = True
+            order += run
+        single = sorted(set(range(len(parts))).difference(joined))
+        for i, (a, b, same) in zip(single, self.tokens([parts[i] for i in single]), strict=True):
+            if same:
+                ok[i], size[0][i], size[1][i] = True, len(a), len(b)
+                ids[0].append(a)
+                ids[1].append(b)
+                order.append(i)
+        place = np.array(order, dtype=np.int64)
+        flat = [np.array([i for held in ids[k] for i in held], dtype=np.int64) for k in range(2)]
+        # back into the order of the parts
+        for k in range(2):
+            start = np.zeros(len(parts), dtype=np.int64)
+            start[place] = _offsets(size[k][place])[:-1]
+            at = np.repeat(start - _offsets(size[k])[:-1], size[k]) + np.arange(len(flat[k]))
+            flat[k] = flat[k][at]
+        return flat[0], flat[1], size[0], size[1], ok
+
     def ends(self, a: list[int], b: list[int], start: int = 0) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
         out = []
         for ids, known in ((a, self.bytes_a), (b, self.bytes_b)):
@@ -208,8 +257,79 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in prints} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@dataclass
+class Closed:
+    """Finished fragments of many parts in flat arrays: per part its numbers, groups and links (a pair may repeat)."""
+
+    groups: list[str]
+    counts: np.ndarray  # n_a, n_b, n_groups, ok
+    sizes: np.ndarray  # links held in pairs and mult
+    pairs: np.ndarray
+    mult: np.ndarray
+
+
+def _offsets(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _products(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group, pair, times) for all pairs inside groups; groups with very many are counted by distinct ids."""
+    start_a, start_b = _offsets(na)[:-1], _offsets(nb)[:-1]
+    few = na * nb <= LARGE_GROUP
+    each = np.repeat(few, na)
+    group = np.repeat(np.arange(len(na)), na)[each]
+    times = nb[group]
+    group = np.repeat(group, times)
+    left = np.repeat(a[each], times)
+    inside = np.arange(len(group)) - np.repeat(_offsets(times)[:-1], times)
+    out = [(group, left << 32 | b[start_b[group] + inside], np.ones(len(group), np.int64))]
+    for g in np.flatnonzero(~few).tolist():
+        x, n = np.unique(a[start_a[g] : start_a[g] + na[g]], return_counts=True)
+        y, m = np.unique(b[start_b[g] : start_b[g] + nb[g]], return_counts=True)
+        pairs = (x[:, None] << 32 | y).ravel()
+        out.append((np.full(len(pairs), g), pairs, np.outer(n, m).ravel()))
+    group, pairs, times = (np.concatenate(x) for x in zip(*out, strict=True))
+    order = np.argsort(group, kind="stable")
+    return group[order], pairs[order], times[order]
+
+
+def _group_texts(pair: Pair, a: np.ndarray, b: np.ndarray, ga: np.ndarray, gb: np.ndarray, part_of_group: np.ndarray) -> list[str]:
+    """The groups of every part as text: ids of a group in order, those of the first tokenizer before the others."""
+    side = np.concatenate([2 * ga, 2 * gb + 1])
+    order = np.argsort(side, kind="stable")
+    side, ids = side[order], np.concatenate([a, b])[order]
+    part, following = part_of_group[side // 2], np.append(side[1:], -2)
+    sign = np.where(side == following, 0, np.where(side // 2 == following // 2, 1, 2))
+    sign[np.append(part[1:] != part[:-1], True)] = 3
+    words = np.empty(2 * len(ids), dtype=object)
+    words[::2], words[1::2] = pair.decimal[ids], SIGNS[sign]
+    return "".join(words.tolist()).split("\n")[:-1]
+
+
+def closed_fragments(pair: Pair, parts: list[str]) -> Closed:
+    """Every part aligned at once: its borders are common ends, so the fragments of all parts follow one another."""
+    a, b, size_a, size_b, ok = pair.flat_tokens(parts)
+    n = len(parts)
+    counts = np.zeros((n, 4), dtype=np.int64)
+    counts[:, 0], counts[:, 1], counts[:, 3] = size_a, size_b, ok
+    if not len(a):
+        return Closed([""] * n, counts, np.zeros(n, np.int64), a, a)
+    end_a, end_b = np.cumsum(pair.length_a[a]), np.cumsum(pair.length_b[b])
+    common = end_b[end_a[np.minimum(np.searchsorted(end_a, end_b), len(end_a) - 1)] == end_b]
+    ga, gb = np.searchsorted(common, end_a), np.searchsorted(common, end_b)
+    na, nb = np.bincount(ga, minlength=len(common)), np.bincount(gb, minlength=len(common))
+    part_of_group = np.repeat(np.arange(n), size_b)[_offsets(nb)[:-1]]
+    counts[:, 2] = np.bincount(part_of_group, minlength=n)
+    group, pairs, times = _products(a, b, na, nb)
+    held = np.flatnonzero(counts[:, 2])
+    texts = [""] * n
+    for i, t in zip(held.tolist(), _group_texts(pair, a, b, ga, gb, part_of_group), strict=True):
+        texts[i] = t
+    return Closed(texts, counts, np.bincount(part_of_group[group], minlength=n), pairs, times)
+
+
 class Parts:
-    """Finished fragments of parts by number, in flat arrays; it starts anew when it holds too many."""
+    """Finished fragments of parts by number; it starts anew when it holds too many."""
 
     def __init__(self, pair: Pair):
         self.pair = pair
@@ -217,30 +337,19 @@ class Parts:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.groups: list[str] = []
-        self.counts = np.zeros((0, 4), dtype=np.int64)  # n_a, n_b, n_groups, ok
-        self.sizes = np.zeros(0, dtype=np.int64)
-        self.pairs = np.zeros(0, dtype=np.int64)
-        self.mult = np.zeros(0, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        self.known = Closed([], np.zeros((0, 4), dtype=np.int64), none, none, none)
 
     def numbers(self, parts: list[str]) -> np.ndarray:
         if len(self.number) > REMEMBERED:
             self.clear()
         new = sorted(set(parts).difference(self.number))
-        counts, sizes, pairs, mult = [], [], [], []
-        for part, (a, b, same) in zip(new, self.pair.tokens(new), strict=True):
-            whole = fragment(*self.pair.ends(a, b)).finished() if same else Fragment()
-            self.number[part] = len(self.groups)
-            self.groups.append(";".join(whole.groups))
-            counts.append((whole.n_a, whole.n_b, whole.n_groups, same))
-            sizes.append(len(whole.links))
-            pairs += whole.links.keys()
-            mult += whole.links.values()
         if new:
-            self.counts = np.concatenate([self.counts, np.array(counts, dtype=np.int64)])
-            self.sizes = np.concatenate([self.sizes, np.array(sizes, dtype=np.int64)])
-            self.pairs = np.concatenate([self.pairs, np.array(pairs, dtype=np.int64)])
-            self.mult = np.concatenate([self.mult, np.array(mult, dtype=np.int64)])
+            more, old = closed_fragments(self.pair, new), self.known
+            self.number.update(zip(new, range(len(old.groups), len(old.groups) + len(new)), strict=True))
+            self.known = Closed(old.groups + more.groups, *[
+                np.concatenate([getattr(old, c), getattr(more, c)]) for c in ("counts", "sizes", "pairs", "mult")
+            ])
         return np.fromiter(map(self.number.__getitem__, parts), dtype=np.int64, count=len(parts))
 
 
@@ -277,13 +386,14 @@ def slices(part: pd.DataFrame) -> Iterator[pd.DataFrame]:
 
 def aligned_texts(pair: Pair, batches: Iterator[pd.DataFrame]) -> Iterator[Aligned]:
     """Alignment of texts short enough for one task."""
-    known = Parts(pair)
+    parts = Parts(pair)
     for batch in batches:
         for part in slices(batch):
             ids = [None if pd.isna(i) else int(i) for i in part["doc_id"]]
             cut = [pair.parts(t) if t else [] for t in part["text"]]
             sizes = np.array([len(c) for c in cut])
-            numbers = known.numbers([p for c in cut for p in c])
+            numbers = parts.numbers([p for c in cut for p in c])
+            known = parts.known
             bounds = np.concatenate([[0], np.cumsum(sizes)])
             total = np.concatenate([np.zeros((1, 4), np.int64), np.cumsum(known.counts[numbers], axis=0)])
             total = total[bounds[1:]] - total[bounds[:-1]]
