@@ -24,13 +24,13 @@ FLOORS = {
 # Whole-word patterns of the intent families.
 INTENT_PATTERNS = {
     "comparison": [
-        "vs", "versus", "compare", "comparison", "differences?", "similarit(y|ies)",
-        "contrast", "better +than", "between +.+? +and +.+",
+        "vs", "versus", "compare", "comparison", r"difference(s)?", r"similarit(y|ies)",
+        "contrast", r"better\s+than", r"between\s+.+?\s+and\s+.+",
     ],
-    "listicle": ["top +[0-9]+", "best", "worst", "ranking", "recommendations", "list +of"],
-    "factual": ["what +is", "who +is", "when +was", "release +date", "specs", "developer"],
-    "temporal": ["latest", "recent", "current", "history +of", "timeline", "update"],
-    "explanatory": ["explain", "how +does", "why +is", "reason +for"],
+    "listicle": [r"top\s+\d+", "best", "worst", "ranking", "recommendations", r"list\s+of"],
+    "factual": [r"what\s+is", r"who\s+is", r"when\s+was", r"release\s+date", "specs", "developer"],
+    "temporal": ["latest", "recent", "current", r"history\s+of", "timeline", "update"],
+    "explanatory": ["explain", r"how\s+does", r"why\s+is", r"reason\s+for"],
 }
 
 # Fixed values: (task, widened, limit, window, decompose, web rule).

@@ -102,15 +102,20 @@ def floors(terms: DataFrame, weights: DataFrame, k: int, budget: int) -> DataFra
     return best.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
 
 
-def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int,
+def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int | str,
               k1: float = C.BM25_K1, b: float = C.BM25_B, budget: int = FLOOR_POSTINGS) -> DataFrame:
     """Exact BM25 top-k per query with score bounds, for any number of queries and in one pass over the texts.
 
+    ``k`` is a number or the name of a column of ``queries`` that holds each query's own.
+
     The rarest terms of a query give a score that k texts reach.  Terms whose largest weights
     together stay below it cannot lift a text into the list by themselves, so only the postings of the other, essential
     terms are met with queries.  Of the texts met, those whose sum plus all that the rest could add stays
     below are left out, and the rest is looked up for the others.
     """
+    own = None
+    if isinstance(k, str):
+        own, k = queries.select("query_id", F.col(k).alias("limit")), queries.agg(F.max(k)).first()[0] or 0
     terms, postings = asked_postings(queries, corpus, key, body)
     weights, known = weighted(postings, key, k1, b)
     asked = materialize(terms.join(known, "term").select("query_id", "term", "df", "most"), "asked")
@@ -130,6 +135,8 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, key: str, body: str, k: int
     total = left.withColumnRenamed("part", "w").unionByName(looked_up).groupBy("query_id", "row", key).agg(F.round(F.sum("w"), 4).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(key), F.asc("row"))
     ranked = total.where("score > 0").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    if own is not None:
+        ranked = ranked.join(own, "query_id").where("rank <= limit")
     return ranked.select("query_id", "rank", key, "score")
 
 

@@ -258,8 +258,8 @@ def opening_titles(spark, d):
     return docs.select(F.element_at(text.name_tokens(F.col("text")), 1).alias("title")).where("title IS NOT NULL").distinct()
 
 
-def graded(spark, d, rows, providers):
-    queries = queries_of(spark, d)
+def graded(spark, d, rows, providers, queries=None):
+    queries = queries_of(spark, d) if queries is None else queries
     noted = gate.annotate(rows)
     grounded = gate.grounding(queries, "text", opening_titles(spark, d), "title", noted.where("NOT is_noise"))
     return gate.verdicts(queries, gate.relevance_aggregate(noted), grounded, providers)
