@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as C
 from ..functions import text
 from ..operators import chunking, retrieval
+from ..sources.store import stored
 from ..sources.tables import materialize, table
 from . import sql as S
 from .candidates import built_chunks, chunks_of, docs_of, queries_of
@@ -163,12 +164,18 @@ def bm25_topk(spark, d):
 
 
 def sparse_list(spark, d) -> DataFrame:
-    found = retrieval.bm25_topk(queries_of(spark, d), docs_of(spark, d), "doc_id", "text", C.BRANCH_DEPTH)
-    return found.withColumnRenamed("doc_id", "id")
+    """The sparse branch, one table per version of documents and questions."""
+    def build() -> DataFrame:
+        found = retrieval.bm25_topk(queries_of(spark, d), docs_of(spark, d), "doc_id", "text", C.BRANCH_DEPTH)
+        return found.withColumnRenamed("doc_id", "id")
+
+    return stored(spark, d, "sparse", ["documents", "benchmark"], build)
 
 
 def dense_list(spark, d) -> DataFrame:
-    return retrieval.dense_topk(query_vectors(spark, d), vectors_of(spark, d), C.BRANCH_DEPTH)
+    """The dense branch, one table per version of vectors and questions."""
+    return stored(spark, d, "dense", ["embeddings", "benchmark"],
+                  lambda: retrieval.dense_topk(query_vectors(spark, d), vectors_of(spark, d), C.BRANCH_DEPTH))
 
 
 def fused_sql(limit: int) -> str:

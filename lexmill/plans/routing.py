@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..operators import context, gate, routing
-from ..sources.tables import materialize, table
+from ..sources.store import stored
+from ..sources.tables import table
 from . import sql as S
 from .candidates import chunks_of, refined_web
 from .gating import CUT, OPENING, graded, sql_signals, verdict_sql
@@ -53,9 +54,10 @@ def questions(spark, d):
 
 
 def routed_of(spark, d):
-    """(routes, candidates); the lists are written once because later steps read them several times."""
-    asked = materialize(routing.routed(questions(spark, d)), "routes")
-    return asked, materialize(routing.routed_candidates(asked, chunks_of(spark, d)), "routed")
+    """(routes, candidates), one table each per version of documents and questions."""
+    asked = stored(spark, d, "routes", ["benchmark"], lambda: routing.routed(questions(spark, d)))
+    rows = stored(spark, d, "routed", ["documents", "benchmark"], lambda: routing.routed_candidates(asked, chunks_of(spark, d)))
+    return asked, rows
 
 
 @query("routed_retrieval", ROUTED + """
