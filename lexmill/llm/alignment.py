@@ -198,7 +198,7 @@ class Pair:
         joined = [i for i, p in enumerate(parts) if self.separable and p and "!" <= p[0] <= "~" and "!" <= p[-1] <= "~"]
         raw = [(" " + p).encode("utf-8", "surrogatepass") for p in parts]
         length = np.array([len(r) for r in raw], dtype=np.int64)
-        ids: list[list[list[int]]] = [[], []]
+        ids: list[list[np.ndarray]] = [[], []]
         size = [np.zeros(len(parts), dtype=np.int64) for _ in range(2)]
         ok = np.zeros(len(parts), dtype=bool)
         runs = [joined[at : at + RUN_PARTS] for at in range(0, len(joined), RUN_PARTS)]
@@ -210,7 +210,7 @@ class Pair:
                 joined = [i for i in joined if i not in set(run)]
                 continue
             borders = np.cumsum(length[run])
-            for k, (flat, lengths) in enumerate(((a, self.length_a), (b, self.length_b))):
+            for k, (flat, lengths) in enumerate(((np.array(a, np.int64), self.length_a), (np.array(b, np.int64), self.length_b))):
                 upto = np.searchsorted(np.cumsum(lengths[flat]), borders, side="right")
                 size[k][run] = np.diff(upto, prepend=0)
                 ids[k].append(flat)
@@ -220,11 +220,11 @@ class Pair:
         for i, (a, b, same) in zip(single, self.tokens([parts[i] for i in single]), strict=True):
             if same:
                 ok[i], size[0][i], size[1][i] = True, len(a), len(b)
-                ids[0].append(a)
-                ids[1].append(b)
+                ids[0].append(np.array(a, np.int64))
+                ids[1].append(np.array(b, np.int64))
                 order.append(i)
         place = np.array(order, dtype=np.int64)
-        flat = [np.array([i for held in ids[k] for i in held], dtype=np.int64) for k in range(2)]
+        flat = [np.concatenate([np.zeros(0, np.int64), *ids[k]]) for k in range(2)]
         # back into the order of the parts
         for k in range(2):
             start = np.zeros(len(parts), dtype=np.int64)
@@ -460,19 +460,54 @@ def pieces(pair: Pair, text: str, size: int) -> Iterator[tuple[int, str]]:
     yield start, " ".join(held)
 
 
-def piece_fragments(pair: Pair, start: int, text: str, size: int) -> Iterator[tuple[int, Fragment]]:
-    """(place, fragment) for each range of ``size`` bytes of the document that the piece has tokens in."""
-    ((a, b, same),) = pair.tokens([text])
-    if not same:
+def composed(fragments: list[Fragment]) -> Fragment:
+    """The product of fragments in order, neighbours first, so that nothing is copied more than log2(n) times."""
+    while len(fragments) > 1:
+        pairs = [x + y for x, y in zip(fragments[::2], fragments[1::2], strict=False)]
+        fragments = pairs + fragments[len(pairs) * 2 :]
+    return fragments[0]
+
+
+def piece_fragments(parts: Parts, start: int, text: str, size: int) -> Iterator[tuple[int, Fragment]]:
+    """(place, fragment) for each range of ``size`` bytes of the document that the piece has tokens in.
+
+    A token belongs to the range in which it ends, (k * size, (k + 1) * size].  Parts inside a range are closed; a
+    part across a border is open on both sides of it.
+    """
+    cut = parts.pair.parts(text)
+    numbers = parts.numbers(cut)
+    known = parts.known
+    if not known.counts[numbers, 3].all():
         yield start, Fragment(ok=False)
         return
-    a, b = pair.ends(a, b, start)
-    # a token belongs to the range in which it ends, (k * size, (k + 1) * size]
-    cuts = [(k, [t for t in a if (t[1] - 1) // size == k], [t for t in b if (t[1] - 1) // size == k])
-            for k in range(start // size, (max(a[-1][1], b[-1][1]) - 1) // size + 1)]
-    for k, x, y in cuts:
-        if x or y:
-            yield max(start, k * size), fragment(x, y)
+    ends = start + np.cumsum([len(p.encode("utf-8", "surrogatepass")) + 1 for p in cut])
+    low, high = np.append(start, ends[:-1]) // size, (ends - 1) // size
+    where = _offsets(known.sizes)
+    held: dict[int, list[Fragment]] = {}
+
+    def close(mine: np.ndarray) -> Fragment:
+        at = np.concatenate([np.arange(where[k], where[k + 1]) for k in mine.tolist()])
+        pairs, mult = summed(known.pairs[at], known.mult[at])
+        n_a, n_b, n_groups, _ = known.counts[mine].sum(axis=0).tolist()
+        links = Counter(dict(zip(pairs.tolist(), mult.tolist(), strict=True)))
+        return Fragment(cut=True, groups=[";".join([known.groups[k] for k in mine.tolist()])], links=links, n_a=n_a, n_b=n_b, n_groups=n_groups)
+
+    inside = low == high
+    change = np.flatnonzero(np.diff(np.where(inside, low, -1 - np.arange(len(low))), prepend=-1 - len(low)))
+    for i, j in zip(change, [*change[1:], len(low)], strict=True):
+        if inside[i]:
+            held.setdefault(int(low[i]), []).append(close(numbers[i:j]))
+            continue
+        ((a, b, _),) = parts.pair.tokens([cut[i]])
+        a, b = parts.pair.ends(a, b, int(ends[i - 1]) if i else start)
+        split: dict[int, tuple[list, list]] = {}
+        for side, tokens in enumerate((a, b)):
+            for t in tokens:
+                split.setdefault((t[1] - 1) // size, ([], []))[side].append(t)
+        for k in sorted(split):
+            held.setdefault(k, []).append(fragment(*split[k]))
+    for k in sorted(held):
+        yield max(start, k * size), composed(held[k])
 
 
 def to_row(uid: int, doc_id: int | None, at: int, f: Fragment) -> tuple:
@@ -507,17 +542,15 @@ def long_fragments(docs: DataFrame, make: tuple, piece: int, size: int) -> DataF
                 yield pd.DataFrame(rows, columns=["uid", "doc_id", "at", "text"]).astype({"doc_id": "Int64"})
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pair = load(*make)
+        parts = Parts(load(*make))
         for part in batches:
             for r in part.itertuples():
                 doc_id = None if pd.isna(r.doc_id) else r.doc_id
-                yield frame([to_row(r.uid, doc_id, at, f) for at, f in piece_fragments(pair, r.at, r.text, size)])
+                yield frame([to_row(r.uid, doc_id, at, f) for at, f in piece_fragments(parts, r.at, r.text, size)])
 
     def compose(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("at")
-        first, whole = rows.iloc[0], None
-        for r in rows.itertuples():
-            whole = to_fragment(r) if whole is None else whole + to_fragment(r)
+        first, whole = rows.iloc[0], composed([to_fragment(r) for r in rows.itertuples()])
         doc_id = None if pd.isna(first["doc_id"]) else int(first["doc_id"])
         return frame([to_row(int(first["uid"]), doc_id, int(first["at"]), whole)])
 
