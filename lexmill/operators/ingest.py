@@ -49,14 +49,24 @@ def standard_date(value: Column) -> Column:
     return F.when(value.rlike(DATE_NOTATION), F.to_date(value.try_cast("timestamp")))
 
 
+def names_of(items: str) -> Column:
+    """Non-empty names of an array of records; a missing array has none."""
+    names = F.transform(F.coalesce(F.col(items), F.array().cast("array<struct<name:string>>")), lambda g: g["name"])
+    return F.filter(names, lambda n: F.coalesce(n, F.lit("")) != "")
+
+
 def flatten_record(df: DataFrame) -> DataFrame:
-    """Nested record to one flat row with typed nullable columns."""
-    names = F.filter(F.transform("genres", lambda g: g["name"]), lambda n: n.isNotNull())
+    """Nested record to one flat row with typed nullable columns; lists become comma-separated strings."""
+    english = F.filter("tags", lambda t: (t["language"] == "eng") & (F.coalesce(t["name"], F.lit("")) != ""))
+    shares = F.transform("shares", lambda r: F.struct(
+        r["title"].alias("label"), r["percent"].try_cast("double").alias("percent"), r["count"].try_cast("int").alias("count")))
     return df.select(
-        F.col("id").try_cast("bigint").alias("game_id"), F.col("name").alias("title"),
+        F.col("id").try_cast("bigint").alias("game_id"), F.col("name").alias("title"), "description",
         standard_date(F.col("released")).alias("release_date"),
         F.substring("released", 1, 4).try_cast("int").alias("release_year"),
-        F.array_join(distinct_ci(names), ",").alias("genres"),
+        *[F.array_join(distinct_ci(names_of(c)), ",").alias(c) for c in ("genres", "developers", "publishers")],
+        F.coalesce(F.array_join(F.transform(english, lambda t: t["name"]), ","), F.lit("")).alias("tags"),
+        shares.alias("rating_shares"),
         F.col("ratings.average").try_cast("double").alias("average_rating"),
         F.col("ratings.critic").try_cast("int").alias("critic_score"),
         (F.coalesce(F.size("platforms"), F.lit(0)) > 0).alias("has_platform_specs"),
@@ -102,6 +112,23 @@ def review_mean(reviews: Column) -> Column:
     return F.when(F.size(scores) > 0, F.round(total / F.size(scores), 2))
 
 
+def review_summary(df: DataFrame, carry: list[str]) -> DataFrame:
+    """average_score, the review items with ISO dates, and the article list of every record; missing lists are empty."""
+    def listed(items: str, fields: list[str]) -> Column:
+        def one(x: Column) -> Column:
+            text_of = F.coalesce(F.nullif(x["review_text"], F.lit("")), x["body"]) if items == "reviews" else x["body"]
+            return F.struct(x["title"].alias("title"), *[x[f].alias(f) for f in fields],
+                            standard_date(x["publish_date"]).alias("date"), text_of.alias("body"))
+
+        found = F.transform(items, one)
+        return F.coalesce(found, F.array().cast(df.select(found).schema[0].dataType))
+
+    return df.select(
+        *carry, review_mean(F.col("reviews")).alias("average_score"),
+        listed("reviews", ["score"]).alias("items"), listed("articles", ["deck"]).alias("articles"),
+    )
+
+
 def articles(df: DataFrame, about: str, detailed: str, name: str, carry: list[str]) -> DataFrame:
     """Article rows of a record; a second body equal to the first is left out."""
     dash = F.lit(" — ")
@@ -115,19 +142,30 @@ def articles(df: DataFrame, about: str, detailed: str, name: str, carry: list[st
 
 
 def best_match(queries: DataFrame, records: DataFrame, on: list[str]) -> DataFrame:
-    """Best record per query: exact slug, slug prefix, else the first result.
+    """Best record per query among the records of its list ``on``: exact slug, slug prefix, else the first.
 
-    The ladder is one minimum over a struct, so it combines map-side.
+    Every record is listed once under each prefix of its slug.  Per list, prefix, tier and year only the earliest
+    record is kept, a minimum that combines map-side, so a query meets a row per tier and year of its own slug,
+    however many records its list has.
     """
-    pairs = records.join(queries, on)
-    mine, wanted = keys.slug(F.col("name")), keys.slug(F.col("query"))
-    tier = F.when(mine == wanted, 1).when(F.startswith(mine, wanted), 2).otherwise(3)
-    graded = pairs.withColumn("tier", tier)
-    ranked = F.col("tier") < 3
-    miss = F.when(ranked & (F.year("released") == F.col("year_hint")), 0).otherwise(1)
-    when = F.when(ranked, F.coalesce(F.col("released"), F.lit("9999-12-31").cast("date")))
-    order = F.struct(F.col("tier"), miss.alias("miss"), when.alias("at"), F.col("pos"))
-    best = graded.groupBy("query").agg(F.min_by(F.struct("record_id", "tier"), order).alias("b"))
+    far = F.lit("9999-12-31").cast("date")
+    known = records.select(
+        *on, keys.slug(F.col("name")).alias("slug"), F.year("released").alias("year"),
+        F.struct(F.coalesce(F.col("released"), far).alias("at"), "pos", "record_id").alias("row"))
+    # 0 is the empty prefix, which an empty query asks for
+    spread = known.where("slug IS NOT NULL").select(*on, "slug", "year", "row", F.explode(F.sequence(F.lit(0), F.length("slug"))).alias("n"))
+    tier = F.when(F.col("n") == F.length("slug"), 1).otherwise(2)
+    index = spread.select(*on, F.expr("substring(slug, 1, n)").alias("prefix"), tier.alias("tier"), "year", "row")
+    index = index.groupBy(*on, "prefix", "tier", "year").agg(F.min("row").alias("row"))
+    first = known.groupBy(*on).agg(F.min(F.struct("row.pos", "row.record_id")).alias("first"))
+    asked = queries.select("query", *on, "year_hint", keys.slug(F.col("query")).alias("prefix"))
+
+    miss = F.when(F.col("year") == F.col("year_hint"), 0).otherwise(1)
+    ranked = asked.join(index, [*on, "prefix"]).select("query", F.struct("tier", miss.alias("miss"), "row.at", "row.pos", "row.record_id").alias("o"))
+    none = F.lit(None).cast("date")
+    rest = asked.join(first, on).select("query", F.struct(
+        F.lit(3).alias("tier"), F.lit(1).alias("miss"), none.alias("at"), "first.pos", "first.record_id").alias("o"))
+    best = ranked.unionByName(rest).groupBy("query").agg(F.min("o").alias("b"))
     return best.select("query", "b.record_id", "b.tier")
 
 
@@ -142,15 +180,22 @@ def first_provider(providers: list[tuple[str, DataFrame]], key: str, value: str)
     return best.select(key, "b.*")
 
 
+REQUIREMENTS = ["requirements_minimum", "requirements_recommended"]
+
+
 def enrich_or_append(children: DataFrame, extra: DataFrame, owner: str, ident: list[str], name: str) -> DataFrame:
-    """Put the extra fields on the first matching child, or add a child for them.
+    """Put both requirements on the first matching child, or add a child that has them.
 
-    The first match per owner is a minimum (map-side); it is joined back on the
-    child's full identity, so an owner with very many children is no hot key.
+    extra: one row per owner with both requirements and release_date; without any requirement it changes
+    nothing.  The child's own date stays, an empty one is filled.  The first match per owner is a minimum (map-side);
+    it is joined back on the child's full identity, so an owner with very many children is no hot key.
     """
+    given = extra.where(F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in REQUIREMENTS]).isNotNull())
     match = F.lower(text.strip(F.col(name))).isin(C.PC_NAMES)
     first = children.where(match).groupBy(owner).agg(F.min(F.struct(*ident)).alias("f"))
-    filled = first.join(extra, owner).select(owner, "f.*", "requirement")
-    kept = children.join(filled, [owner, *ident], "left").withColumn("added", F.lit(False))
-    new = extra.join(first, owner, "left_anti").select(owner, F.lit("PC").alias(name), "requirement", F.lit(True).alias("added"))
+    filled = first.join(given, owner).select(owner, "f.*", *REQUIREMENTS, F.col("release_date").alias("_date"))
+    date = F.coalesce(F.nullif(F.col("release_date"), F.lit("")), "_date")
+    kept = children.join(filled, [owner, *ident], "left").withColumn("release_date", date).drop("_date").withColumn("added", F.lit(False))
+    new = given.join(first, owner, "left_anti").select(
+        owner, F.lit("PC").alias(name), F.lit("PC").alias("platform_family"), *REQUIREMENTS, "release_date", F.lit(True).alias("added"))
     return kept.unionByName(new, allowMissingColumns=True)

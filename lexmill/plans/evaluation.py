@@ -475,7 +475,17 @@ g AS (SELECT r AS n, 'When was ' || title || ' released?' AS query, 'factual' AS
   UNION ALL SELECT 40 + r, CASE WHEN r <= 4 THEN 'What''s the plot of ' || title || '?' ELSE 'What platforms can I play ' || title || ' on?' END, 'unanswerable', 'factual', TRUE FROM absent WHERE r <= 10)"""
 
 
-@query("golden_sample", "WITH " + GOLDEN_SQL + " SELECT 'g' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, query, category, expected_task, should_refuse FROM g")
+@query("golden_sample", "WITH " + GOLDEN_SQL + """,
+named AS (SELECT n, title FROM (
+  SELECT r AS n, title FROM pool WHERE r <= 20 UNION ALL SELECT 20 + (r - 19) // 2, title FROM pool WHERE r BETWEEN 21 AND 40
+  UNION ALL SELECT r - 10, title FROM pool WHERE r BETWEEN 41 AND 50)),
+ev AS (SELECT DISTINCT t.title, CASE l_returnflag WHEN 'A' THEN 'The ' || t.title || ' Review' WHEN 'N' THEN 'Review of ' || t.title ELSE t.title || ' Guide' END AS source
+  FROM lineitem JOIN part ON p_partkey = l_partkey
+  JOIN named t ON t.title = array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ') || ' ' || p_partkey),
+wanted AS (SELECT n, string_agg(DISTINCT source, '|' ORDER BY source) AS titles FROM named JOIN ev USING (title) GROUP BY n),
+ents AS (SELECT n, string_agg(title, '|' ORDER BY r) AS entities FROM named JOIN pool USING (title) GROUP BY n)
+SELECT 'g' || lpad(CAST(n AS VARCHAR), 3, '0') AS id, query, category, expected_task, should_refuse, coalesce(entities, '') AS expected_entities,
+  coalesce(titles, '') AS expected_titles, FALSE AS reviewed FROM g LEFT JOIN ents USING (n) LEFT JOIN wanted USING (n)""")
 def golden_sample(spark, d):
     """Seeded stratified sample: top rows by hash, so only 50 rows ever meet in one place."""
     from pyspark.sql import Window
@@ -494,14 +504,26 @@ def golden_sample(spark, d):
     picked, missing = first(pool, 50), first(absent, 10)
     t, r = F.col("title"), F.col("r")
 
-    def record(rows, n, words, category, task, refuse):
-        return rows.select(n.cast("bigint").alias("n"), words.alias("query"), F.lit(category).alias("category"), F.lit(task).alias("expected_task"), F.lit(refuse).alias("should_refuse"))
+    def record(rows, n, words, category, task, refuse, entities=None):
+        named = F.array().cast("array<string>") if entities is None else entities
+        return rows.select(n.cast("bigint").alias("n"), words.alias("query"), F.lit(category).alias("category"), F.lit(task).alias("expected_task"),
+                           F.lit(refuse).alias("should_refuse"), named.alias("entities"))
 
     pairs = picked.where(r.between(21, 39) & (F.pmod(r, F.lit(2)) == 1))
     plot = F.concat(F.lit("What's the plot of "), t, F.lit("?"))
     where = F.concat(F.lit("What platforms can I play "), t, F.lit(" on?"))
-    out = record(picked.where(r <= 20), r, F.concat(F.lit("When was "), t, F.lit(" released?")), "factual", "factual", False)
-    out = out.unionByName(record(pairs, F.floor((r - 19) / 2) + 20, F.concat(F.lit("What are the differences between "), t, F.lit(" and "), "other", F.lit("?")), "comparison", "comparison", False))
-    out = out.unionByName(record(picked.where(r > 40), r - 10, F.concat(F.lit("What is "), t, F.lit(" best known for?")), "listicle", "listicle", False))
+    out = record(picked.where(r <= 20), r, F.concat(F.lit("When was "), t, F.lit(" released?")), "factual", "factual", False, F.array(t))
+    out = out.unionByName(record(pairs, F.floor((r - 19) / 2) + 20, F.concat(F.lit("What are the differences between "), t, F.lit(" and "), "other", F.lit("?")), "comparison", "comparison", False, F.array(t, F.col("other"))))
+    out = out.unionByName(record(picked.where(r > 40), r - 10, F.concat(F.lit("What is "), t, F.lit(" best known for?")), "listicle", "listicle", False, F.array(t)))
     out = out.unionByName(record(missing, r + 40, F.when(r <= 4, plot).otherwise(where), "unanswerable", "factual", True))
-    return out.select(F.concat(F.lit("g"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "query", "category", "expected_task", "should_refuse")
+    # the source titles that hold evidence on the entities of each question
+    asked = out.select("n", F.explode("entities").alias("title"))
+    flags = table(spark, d, "lineitem").select(F.col("l_partkey").alias("p_partkey"), "l_returnflag").distinct()
+    sources = table(spark, d, "part").select("p_partkey", title.alias("title")).join(asked, "title").join(flags, "p_partkey")
+    wording = (
+        F.when(F.col("l_returnflag") == "A", F.concat(F.lit("The "), "title", F.lit(" Review")))
+        .when(F.col("l_returnflag") == "N", F.concat(F.lit("Review of "), "title")).otherwise(F.concat("title", F.lit(" Guide"))))
+    wanted = sources.groupBy("n").agg(F.array_join(F.array_sort(F.collect_set(wording)), "|").alias("titles"))
+    return out.join(wanted, "n", "left").select(
+        F.concat(F.lit("g"), F.lpad(F.col("n").cast("string"), 3, "0")).alias("id"), "query", "category", "expected_task", "should_refuse",
+        F.array_join("entities", "|").alias("expected_entities"), F.coalesce("titles", F.lit("")).alias("expected_titles"), F.lit(False).alias("reviewed"))

@@ -129,18 +129,34 @@ def nested_orders(spark, d):
         F.when(status == "P", empty).otherwise(platforms).alias("platforms"),
         F.array(F.struct(priority.alias("name")), F.struct(F.lit("Clerk").alias("name"))).alias("parent_platforms"),
         F.array(*[F.struct(g.alias("name")) for g in (F.lower(priority), F.upper(priority), none, status, F.lower(status))]).alias("genres"),
+        F.concat(F.lit("Placed by "), "o_custkey").alias("description"),
+        F.array(*[F.struct(g.alias("name")) for g in (priority, F.upper(priority), F.lit(""))]).alias("developers"),
+        F.when(status != "P", F.array(*[F.struct(g.alias("name")) for g in (status, F.lit("Clerk"), none)])).alias("publishers"),
+        F.array(*[F.struct(g.alias("name"), F.lit(x).alias("language")) for g, x in (
+            (priority, "eng"), (status, "rus"), (none, "eng"), (F.lit("Clerk"), "eng"))]).alias("tags"),
+        F.array(*[F.struct(F.lit(x).alias("title"), p.alias("percent"), n.alias("count")) for x, p, n in (
+            ("high", price, F.col("o_custkey").cast("string")), ("low", F.lit("n/a"), none))]).alias("shares"),
         F.struct(F.when(status == "P", F.lit("n/a")).otherwise(price).alias("average"), price.alias("critic")).alias("ratings"),
-        F.array(*[F.struct(F.lit(t).alias("title"), s.alias("score")) for t, s in (
-            ("a", price), ("b", F.col("o_custkey").cast("string")), ("c", F.lit("7.5")), ("d", F.lit("tbd")))]).alias("reviews"),
+        F.array(*[F.struct(F.lit(t).alias("title"), s.alias("score"), when.alias("publish_date"), long.alias("review_text"), short.alias("body"))
+                  for t, s, when, long, short in (
+            ("a", price, day, priority, status), ("b", F.col("o_custkey").cast("string"), F.lit("soon"), none, status),
+            ("c", F.lit("7.5"), none, F.lit(""), priority), ("d", F.lit("tbd"), day, none, none))]).alias("reviews"),
+        F.when(status != "P", F.array(F.struct(
+            F.concat(F.lit("On "), priority).alias("title"), day.alias("publish_date"), F.lit("deck").alias("deck"), status.alias("body")))).alias("articles"),
     )
 
 
 @query("flatten_source_record", """
 SELECT o_orderkey AS game_id, 'Order ' || o_orderkey AS title, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS release_date,
   CASE WHEN o_orderstatus <> 'P' THEN CAST(year(o_orderdate) AS INTEGER) END AS release_year, lower(o_orderpriority) || ',' || o_orderstatus AS genres,
-  CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) END AS average_rating, CAST(floor(o_totalprice) AS INTEGER) AS critic_score, o_orderstatus <> 'P' AS has_platform_specs FROM orders""")
+  CASE WHEN o_orderstatus <> 'P' THEN floor(o_totalprice) END AS average_rating, CAST(floor(o_totalprice) AS INTEGER) AS critic_score, o_orderstatus <> 'P' AS has_platform_specs,
+  'Placed by ' || o_custkey AS description, o_orderpriority AS developers, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus || ',Clerk' ELSE '' END AS publishers,
+  o_orderpriority || ',Clerk' AS tags, 'high:' || CAST(floor(o_totalprice) AS BIGINT) || ':' || o_custkey || ',low:?:?' AS rating_shares FROM orders""")
 def flatten_source_record(spark, d):
-    return ingest.flatten_record(nested_orders(spark, d))
+    flat = ingest.flatten_record(nested_orders(spark, d))
+    shares = F.transform("rating_shares", lambda r: F.concat_ws(
+        ":", r["label"], F.coalesce(r["percent"].cast("bigint").cast("string"), F.lit("?")), F.coalesce(r["count"].cast("string"), F.lit("?"))))
+    return flat.withColumn("rating_shares", F.array_join(shares, ","))
 
 
 OWNER = S.uuid5("'order-' || o_orderkey", C.ENTITY_NAMESPACE)
@@ -159,25 +175,46 @@ def explode_child_specs(spark, d):
 
 
 @query("review_summary", """
-SELECT o_orderkey AS game_id, round((floor(o_totalprice) + o_custkey + 7.5) / 3, 2) AS average_score, 4 AS items, 'a,b,c,d' AS titles FROM orders""")
+WITH o AS (SELECT *, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders)
+SELECT o_orderkey AS game_id, round((floor(o_totalprice) + o_custkey + 7.5) / 3, 2) AS average_score, 4 AS items, 'a,b,c,d' AS titles,
+  CAST(floor(o_totalprice) AS BIGINT) || ',' || o_custkey || ',7.5,tbd' AS scores, day || ',?,?,' || day AS dates,
+  o_orderpriority || ',' || o_orderstatus || ',' || o_orderpriority || ',?' AS bodies,
+  CASE WHEN o_orderstatus <> 'P' THEN 'On ' || o_orderpriority || '|' || day || '|deck|' || o_orderstatus ELSE '' END AS articles FROM o""")
 def review_summary(spark, d):
-    return nested_orders(spark, d).select(
-        F.col("id").cast("bigint").alias("game_id"), ingest.review_mean(F.col("reviews")).alias("average_score"),
-        F.size("reviews").alias("items"), F.array_join("reviews.title", ",").alias("titles"))
+    out = ingest.review_summary(nested_orders(spark, d), ["id"])
+
+    def joined(c):
+        return F.array_join(c, ",", "?")
+
+    lines = F.transform("articles", lambda a: F.concat_ws("|", a["title"], a["date"].cast("string"), a["deck"], a["body"]))
+    return out.select(
+        F.col("id").cast("bigint").alias("game_id"), "average_score", F.size("items").alias("items"), joined("items.title").alias("titles"),
+        joined("items.score").alias("scores"), joined(F.transform("items", lambda i: i["date"].cast("string"))).alias("dates"),
+        joined("items.body").alias("bodies"), F.array_join(lines, ",").alias("articles"))
 
 
 @query("enrich_or_append_child", """
-WITH c AS (SELECT DISTINCT l_orderkey AS game_id, l_linenumber AS line, l_partkey AS part, CASE l_returnflag WHEN 'A' THEN ' PC ' WHEN 'N' THEN 'Windows' ELSE 'Console' END AS platform FROM lineitem),
-x AS (SELECT o_orderkey AS game_id, o_orderpriority AS requirement FROM orders WHERE o_orderstatus <> 'P'),
-f AS (SELECT game_id, min((line, part, platform)) AS k FROM c WHERE lower(trim(platform)) IN ('pc', 'windows') GROUP BY 1)
-SELECT c.*, CASE WHEN f.k = (c.line, c.part, c.platform) THEN x.requirement END AS requirement, FALSE AS added FROM c LEFT JOIN f USING (game_id) LEFT JOIN x USING (game_id)
-UNION ALL SELECT game_id, NULL, NULL, 'PC', requirement, TRUE FROM x WHERE game_id NOT IN (SELECT game_id FROM f)""")
+WITH c AS (SELECT DISTINCT l_orderkey AS game_id, l_linenumber AS line, l_partkey AS part, CASE l_returnflag WHEN 'A' THEN ' PC ' WHEN 'N' THEN 'Windows' ELSE 'Console' END AS platform,
+    CASE WHEN l_linestatus = 'O' THEN strftime(l_shipdate, '%Y-%m-%d') ELSE '' END AS day FROM lineitem),
+x AS (SELECT o_orderkey AS game_id, CASE o_orderstatus WHEN 'F' THEN o_orderpriority END AS lo, CASE o_orderstatus WHEN 'O' THEN upper(o_orderpriority) WHEN 'P' THEN '' END AS hi,
+    CASE o_orderstatus WHEN 'F' THEN strftime(o_orderdate, '%Y-%m-%d') END AS xday FROM orders WHERE o_orderstatus <> 'P'),
+f AS (SELECT game_id, min((line, part, platform, day)) AS k FROM c WHERE lower(trim(platform)) IN ('pc', 'windows') GROUP BY 1),
+j AS (SELECT c.*, lo, hi, xday, coalesce(f.k = (c.line, c.part, c.platform, c.day), FALSE) AND x.game_id IS NOT NULL AS hit FROM c LEFT JOIN f USING (game_id) LEFT JOIN x USING (game_id))
+SELECT game_id, line, part, platform, CAST(NULL AS VARCHAR) AS platform_family, coalesce(nullif(day, ''), CASE WHEN hit THEN xday END) AS release_date,
+  CASE WHEN hit THEN lo END AS requirements_minimum, CASE WHEN hit THEN hi END AS requirements_recommended, FALSE AS added FROM j
+UNION ALL SELECT game_id, NULL, NULL, 'PC', 'PC', xday, lo, hi, TRUE FROM x WHERE game_id NOT IN (SELECT game_id FROM f)""")
 def enrich_or_append_child(spark, d):
     name = F.when(F.col("l_returnflag") == "A", " PC ").when(F.col("l_returnflag") == "N", "Windows").otherwise("Console")
+    shipped = F.when(F.col("l_linestatus") == "O", F.date_format("l_shipdate", "yyyy-MM-dd")).otherwise("")
     children = table(spark, d, "lineitem").select(
-        F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), name.alias("platform")).distinct()
-    extra = table(spark, d, "orders").where("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("game_id"), F.col("o_orderpriority").alias("requirement"))
-    return ingest.enrich_or_append(children, extra, "game_id", ["line", "part", "platform"], "platform")
+        F.col("l_orderkey").alias("game_id"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), name.alias("platform"),
+        shipped.alias("day")).distinct().withColumn("release_date", F.col("day")).withColumn("platform_family", F.lit(None).cast("string"))
+    status, priority = F.col("o_orderstatus"), F.col("o_orderpriority")
+    extra = table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("game_id"), F.when(status == "F", priority).alias("requirements_minimum"),
+        F.when(status == "O", F.upper(priority)).when(status == "P", "").alias("requirements_recommended"),
+        F.when(status == "F", F.date_format("o_orderdate", "yyyy-MM-dd")).alias("release_date"))
+    return ingest.enrich_or_append(children, extra, "game_id", ["line", "part", "platform", "day"], "platform").drop("day")
 
 
 KINDS = {"STANDARD": 0, "ECONOMY": 1, "MEDIUM": 2, "LARGE": 3, "SMALL": 4, "PROMO": 14}
