@@ -20,6 +20,10 @@ from ..sources.tables import materialize
 
 TILE_VECTORS = 20_000
 TILE_QUERIES = 1_000
+# queries that meet a tile at a time; beyond them the tile is copied
+GROUP_QUERIES = 50_000
+# vectors per ball aimed at, most balls, and the bounded sample their centres and the queries' floors come from
+BALL_VECTORS, MAX_BALLS, SAMPLE_VECTORS, CENTRE_ROUNDS = 5_000, 256, 8_192, 5
 # postings of rare terms that give a query the score its list has to reach
 FLOOR_POSTINGS = 2_000
 # true neighbours an approximate search must meet on its sample, and queries in that sample
@@ -146,59 +150,148 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.where(norms == 0, 1.0, norms)
 
 
-def _cosine_tiles(queries: DataFrame, vectors: DataFrame, keep: Callable) -> DataFrame:
-    """Cosine of query tiles against vector tiles, ``keep`` applied inside each tile.
+def _angles(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(a @ b.T, -1.0, 1.0))
 
-    Both sides are cut into tiles of bounded size by a hash of their id, so no
-    tile depends on a data key and none is broadcast.  A tile pair is one
-    matrix product; only the rows ``keep`` selects leave it.  Tile counts come
-    from row counts, two cheap metadata scans.
-    """
-    n_vec = max(1, -(-vectors.count() // TILE_VECTORS), vectors.sparkSession.sparkContext.defaultParallelism)
-    n_qry = max(1, -(-queries.count() // TILE_QUERIES))
 
-    def tile(c: str, n: int) -> Column:
-        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+def ball_centres(sample: np.ndarray, balls: int) -> np.ndarray:
+    """Unit centres of a bounded sample of unit vectors: a few rounds of spherical k-means from its first rows."""
+    centres = sample[:balls]
+    for _ in range(CENTRE_ROUNDS):
+        mine = np.argmax(sample @ centres.T, axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, mine, sample)
+        norms = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(norms > 0, sums / np.where(norms == 0, 1.0, norms), centres)
+    return centres
 
-    left = vectors.select(
-        F.col("id"), F.col("vec"), tile("id", n_vec).alias("vt"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_qry - 1))).alias("qt"),
-    )
-    right = queries.select(
-        F.col("query_id"), F.col("vec"), tile("query_id", n_qry).alias("qt"),
-        F.explode(F.sequence(F.lit(0), F.lit(n_vec - 1))).alias("vt"),
-    )
+
+def dealt_to_balls(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
+    """id, vec, the ball of the nearest centre, and the angle to it.  Zero vectors, which have no direction, are ball -1."""
+    kind = vectors.schema["vec"].dataType.simpleString()
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            unit = _unit(part["vec"])
+            angle = _angles(unit, centres)
+            ball = angle.argmin(axis=1)
+            still = np.linalg.norm(unit, axis=1) == 0
+            yield part.assign(ball=np.where(still, -1, ball).astype("int32"), angle=np.where(still, 0.0, angle[np.arange(len(ball)), ball]))
+
+    return vectors.select("id", "vec").mapInPandas(run, f"id BIGINT, vec {kind}, ball INT, angle DOUBLE")
+
+
+def ball_visits(queries: DataFrame, centres: np.ndarray, balls: dict[int, tuple[float, int]], floor: Callable) -> DataFrame:
+    """A row per query and tile of a ball that may hold a vector at or above the query's floor.
+
+    On the unit sphere no vector of a ball is nearer to a query than the angle to the centre less the radius.
+    """
+    names = np.array(sorted(balls), dtype="int32")
+    radius = np.array([balls[b][0] for b in names.tolist()])
+    parts = np.array([balls[b][1] for b in names.tolist()])
+    kind = queries.schema["vec"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            unit = _unit(part["vec"])
+            nearest = np.cos(np.maximum(0.0, _angles(unit, centres)[:, np.maximum(names, 0)] - radius))
+            # the zero vector has cosine 0 to everything, and so has a zero query
+            nearest[:, names < 0] = 0.0
+            nearest[np.linalg.norm(unit, axis=1) == 0] = 0.0
+            # scores are rounded to six digits before they are compared
+            q, at = np.nonzero(nearest >= floor(unit)[:, None] - 2e-6)
+            times = parts[at]
+            tile = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            rows = part.iloc[np.repeat(q, times)]
+            yield rows.assign(ball=np.repeat(names[at], times), tile=tile.astype("int32"))
+
+    return queries.select("query_id", "vec").mapInPandas(run, f"query_id BIGINT, vec {kind}, ball INT, tile INT")
+
+
+def dense_plan(queries: DataFrame, vectors: DataFrame, k: int | None, cut: float | None) -> tuple[DataFrame, DataFrame]:
+    """(tiles, visits): the vectors in bounded tiles of balls, and which query has to see which tile.
+
+    A query's floor is ``cut``, or the score that its ``k``-th best reaches in a bounded sample.  Up to BALL_VECTORS
+    vectors are one ball, in which nothing can be left out.
+    """
+    vectors, queries = vectors.where("vec IS NOT NULL"), queries.where("vec IS NOT NULL")
+    n = vectors.count()
+    count = min(MAX_BALLS, -(-n // BALL_VECTORS))
+    width = vectors.sparkSession.sparkContext.defaultParallelism
+    if count <= 1:
+        tiles = max(width, -(-n // TILE_VECTORS))
+        one = vectors.select("id", "vec", F.lit(0).alias("ball"), F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int").alias("tile"))
+        every = queries.select("query_id", "vec", F.lit(0).alias("ball"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
+        return one, every
+    drawn = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_VECTORS).select("vec").toPandas()["vec"]
+    sample = _unit(drawn)
+    sample = sample[np.linalg.norm(sample, axis=1) > 0]
+    centres = ball_centres(sample, count) if len(sample) else np.zeros((1, len(drawn.iloc[0])))
+    dealt = materialize(dealt_to_balls(vectors, centres), "balls")
+    sizes = dealt.groupBy("ball").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # one row per ball
+    balls = {r["ball"]: (r["radius"] + 1e-9, -(-r["n"] // TILE_VECTORS)) for r in sizes}
+    parts = F.coalesce(*[F.when(F.col("ball") == b, t) for b, (_, t) in balls.items() if t > 1], F.lit(1))
+    tiles = dealt.select("id", "vec", "ball", F.pmod(F.xxhash64("id"), parts).cast("int").alias("tile"))
+
+    def floor(unit: np.ndarray) -> np.ndarray:
+        if cut is not None or len(sample) < k:
+            return np.full(len(unit), -2.0 if cut is None else cut)
+        return np.partition(np.round(unit @ sample.T, 6), len(sample) - k, axis=1)[:, len(sample) - k]
+
+    return tiles, ball_visits(queries, centres, balls, floor)
+
+
+def _scored_tiles(tiles: DataFrame, visits: DataFrame, n_queries: int, keep: Callable) -> DataFrame:
+    """Cosine of each tile's vectors and the queries that visit it, ``keep`` applied to blocks of TILE_QUERIES.
+
+    Vectors travel once for every GROUP_QUERIES queries; a group holds a tile and at most about that many.
+    """
+    groups = max(1, -(-n_queries // GROUP_QUERIES))
+    left = tiles.withColumn("qt", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))) if groups > 1 else tiles.withColumn("qt", F.lit(0))
+    right = visits.withColumn("qt", F.pmod(F.xxhash64("query_id"), F.lit(groups)).cast("int"))
+    right = right.withColumnsRenamed({"ball": "q_ball", "tile": "q_tile", "qt": "q_qt"})
 
     def score(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype(
-                {"query_id": "int64", "id": "int64", "score": "float64"})
-        cos = np.round(_unit(b["vec"]) @ _unit(a["vec"]).T, 6)
-        q, v = keep(cos, a["id"].to_numpy())
-        return pd.DataFrame({"query_id": b["query_id"].to_numpy()[q], "id": a["id"].to_numpy()[v], "score": cos[q, v]})
+        held = [pd.DataFrame({"query_id": np.zeros(0, "int64"), "id": np.zeros(0, "int64"), "score": np.zeros(0)})]
+        if len(a) and len(b):
+            unit, ids = _unit(a["vec"]), a["id"].to_numpy()
+            for at in range(0, len(b), TILE_QUERIES):
+                part = b.iloc[at : at + TILE_QUERIES]
+                cos = np.round(_unit(part["vec"]) @ unit.T, 6)
+                q, v = keep(cos, ids)
+                held.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[q], "id": ids[v], "score": cos[q, v]}))
+        return pd.concat(held)
 
     return (
-        left.groupBy("vt", "qt").cogroup(right.groupBy("vt", "qt"))
+        left.groupBy("ball", "tile", "qt").cogroup(right.groupBy("q_ball", "q_tile", "q_qt"))
         .applyInPandas(score, "query_id BIGINT, id BIGINT, score DOUBLE")
     )
 
 
 def dense_candidates(queries: DataFrame, vectors: DataFrame, floor: float) -> DataFrame:
-    """Every (query, vector) pair whose cosine reaches the floor."""
-    return _cosine_tiles(queries, vectors, lambda cos, ids: np.nonzero(cos >= floor))
+    """Every (query, vector) pair whose cosine reaches the floor; balls that cannot reach it are not visited."""
+    tiles, visits = dense_plan(queries, vectors, None, floor)
+    return _scored_tiles(tiles, visits, queries.count(), lambda cos, ids: np.nonzero(cos >= floor))
 
 
 def dense_topk(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """Exact cosine top-k: top-k inside each tile, then across tiles."""
+    """Exact cosine top-k: top-k inside each visited tile, then across tiles."""
 
     def best(cos: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((np.broadcast_to(ids, cos.shape), -cos), axis=1)[:, :k]
         return np.repeat(np.arange(cos.shape[0]), order.shape[1]), order.ravel()
 
-    scored = _cosine_tiles(queries, vectors, best)
+    tiles, visits = dense_plan(queries, vectors, k, None)
+    scored = _scored_tiles(tiles, visits, queries.count(), best)
     return top_k(scored, "id", k).select("query_id", "rank", "id", "score")
 
 
+def dense_pairs_scored(tiles: DataFrame, visits: DataFrame) -> DataFrame:
+    """How many (query, vector) pairs a plan scores."""
+    sizes = tiles.groupBy("ball", "tile").agg(F.count("*").alias("n"))
+    return visits.groupBy("ball", "tile").agg(F.count("*").alias("q")).join(sizes, ["ball", "tile"]).agg(F.sum(F.col("q") * F.col("n")).alias("pairs"))
+
+
 def sign_planes(count: int, dim: int) -> np.ndarray:
     """Directions of +1 and -1 from the first hex digit of an MD5, so that any engine can make them."""
     digit = [[int(hashlib.md5(f"{p}:{i}".encode()).hexdigest()[0], 16) for i in range(dim)] for p in range(count)]

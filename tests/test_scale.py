@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -120,6 +121,28 @@ def test_dense_topk_is_exact_over_many_tiles(spark, monkeypatch):
     assert {(g["query_id"], g["rank"], g["id"]) for g in got} == want
 
 
+def _clusters(seed, clusters, each, dim=8):
+    rng = np.random.default_rng(seed)
+    return np.repeat(rng.normal(size=(clusters, dim)), each, axis=0) + rng.normal(scale=0.02, size=(clusters * each, dim))
+
+
+def test_balls_leave_out_pairs_and_no_result(spark, monkeypatch):
+    for name, value in {"BALL_VECTORS": 20, "TILE_VECTORS": 30, "SAMPLE_VECTORS": 300, "GROUP_QUERIES": 11, "TILE_QUERIES": 4}.items():
+        monkeypatch.setattr(retrieval, name, value)
+    v = np.vstack([_clusters(1, 30, 20), np.zeros((3, 8)), np.random.default_rng(2).normal(size=(40, 8))])
+    q = np.vstack([v[::31], np.zeros((1, 8)), np.random.default_rng(3).normal(size=(4, 8))])
+    vectors = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(9999, None)], "id BIGINT, vec ARRAY<DOUBLE>")
+    queries = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(q)], "query_id BIGINT, vec ARRAY<DOUBLE>")
+    cos = np.round(retrieval._unit(pd.Series(list(q))) @ retrieval._unit(pd.Series(list(v))).T, 6)
+    want = {(i, n + 1, int(j)) for i in range(len(q)) for n, j in enumerate(np.lexsort((np.arange(len(v)), -cos[i]))[:5])}
+    got = retrieval.dense_topk(queries, vectors, 5).collect()
+    assert {(g["query_id"], g["rank"], g["id"]) for g in got} == want
+    pairs = {(r["query_id"], r["id"]) for r in retrieval.dense_candidates(queries, vectors, 0.9).collect()}
+    assert pairs == {(int(i), int(j)) for i, j in zip(*np.nonzero(cos >= 0.9))}
+    plan = retrieval.dense_plan(queries.where("query_id < 20"), vectors, 5, None)
+    assert retrieval.dense_pairs_scored(*plan).first()["pairs"] < 0.5 * 20 * len(v)
+
+
 @pytest.mark.parametrize("sf", ["sf0.001", "sf0.1"])
 def test_lsh_recall(spark, sf):
     import __spark_entry__ as e
