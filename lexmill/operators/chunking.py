@@ -59,25 +59,48 @@ def drop_reason(content: Column) -> Column:
     )
 
 
-def newest_owner(chunks: DataFrame) -> DataFrame:
-    """One row per chunk id; equal text under several owners goes to the smallest.
+#: ``reason`` of a window that no rule drops.
+KEPT = "kept"
 
-    ``row_number = 1`` is pushed below the shuffle as a group limit, so a text
-    copied a billion times leaves each map task once.
-    """
-    order = Window.partitionBy("chunk_uuid").orderBy("doc_id", "chunk_index")
-    return chunks.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn")
 
+def judged_windows(docs: DataFrame, rare_entities: bool = True) -> DataFrame:
+    """Every window of every document with its key and the rule that drops it, or KEPT.
 
-def build_chunks(docs: DataFrame, rare_entities: bool = True) -> DataFrame:
-    """Documents to stored chunks: cut, filter, key, de-duplicate by id."""
+    ``row`` tells repeated rows apart; it is given by the task, so write the table before using it.
+    """
     cut = chunk_words(docs, "text", "source", ["doc_id", "source", "lang"], rare_entities=rare_entities)
-    kept = cut.where(drop_reason(F.col("content")).isNull())
-    keyed = kept.select(
-        keys.chunk_uuid(F.col("content")).alias("chunk_uuid"), "doc_id", "chunk_index", "source", "lang",
-        "source_title", "content", F.sha2("content", 256).alias("content_hash"),
+    return cut.select(
+        F.monotonically_increasing_id().alias("row"), keys.chunk_uuid(F.col("content")).alias("chunk_uuid"), "doc_id", "chunk_index",
+        "source", "lang", "source_title", "content", F.sha2("content", 256).alias("content_hash"),
+        F.coalesce(drop_reason(F.col("content")), F.lit(KEPT)).alias("reason"),
     )
-    return newest_owner(keyed)
+
+
+def later_copies(kept: DataFrame) -> DataFrame:
+    """Rows whose chunk id an earlier owner has; equal text under several owners goes to the smallest.
+
+    Only keys are read and shuffled, and the minimum combines map-side, so a text copied a billion times leaves
+    each map task once.
+    """
+    place = F.struct("doc_id", "chunk_index", "row")
+    first = kept.groupBy("chunk_uuid").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    return kept.join(first, "chunk_uuid").where(F.col("row") != F.col("first.row")).select("row")
+
+
+def chunks_from(windows: DataFrame, copies: DataFrame) -> DataFrame:
+    """Stored chunks: the kept windows without later copies; texts stay where they lie while the copies are few."""
+    kept = windows.where(F.col("reason") == KEPT)
+    return kept.join(copies, "row", "left_anti").drop("row", "reason")
+
+
+def build_chunks(docs: DataFrame, rare_entities: bool = True) -> DataFrame:
+    """Documents to stored chunks in one go, for a batch: cut, filter, key, one row per chunk id.
+
+    ``row_number = 1`` is pushed below the shuffle as a group limit.
+    """
+    kept = judged_windows(docs, rare_entities).where(F.col("reason") == KEPT)
+    order = Window.partitionBy("chunk_uuid").orderBy("doc_id", "chunk_index")
+    return kept.withColumn("_rn", F.row_number().over(order)).where("_rn = 1").drop("_rn", "row", "reason")
 
 
 def split_sections(docs: DataFrame, body: str, carry: list[str]) -> DataFrame:

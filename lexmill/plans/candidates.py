@@ -22,13 +22,17 @@ def queries_of(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def chunks_of(spark: SparkSession, d: str) -> DataFrame:
-    """The chunk store: built once per version of the documents, then scanned column by column."""
-    return stored(spark, d, "chunks", ["documents"], lambda: built_chunks(spark, d))
+def windows_of(spark: SparkSession, d: str) -> DataFrame:
+    """All windows of the documents, kept and dropped ones apart, cut once per version of the documents."""
+    return stored(spark, d, "windows", ["documents"], lambda: chunking.judged_windows(docs_of(spark, d)), split_by="reason")
 
 
-def built_chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.build_chunks(docs_of(spark, d))
+def chunks_of(spark: SparkSession, d: str) -> DataFrame:
+    """The chunk store: the kept windows less the stored list of later copies."""
+    windows = windows_of(spark, d)
+    keys = windows.where(F.col("reason") == chunking.KEPT).select("row", "chunk_uuid", "doc_id", "chunk_index")
+    copies = stored(spark, d, "copies", ["documents"], lambda: chunking.later_copies(keys))
+    return chunking.chunks_from(windows, copies)
 
 
 def coverage(query: Column, body: Column) -> Column:

@@ -11,7 +11,7 @@ from ..operators import chunking, retrieval
 from ..sources.store import stored
 from ..sources.tables import materialize, table
 from . import sql as S
-from .candidates import built_chunks, chunks_of, docs_of, queries_of
+from .candidates import chunks_of, docs_of, queries_of, windows_of
 from .registry import query
 
 
@@ -38,7 +38,7 @@ def chunk_words(spark, d):
 @query("chunk_build", "WITH " + S.CHUNKS + """
 SELECT chunk_uuid, doc_id, chunk_index, source AS source_title, sha256(content) AS content_hash FROM chunks""")
 def chunk_build(spark, d):
-    return built_chunks(spark, d).select("chunk_uuid", "doc_id", "chunk_index", "source_title", "content_hash")
+    return chunks_of(spark, d).select("chunk_uuid", "doc_id", "chunk_index", "source_title", "content_hash")
 
 
 query("chunk_pipeline", "WITH " + S.CHUNKS + """
@@ -49,10 +49,9 @@ SELECT chunk_uuid, doc_id, chunk_index, source AS source_title, sha256(content)
 judged AS (SELECT coalesce({S.drop_reason('content')}, 'kept') AS reason FROM windows)
 SELECT coalesce(reason, 'generated') AS reason, count(*) AS n FROM judged GROUP BY GROUPING SETS ((reason), ())""")
 def drop_counts_by_reason(spark, d):
-    cut = chunking.chunk_words(docs_of(spark, d), "text", "source", ["doc_id"])
-    reason = F.coalesce(chunking.drop_reason(F.col("content")), F.lit("kept"))
+    """Counted from the written windows, whose folders are the reasons: the texts are cut and judged once."""
     return (
-        cut.select(reason.alias("reason")).rollup("reason").agg(F.count("*").alias("n"))
+        windows_of(spark, d).select("reason").rollup("reason").agg(F.count("*").alias("n"))
         .select(F.coalesce("reason", F.lit("generated")).alias("reason"), "n")
     )
 

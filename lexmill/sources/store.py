@@ -68,17 +68,19 @@ def manifest_path(spark: SparkSession, name: str, version: str) -> str:
     return f"{scratch_root(spark)}/{FOLDER}/{name}/{version}.json"
 
 
-def stored(spark: SparkSession, d: str, name: str, inputs: list[str], build: Callable[[], DataFrame], revision: int = 1) -> DataFrame:
+def stored(spark: SparkSession, d: str, name: str, inputs: list[str], build: Callable[[], DataFrame], revision: int = 1,
+           split_by: str | None = None) -> DataFrame:
     """The table ``name`` for the present version of ``inputs``: read if published, else built and published.
 
-    Raise ``revision`` when ``build`` changes its result.
+    Raise ``revision`` when ``build`` changes its result.  ``split_by`` names a column whose values get folders of their
+    own in the one write: rows kept and rows left out, say; a filter on it reads only its folder.
     """
     manifest = manifest_path(spark, name, fingerprint(spark, d, inputs, revision))
     body = _read_text(spark, manifest)
     if body is None:
         df = build()
         data = f"{manifest.rsplit('/', 1)[0]}/data-{uuid.uuid4().hex}"
-        df.write.parquet(data)
+        (df.write.partitionBy(split_by) if split_by else df.write).parquet(data)
         _write_text(spark, manifest, json.dumps({"data": data, "schema": df.schema.json(), "built": time.time(), "inputs": inputs}))
         body = _read_text(spark, manifest)
     known = json.loads(body)
