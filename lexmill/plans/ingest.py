@@ -9,6 +9,7 @@ from ..functions import keys, text
 from ..operators import ingest
 from ..session import scratch_path
 from ..sources import tables
+from ..sources.store import stored
 from ..sources.tables import spread, table
 from . import sql as S
 from .registry import query
@@ -85,7 +86,12 @@ def contract_quarantine(spark, d):
     reason = (
         F.when(text.blank(F.col("text")), "empty_content").when(F.col("doc_id").isNull(), "missing_owner")
         .when(~F.coalesce("source", F.lit("")).isin(SOURCES), "bad_source").when(~F.coalesce("lang", F.lit("")).isin("en", "fr"), "bad_content_type"))
-    return spread(table(spark, d, "documents"), "doc_id").select("doc_id", reason.isNull().alias("accepted"), reason.alias("reject_reason"))
+    def build():
+        docs = spread(table(spark, d, "documents"), "doc_id")
+        return docs.select("*", reason.alias("reject_reason"), reason.isNull().alias("accepted"))
+
+    # accepted rows and the quarantine are the two folders of one write
+    return stored(spark, d, "contract", ["documents"], build, split_by="accepted").select("doc_id", "accepted", "reject_reason")
 
 
 # ---------------------------------------------------------------- nested records
@@ -229,7 +235,11 @@ def classify_category(spark, d):
     kind = F.coalesce(*[F.when(F.col("p_type") == n, v) for n, v in KINDS.items()])
     parent = F.when(F.col("p_size") > 20, F.col("p_size")).otherwise(0)
     version = F.when(F.col("p_size").between(15, 30), F.col("p_size"))
-    return table(spark, d, "part").select("p_partkey", ingest.category(kind, parent, version).alias("entity_category"))
+    def build():
+        return table(spark, d, "part").withColumn("entity_category", ingest.category(kind, parent, version))
+
+    # a folder per category, written in one go
+    return stored(spark, d, "categories", ["part"], build, split_by="entity_category").select("p_partkey", "entity_category")
 
 
 @query("editorial_articles", f"""
