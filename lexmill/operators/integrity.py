@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,6 +66,17 @@ def migrated_side(clusters: DataFrame, stored: DataFrame, fresh: DataFrame, samp
     return per.select("side", "mean_cosine", (F.col("side") == best).alias("migrated"))
 
 
+def migrated_side_by(clusters: DataFrame, stored: DataFrame, texts: DataFrame, embed: Callable[[Column], Column],
+                     sample: int = C.DRIFT_SAMPLE) -> DataFrame:
+    """As ``migrated_side``, with the fresh vectors made by ``embed``, say a pandas UDF from text to array<float>.
+
+    Only the sampled texts (id, text) are embedded.
+    """
+    picked = clusters.where(F.col("rank") <= sample)
+    fresh = texts.join(picked.select("id").distinct(), "id").select("id", embed(F.col("text")).alias("vec"))
+    return migrated_side(clusters, stored, fresh, sample)
+
+
 # ---------------------------------------------------------------- keys
 
 def present(key: str) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import constants as C
+from ..functions import sql as sql_functions
 from ..functions import text
 from ..operators import chunking, retrieval
 from ..sources.store import stored
@@ -35,6 +36,16 @@ def chunk_words(spark, d):
     )
 
 
+@query("chunk_words_lateral", "WITH " + S.WINDOWS + """
+SELECT doc_id, source AS source_title, chunk_index, length(content) AS chars, sha256(content) AS content_hash FROM windows""")
+def chunk_words_lateral(spark, d):
+    """The same windows through the table function, called from SQL."""
+    sql_functions.register(spark)
+    return spark.sql(
+        "SELECT d.doc_id, d.source AS source_title, c.chunk_index, CAST(length(c.content) AS BIGINT) AS chars, sha2(c.content, 256) AS content_hash "
+        "FROM {docs} d, LATERAL chunk_text(d.text, d.source) c", docs=docs_of(spark, d).select("doc_id", "source", "text"))
+
+
 @query("chunk_build", "WITH " + S.CHUNKS + """
 SELECT chunk_uuid, doc_id, chunk_index, source AS source_title, sha256(content) AS content_hash FROM chunks""")
 def chunk_build(spark, d):
