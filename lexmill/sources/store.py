@@ -30,7 +30,7 @@ def _files(spark: SparkSession, path: str):
     return _path(spark, path).getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _read_text(spark: SparkSession, path: str) -> str | None:
+def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _files(spark, path), _path(spark, path)
     if not fs.exists(p):
         return None
@@ -41,7 +41,7 @@ def _read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
-def _write_text(spark: SparkSession, path: str, body: str) -> None:
+def write_text(spark: SparkSession, path: str, body: str) -> None:
     """Written beside its place and moved there, so that readers see all of it or nothing."""
     fs, draft = _files(spark, path), f"{path}.{uuid.uuid4().hex}"
     stream = fs.create(_path(spark, draft))
@@ -54,6 +54,14 @@ def _write_text(spark: SparkSession, path: str, body: str) -> None:
         fs.delete(_path(spark, draft), False)
 
 
+def newest_text(spark: SparkSession, folder: str) -> str | None:
+    """The published text with the greatest name in a folder, None without one."""
+    fs, p = _files(spark, folder), _path(spark, folder)
+    names = [str(x.getPath().getName()) for x in fs.listStatus(p)] if fs.exists(p) else []
+    done = sorted(n for n in names if n.endswith(".json"))
+    return read_text(spark, f"{folder}/{done[-1]}") if done else None
+
+
 def fingerprint(spark: SparkSession, d: str, inputs: list[str], revision: int) -> str:
     """Hash over the files of the input tables: their paths, sizes and times, in any order."""
     held = [f"revision {revision}"]
@@ -76,13 +84,13 @@ def stored(spark: SparkSession, d: str, name: str, inputs: list[str], build: Cal
     own in the one write: rows kept and rows left out, say; a filter on it reads only its folder.
     """
     manifest = manifest_path(spark, name, fingerprint(spark, d, inputs, revision))
-    body = _read_text(spark, manifest)
+    body = read_text(spark, manifest)
     if body is None:
         df = build()
         data = f"{manifest.rsplit('/', 1)[0]}/data-{uuid.uuid4().hex}"
         (df.write.partitionBy(split_by) if split_by else df.write).parquet(data)
-        _write_text(spark, manifest, json.dumps({"data": data, "schema": df.schema.json(), "built": time.time(), "inputs": inputs}))
-        body = _read_text(spark, manifest)
+        write_text(spark, manifest, json.dumps({"data": data, "schema": df.schema.json(), "built": time.time(), "inputs": inputs}))
+        body = read_text(spark, manifest)
     known = json.loads(body)
     return spark.read.schema(_schema(known["schema"])).parquet(known["data"])
 
@@ -104,7 +112,7 @@ def retain(spark: SparkSession, name: str, keep: int = 2, least_age: float = 86_
     if not fs.exists(_path(spark, root)):
         return []
     entries = [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(_path(spark, root))]
-    known = {e: json.loads(_read_text(spark, f"{root}/{e}") or "{}") for e, _ in entries if e.endswith(".json")}
+    known = {e: json.loads(read_text(spark, f"{root}/{e}") or "{}") for e, _ in entries if e.endswith(".json")}
     newest = sorted(known, key=lambda e: -known[e].get("built", 0))
     gone = [e for e in newest[keep:] if now - known[e].get("built", 0) > least_age]
     for e in gone:

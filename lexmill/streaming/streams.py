@@ -9,7 +9,9 @@ State and tables live in the shared scratch folder.
 from __future__ import annotations
 
 import hashlib
+import json
 import time
+import uuid
 from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
@@ -21,6 +23,7 @@ from pyspark.sql.types import StructType
 from ..operators import chunking
 from ..schemas import CHUNKS, DOCUMENTS, EVENTS
 from ..session import parallelism, scratch_path
+from ..sources.store import newest_text, write_text
 from ..sources.tables import materialize
 
 
@@ -100,33 +103,95 @@ def stream_ingest_chunks(spark: SparkSession, folder: str) -> DataFrame:
 
 # ---------------------------------------------------------------- windowed aggregates
 
-def additive_aggregate(
-    spark: SparkSession, stream: DataFrame, keys: dict[str, Column], sums: dict[str, Column],
-    extremes: dict[str, tuple[str, str]] | None = None,
-) -> DataFrame:
+class AdditiveTable:
     """Counters that lose nothing: every micro-batch is aggregated by itself, and read back summed.
 
     A batch writes its delta under its own number, so a repeated batch changes nothing, and a late
     row adds to its own key however late it is: there is no watermark and no state to expire.
-    ``sums`` are added up; ``extremes`` are (min or max, column).
+    ``sums`` are added up; ``extremes`` are (min or max, column).  With ``event_time``, every batch also counts its rows
+    by how many days they lie behind the newest day of the batches before it.
     """
-    table, state = scratch_path(spark, "stream-agg"), scratch_path(spark, "state")
-    merge = {"min": F.min, "max": F.max}
-    extremes = extremes or {}
 
-    def save(batch: DataFrame, n: int) -> None:
-        delta(batch).write.mode("overwrite").parquet(batch_folder(table, run_id(state), n))
+    def __init__(self, spark: SparkSession, schema: StructType, keys: dict[str, Column], sums: dict[str, Column],
+                 extremes: dict[str, tuple[str, str]] | None = None, event_time: str | None = None):
+        self.spark, self.keys, self.sums, self.extremes, self.event_time = spark, keys, sums, extremes or {}, event_time
+        self.table, self.state = scratch_path(spark, "stream-agg"), scratch_path(spark, "state")
+        self.run = run_id(self.state)
+        rows = self.delta(spark.createDataFrame([], schema)).schema
+        self.rows = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.fields)
+        new_table(spark, self.table, rows)
+        if event_time:
+            new_table(spark, f"{self.table}-late", self.LATE)
+
+    LATE = "days_late INT, n BIGINT, newest DATE"
+
+    def merged(self, rows: DataFrame, keys: list) -> DataFrame:
+        merge = {"min": F.min, "max": F.max}
+        return rows.groupBy(*keys).agg(
+            *[F.sum(k).alias(k) for k in self.sums], *[merge[how](k).alias(k) for k, (how, _) in self.extremes.items()])
+
+    def delta(self, rows: DataFrame) -> DataFrame:
+        named = rows.select(*[c.alias(k) for k, c in self.keys.items()], *[c.alias(k) for k, c in self.sums.items()],
+                            *[F.col(c).alias(k) for k, (_, c) in self.extremes.items()])
+        return self.merged(named, list(self.keys))
+
+    def save(self, batch: DataFrame, n: int) -> None:
+        self.delta(batch).write.mode("overwrite").parquet(batch_folder(self.table, self.run, n))
+        if self.event_time:
+            before = self.batches(f"{self.table}-late", self.LATE).where(F.col("batch") < n).agg(F.max("newest")).first()[0]
+            day = F.to_date(self.event_time)
+            behind = F.greatest(F.datediff(F.lit(before).cast("date"), day), F.lit(0)) if before else F.lit(0)
+            batch.groupBy(behind.cast("int").alias("days_late")).agg(F.count("*").alias("n"), F.max(day).alias("newest")).write.mode(
+                "overwrite").parquet(batch_folder(f"{self.table}-late", self.run, n))
+
+    def batches(self, table: str, schema: str) -> DataFrame:
+        return read_batches(self.spark, table, schema).where(F.col("run") == self.run)
+
+    def consume(self, stream: DataFrame) -> list:
+        return run_available(stream, self.save, "append", self.state)
+
+    def base(self) -> dict:
+        """The newest published base: its folder and the last batch in it."""
+        body = newest_text(self.spark, f"{self.table}-base")
+        return json.loads(body) if body else {"data": None, "upto": -1}
+
+    def totals(self) -> DataFrame:
+        return self.totals_upto(1 << 62)
+
+    def late_rows(self) -> DataFrame:
+        """(batch, days_late, n) of rows behind the newest day before their batch."""
+        return self.batches(f"{self.table}-late", self.LATE).where("days_late > 0").groupBy("batch", "days_late").agg(F.sum("n").alias("n"))
+
+    def compact(self) -> int:
+        """Merges the deltas so far into a new base and publishes it; returns the last batch in it.
+
+        A batch in the base that is repeated writes its delta again, which is then not read.
+        """
+        last = self.batches(self.table, self.rows).agg(F.max("batch")).first()[0]
+        if last is None or last <= self.base()["upto"]:
+            return self.base()["upto"]
+        folder = f"{self.table}-base"
+        data = f"{folder}/data-{uuid.uuid4().hex}"
+        self.totals_upto(last).write.parquet(data)
+        write_text(self.spark, f"{folder}/base-{last:012d}.json", json.dumps({"data": data, "upto": last}))
+        return self.base()["upto"]
+
+    def totals_upto(self, last: int) -> DataFrame:
+        base = self.base()
+        rows = self.batches(self.table, self.rows).where(F.col("batch").between(base["upto"] + 1, last)).drop("run", "batch")
+        if base["data"]:
+            rows = rows.unionByName(self.spark.read.schema(self.rows).parquet(base["data"]))
+        return self.merged(rows, list(self.keys))
 
-    def delta(rows: DataFrame) -> DataFrame:
-        return rows.groupBy(*[c.alias(k) for k, c in keys.items()]).agg(
-            *[F.sum(c).alias(k) for k, c in sums.items()], *[merge[how](c).alias(k) for k, (how, c) in extremes.items()])
 
-    schema = delta(spark.createDataFrame([], stream.schema)).schema
-    new_table(spark, table, schema)
-    run_available(stream, save, "append", state)
-    rows = read_batches(spark, table, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
-    return rows.groupBy(*keys).agg(
-        *[F.sum(k).alias(k) for k in sums], *[merge[how](k).alias(k) for k, (how, _) in extremes.items()])
+def additive_aggregate(
+    spark: SparkSession, stream: DataFrame, keys: dict[str, Column], sums: dict[str, Column],
+    extremes: dict[str, tuple[str, str]] | None = None,
+) -> DataFrame:
+    """Totals of a whole stream, see AdditiveTable."""
+    held = AdditiveTable(spark, stream.schema, keys, sums, extremes)
+    held.consume(stream)
+    return held.totals()
 
 
 def usage_stream(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
@@ -139,12 +204,20 @@ def usage_stream(spark: SparkSession, folder: str, files_per_batch: int | None =
         (k * 10).alias("prompt_tokens"), k.alias("completion_tokens"), (F.col("event_type") == "error").cast("bigint").alias("fallback"))
 
 
-def stream_usage_daily(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
-    """Additive counters per UTC day; a late delta still adds to its own day."""
+def usage_table(spark: SparkSession, schema: StructType) -> AdditiveTable:
+    """Counters per UTC day, provider and surface, with late rows counted beside them."""
     keys = {"day": F.to_date("ts"), "provider": F.col("provider"), "surface": F.col("surface")}
     sums = {"requests": F.lit(1), "prompt_tokens": F.col("prompt_tokens"), "completion_tokens": F.col("completion_tokens"),
             "fallbacks": F.col("fallback")}
-    return additive_aggregate(spark, usage_stream(spark, folder, files_per_batch), keys, sums)
+    return AdditiveTable(spark, schema, keys, sums, event_time="ts")
+
+
+def stream_usage_daily(spark: SparkSession, folder: str, files_per_batch: int | None = None) -> DataFrame:
+    """Additive counters per UTC day; a late delta still adds to its own day."""
+    stream = usage_stream(spark, folder, files_per_batch)
+    held = usage_table(spark, stream.schema)
+    held.consume(stream)
+    return held.totals()
 
 
 def stream_latency_windows(

@@ -253,6 +253,36 @@ def test_late_rows_and_repeated_batches_change_nothing(spark, tmp_path):
         assert batch == sorted(map(str, job(spark, str(many), files_per_batch=1).collect())) and batch
 
 
+def test_late_rows_are_counted_and_compaction_changes_nothing(spark, tmp_path):
+    schema = spark.read.parquet(f"{SF}/events.parquet").schema
+    whole = spark.read.parquet(f"{SF}/events.parquet").limit(60).collect()
+    import datetime as dt
+
+    days, folder = [10, 8, 10, 3], tmp_path / "in"
+    folder.mkdir()
+    held = None
+    for n, day in enumerate(days):
+        rows = [{**r.asDict(), "ts": dt.datetime(2024, 1, day, 12)} for r in whole[15 * n : 15 * n + 15]]
+        spark.createDataFrame([tuple(r[f] for f in schema.names) for r in rows], schema).coalesce(1).write.parquet(f"{tmp_path}/raw{n}")
+        (folder / f"events{n}.parquet").write_bytes(next((tmp_path / f"raw{n}").glob("part-*.parquet")).read_bytes())
+        stream = streams.usage_stream(spark, str(folder))
+        held = held or streams.usage_table(spark, stream.schema)
+        held.consume(stream)
+        before = sorted(map(str, held.totals().collect()))
+        if n in (1, 2):
+            assert held.compact() == n == held.base()["upto"]
+            assert sorted(map(str, held.totals().collect())) == before
+    assert sorted(map(tuple, held.late_rows().collect())) == [(1, 2, 15), (3, 7, 15)]
+    # a batch that is already in the base is written again
+    again = streams.usage_stream(spark, str(folder)).schema
+    repeat = spark.read.parquet(f"{tmp_path}/raw1")
+    repeat = repeat.select("*").withColumn("provider", F.lit("groq")).withColumn("surface", F.lit("chat")).withColumn(
+        "prompt_tokens", F.lit(1).cast("bigint")).withColumn("completion_tokens", F.lit(1).cast("bigint")).withColumn("fallback", F.lit(0).cast("bigint"))
+    held.save(repeat.select(*again.names), 1)
+    assert sorted(map(str, held.totals().collect())) == before
+    assert held.compact() == 3 and sorted(map(str, held.totals().collect())) == before and held.compact() == 3
+
+
 def test_smallest_owner_whatever_arrives_first(spark, tmp_path):
     body = " ".join(f"word{i} of a long enough sentence." for i in range(120))
     schema = spark.read.parquet(f"{SF}/documents.parquet").schema
