@@ -342,7 +342,9 @@ def ablation_summary(spark, d):
         (F.count("hit") / F.count("*")).alias("coverage"))
     # a query without rows counts as 0
     per = coverage.join(precision, ["mode", "query_id"], "left").groupBy("mode").agg(
-        F.round(F.avg(F.coalesce("precision", F.lit(0.0))), 4).alias("mean_precision"), F.round(F.avg("coverage"), 4).alias("mean_coverage"), F.count("*").alias("n"))
+        # nine digits first: the last bits of a sum of doubles depend on its order, and a mean may lie on a tie
+        F.round(F.round(F.avg(F.coalesce("precision", F.lit(0.0))), 9), 4).alias("mean_precision"),
+        F.round(F.round(F.avg("coverage"), 9), 4).alias("mean_coverage"), F.count("*").alias("n"))
     # one row per mode from here on: a mode wins if the runner-up stays below it
     best = Window.orderBy(F.desc("mean_precision"))
     alone = F.lead("mean_precision").over(best) < F.col("mean_precision")
