@@ -325,7 +325,7 @@ t AS (SELECT l.mode, l.query_id, d.source FROM lists l JOIN documents d ON d.doc
 p AS (SELECT mode, query_id, count(*) FILTER (source IN (SELECT expected FROM expected e WHERE e.query_id = t.query_id)) / least(count(*), {LIMIT}) AS precision FROM t GROUP BY ALL),
 c AS (SELECT mode, query_id, avg(found::INT) AS coverage FROM (SELECT mode, e.query_id, EXISTS (SELECT 1 FROM t WHERE t.mode = m.mode AND t.query_id = e.query_id AND t.source = e.expected) AS found
   FROM expected e, (SELECT DISTINCT mode FROM lists) m) GROUP BY ALL),
-s AS (SELECT mode, round(avg(coalesce(precision, 0)), 4) AS mean_precision, round(avg(coverage), 4) AS mean_coverage, count(*) AS n FROM c LEFT JOIN p USING (mode, query_id) GROUP BY mode)
+s AS (SELECT mode, round(round(avg(coalesce(precision, 0)), 9), 4) AS mean_precision, round(round(avg(coverage), 9), 4) AS mean_coverage, count(*) AS n FROM c LEFT JOIN p USING (mode, query_id) GROUP BY mode)
 SELECT *, mean_precision > (SELECT max(o.mean_precision) FROM s o WHERE o.mode <> s.mode) AS wins FROM s""")
 def ablation_summary(spark, d):
     """Mean precision and coverage per retrieval mode; a mode wins only when it beats all others."""
