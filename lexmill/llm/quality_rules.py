@@ -2,9 +2,14 @@
 
 Every signal of every document that passes the base rules goes into a log-linear histogram, a
 quantile sketch of bounded size that merges by adding counts: exact up to 64, then 32 buckets
-for each power of two.  Sketches per (language, source) give Tukey fences; groups with too few
-documents use the merged sketch of their language, then the one of the whole corpus.  The fences
-are joined back to the documents.  DataFrame functions only.
+for each power of two.  A fence lies TIMES as far from the median as the HIGH quantile of the
+sketch (for word length also on the lower side), so a group without spread has its fence at the
+median itself: no cutoff is the same everywhere.  Quantiles are taken at the outer end of their
+bucket.  Because one event in a short text is a large share of it, a text passes a share's fence
+with one event above it (``EVENT``).  Words of repeated lines, at the mean length of the text's
+lines, are left to the rule on lines.  Groups with too few documents use the merged sketch of
+their language, then the one of the whole corpus.  The fences are joined back to the documents.
+DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -19,11 +24,14 @@ from .words import split_words
 SYMBOLS = "#*$%&|<>"
 WHITE = "".join(chr(c) for c in (0x20, *range(0x09, 0x0E)))
 
-#: Signal and the least distance of its fence from the quartile, in the signal's unit.
 #: Shares are per 10,000 words (symbols, repeats) or lines, word length is per 100 words.
-SIGNALS = {"symbols": 500, "repeats": 3000, "dup_lines": 4000, "word_length": 200}
+SIGNALS = ("symbols", "repeats", "dup_lines", "word_length")
 TWO_SIDED = {"word_length"}
-IQR_TIMES = 3
+#: The least a count can rise by: a symbol, two equal windows of three words, a line.
+EVENT = {"symbols": 1, "repeats": 6, "dup_lines": 1}
+#: Tenths of the documents below the high quantile; the low one mirrors it.
+HIGH = 9
+TIMES = 3
 MIN_DOCS = 200
 
 
@@ -137,21 +145,21 @@ def fences(sketch: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
             Window.unboundedPreceding, Window.unboundedFollowing)).alias("total"),
     )
 
-    def quartile(k: int) -> Column:
-        return bucket_start(F.min(F.when(4 * F.col("cum") >= k * F.col("total"), F.col("bucket"))))
+    def quantile(tenths: int) -> Column:
+        return F.min(F.when(10 * F.col("cum") >= tenths * F.col("total"), F.col("bucket")))
 
-    quartiles = ranked.groupBy("level", "lang_key", "source_key", "signal").agg(
-        quartile(1).alias("q1"), quartile(3).alias("q3"), F.max("total").alias("docs")
+    quantiles = ranked.groupBy("level", "lang_key", "source_key", "signal").agg(
+        bucket_start(quantile(10 - HIGH)).alias("low"), bucket_start(quantile(5)).alias("middle"),
+        (bucket_start(quantile(HIGH) + 1) - 1).alias("high"), F.max("total").alias("docs"),
     )
-    spread = IQR_TIMES * (F.col("q3") - F.col("q1"))
     columns = []
-    for name, margin in SIGNALS.items():
+    for name in SIGNALS:
         at = F.col("signal") == name
-        columns.append(F.max(F.when(at, F.col("q3") + spread + margin)).alias(f"most_{name}"))
+        columns.append(F.max(F.when(at, F.expr(f"middle + {TIMES} * (high - middle)"))).alias(f"most_{name}"))
         if name in TWO_SIDED:
-            columns.append(F.max(F.when(at, F.col("q1") - spread - margin)).alias(f"least_{name}"))
+            columns.append(F.max(F.when(at, F.expr(f"middle - {TIMES} * (middle - low)"))).alias(f"least_{name}"))
     wide = materialize(
-        quartiles.groupBy("level", "lang_key", "source_key").agg(F.max("docs").alias("docs"), *columns), "fences"
+        quantiles.groupBy("level", "lang_key", "source_key").agg(F.max("docs").alias("docs"), *columns), "fences"
     )
     names = [c for c in wide.columns if c.startswith(("most_", "least_"))]
 
@@ -180,12 +188,17 @@ def quality_rules(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     counted = materialize(signals(docs), "signals")
     limits = fences(sketches(counted), min_docs)
     judged = salted_join(counted, limits, ["lang_key", "source_key"], "doc_id", "left")
-    measures = _measures()
-    inside = F.lit(True)
+    measures, inside = _measures(), F.lit(True)
+    counts = {"symbols": ("n_symbols", "n_words"), "repeats": ("n_repeat_words", "n_words"), "dup_lines": ("n_dup_lines", "n_lines")}
     for name in SIGNALS:
-        inside = inside & (measures[name] <= F.col(f"most_{name}"))
         if name in TWO_SIDED:
-            inside = inside & (measures[name] >= F.col(f"least_{name}"))
+            inside = inside & measures[name].between(F.col(f"least_{name}"), F.col(f"most_{name}"))
+        else:
+            n, of = counts[name]
+            spare = EVENT[name]
+            if name == "repeats":
+                spare = f"{spare} - n_dup_lines * (2 * n_words div greatest(n_lines, 1))"
+            inside = inside & F.expr(f"10000 * ({n} - {spare}) <= most_{name} * {of}")
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         F.coalesce(~F.col("base_failed") & inside, F.lit(False)).alias("kept"),

@@ -49,27 +49,29 @@ WITH base AS (
          sum(n) OVER (PARTITION BY level, lk, sk, signal) AS total FROM levels
 ), picked AS (
   SELECT level, lk, sk, signal, max(total) AS docs,
-         min(CASE WHEN 4 * cum >= total THEN bucket END) AS b1, min(CASE WHEN 4 * cum >= 3 * total THEN bucket END) AS b3
+         min(CASE WHEN 10 * cum >= total THEN bucket END) AS b1, min(CASE WHEN 10 * cum >= 5 * total THEN bucket END) AS b5,
+         min(CASE WHEN 10 * cum >= 9 * total THEN bucket END) + 1 AS b9
   FROM ranked GROUP BY ALL
-), quartiles AS (
+), quantiles AS (
   SELECT *, (b1 - 32 * greatest(b1 // 32 - 1, 0)) << greatest(b1 // 32 - 1, 0) AS q1,
-         (b3 - 32 * greatest(b3 // 32 - 1, 0)) << greatest(b3 // 32 - 1, 0) AS q3 FROM picked
+         (b5 - 32 * greatest(b5 // 32 - 1, 0)) << greatest(b5 // 32 - 1, 0) AS q5,
+         ((b9 - 32 * greatest(b9 // 32 - 1, 0)) << greatest(b9 // 32 - 1, 0)) - 1 AS q9 FROM picked
 ), fences AS (
   SELECT level, lk, sk, max(docs) AS docs,
-    max(CASE WHEN signal = 'symbols' THEN q3 + 3 * (q3 - q1) + 500 END) AS f_symbols,
-    max(CASE WHEN signal = 'repeats' THEN q3 + 3 * (q3 - q1) + 3000 END) AS f_repeats,
-    max(CASE WHEN signal = 'dup_lines' THEN q3 + 3 * (q3 - q1) + 4000 END) AS f_lines,
-    max(CASE WHEN signal = 'word_length' THEN q3 + 3 * (q3 - q1) + 200 END) AS f_long,
-    max(CASE WHEN signal = 'word_length' THEN q1 - 3 * (q3 - q1) - 200 END) AS f_short
-  FROM quartiles GROUP BY ALL
+    max(CASE WHEN signal = 'symbols' THEN q5 + 3 * (q9 - q5) END) AS f_symbols,
+    max(CASE WHEN signal = 'repeats' THEN q5 + 3 * (q9 - q5) END) AS f_repeats,
+    max(CASE WHEN signal = 'dup_lines' THEN q5 + 3 * (q9 - q5) END) AS f_lines,
+    max(CASE WHEN signal = 'word_length' THEN q5 + 3 * (q9 - q5) END) AS f_long,
+    max(CASE WHEN signal = 'word_length' THEN q5 - 3 * (q5 - q1) END) AS f_short
+  FROM quantiles GROUP BY ALL
 ), chosen AS (
   SELECT a.lk, a.sk, CASE WHEN a.docs >= 200 THEN a WHEN b.docs >= 200 THEN b ELSE c END AS f
   FROM fences a JOIN fences b ON b.level = 1 AND b.lk = a.lk JOIN fences c ON c.level = 2 WHERE a.level = 0
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       coalesce(NOT base_failed AND 10000 * n_symbols // n_words <= f.f_symbols
-         AND 10000 * n_repeat_words // n_words <= f.f_repeats
-         AND 10000 * n_dup_lines // greatest(n_lines, 1) <= f.f_lines
+       coalesce(NOT base_failed AND 10000 * (n_symbols - 1) <= f.f_symbols * n_words
+         AND 10000 * (n_repeat_words - 6 - n_dup_lines * (2 * n_words // greatest(n_lines, 1))) <= f.f_repeats * n_words
+         AND 10000 * (n_dup_lines - 1) <= f.f_lines * n_lines
          AND 100 * word_chars // n_words <= f.f_long AND 100 * word_chars // n_words >= f.f_short, false) AS kept
 FROM judged LEFT JOIN chosen USING (lk, sk)
 """

@@ -2,7 +2,7 @@ import re
 from collections import Counter
 
 from lexmill.llm import QUERIES
-from lexmill.llm.quality_rules import bucket, bucket_start, quality_rules, signals
+from lexmill.llm.quality_rules import bucket, bucket_start, fences, quality_rules, signals, sketches
 from lexmill.llm.sql import QUALITY_RULES
 from pyspark.sql import functions as F
 from tests.oracle import compare, duck
@@ -49,6 +49,30 @@ def test_thresholds_follow_their_group(make_docs):
     assert not got[200]
 
 
+def test_fences_of_the_given_table_differ_between_groups(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = fences(sketches(signals(docs)), min_docs=20).collect()
+    # every signal whose values have a spread in the groups has fences of its own there
+    for name in ("most_repeats", "most_word_length", "least_word_length"):
+        assert len({r[name] for r in rows}) > 1, name
+
+
+def test_fences_against_sorting(make_docs):
+    text = lambda i, n: " ".join(f"w{i}x{k}" for k in range(100)) + " " + " ".join(["#"] * n)
+    rows = [(i, text(i, i % 9), "en", "a") for i in range(40)] + [(100 + i, text(i, i % 3), "en", "b") for i in range(40)]
+    got = {r["source_key"]: r["most_symbols"] for r in fences(sketches(signals(make_docs(rows))), min_docs=20).collect()}
+    for source, most in (("a", 9), ("b", 3)):
+        values = sorted(10000 * (i % most) // (100 + i % most) for i in range(40))
+
+        def low(v):
+            shift = max(v.bit_length() - 6, 0)
+            return (v >> shift) << shift
+
+        middle, high = low(values[19]), values[35]
+        step = 1 << max(high.bit_length() - 6, 0)
+        assert got["=" + source] == middle + 3 * (low(high) + step - 1 - middle)
+
+
 def test_odd_and_empty(odd_docs):
     rows = quality_rules(odd_docs).collect()
     assert len(rows) == odd_docs.count()
