@@ -7,12 +7,14 @@ windows from its first to its last byte; its languages are the mean of its windo
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +22,8 @@ LENGTH = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 10
 DIMENSIONS = 5
-#: Windows trained on at most, for each language: a bounded sample, those with the smallest hashes.
+#: Different windows trained on at most, for each language: a bounded sample, those with the smallest
+#: hashes among all windows, first to last, of the texts drawn.
 TRAIN_WINDOWS = 1500
 #: Languages learned at most, the most frequent ones.
 MAX_LANGUAGES = 1000
@@ -78,8 +81,33 @@ def kernel_mask(dim: int) -> np.ndarray:
     return mask
 
 
+def gradients(net: Network, bx: np.ndarray, by: np.ndarray) -> list[np.ndarray]:
+    """Gradient of the mean cross-entropy for every weight; it flows through the position that won the pooling only."""
+    widest, dim, filters = max(WIDTHS), net.embedding.shape[1], net.kernel.shape[1]
+    found, _ = net.responses(bx)
+    found = found.reshape(len(bx), bx.shape[1], filters)
+    where = found.argmax(axis=1)
+    top = np.take_along_axis(found, where[:, None, :], axis=1)[:, 0] + net.bias
+    pooled = np.maximum(top, 0)
+    delta = softmax(pooled @ net.dense + net.dense_bias)
+    delta[np.arange(len(bx)), by] -= 1
+    delta /= len(bx)
+    back = (delta @ net.dense.T) * (top > 0)
+    # the window of bytes behind every winner: (batch, filters, widest)
+    at_bytes = where[:, :, None] + np.arange(widest)
+    padded = np.pad(bx, ((0, 0), (0, widest - 1)))
+    chosen = padded[np.arange(len(bx))[:, None, None], at_bytes]
+    columns = net.embedding[chosen].reshape(len(bx), filters, widest * dim)
+    g_kernel = np.einsum("bf,bfk->kf", back, columns) * kernel_mask(dim)
+    g_bytes = np.einsum("bf,kf->bfk", back, net.kernel).reshape(-1, dim)
+    g_embedding = np.zeros_like(net.embedding)
+    np.add.at(g_embedding, chosen.reshape(-1), g_bytes)
+    g_embedding[0] = 0
+    return [g_embedding, g_kernel, back.sum(axis=0), pooled.T @ delta, delta.sum(axis=0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOCHS, seed: int = 3) -> Network:
-    """Adam on cross-entropy; the gradient flows through the position that won the pooling only."""
+    """Adam on cross-entropy."""
     rng = np.random.default_rng(seed)
     widest, dim, filters = max(WIDTHS), DIMENSIONS, FILTERS * len(WIDTHS)
     mask = kernel_mask(dim)
@@ -100,27 +128,8 @@ def train(x: np.ndarray, y: np.ndarray, languages: list[str], epochs: int = EPOC
         for at in range(0, len(x), size):
             batch = order[at : at + size]
             bx, by = x[batch], y[batch]
-            found, flat = net.responses(bx)
-            found = found.reshape(len(bx), bx.shape[1], filters)
-            where = found.argmax(axis=1)
-            top = np.take_along_axis(found, where[:, None, :], axis=1)[:, 0] + net.bias
-            pooled = np.maximum(top, 0)
-            delta = softmax(pooled @ net.dense + net.dense_bias)
-            delta[np.arange(len(bx)), by] -= 1
-            delta /= len(bx)
-            back = (delta @ net.dense.T) * (top > 0)
-            # the window of bytes behind every winner: (batch, filters, widest)
-            at_bytes = where[:, :, None] + np.arange(widest)
-            padded = np.pad(bx, ((0, 0), (0, widest - 1)))
-            chosen = padded[np.arange(len(bx))[:, None, None], at_bytes]
-            columns = net.embedding[chosen].reshape(len(bx), filters, widest * dim)
-            g_kernel = np.einsum("bf,bfk->kf", back, columns) * mask
-            g_bytes = np.einsum("bf,kf->bfk", back, net.kernel).reshape(-1, dim)
-            g_embedding = np.zeros_like(net.embedding)
-            np.add.at(g_embedding, chosen.reshape(-1), g_bytes)
-            g_embedding[0] = 0
+            grads = gradients(net, bx, by)
             step += 1
-            grads = [g_embedding, g_kernel, back.sum(axis=0), pooled.T @ delta, delta.sum(axis=0)]
             for p, g, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -137,16 +146,18 @@ def training_windows(docs: DataFrame, per_language: int = TRAIN_WINDOWS) -> pd.D
     """Windows of learnable documents with their languages.
 
     Different texts whose hash falls below the share that gives ``per_language`` / 2 of them are
-    cut up, so only the sample is shuffled; at most ``per_language`` windows of a language stay.
+    cut up whole, so only the sample is shuffled; of their different windows the ``per_language``
+    with the smallest hashes stay for every language.  A text hands on no more than that many,
+    which loses none of them.
     """
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            rows = [
-                (lang, w.tobytes()) for text, lang in zip(part["text"], part["lang"], strict=True)
-                for w in windows_of(text)[:4]
-            ]
-            yield pd.DataFrame(rows, columns=["lang", "window"])
+            rows = []
+            for text, lang in zip(part["text"], part["lang"], strict=True):
+                hashed = {(xxhash.xxh64_intdigest(w.tobytes()) >> 1, w.tobytes()) for w in windows_of(text)}
+                rows += [(lang, *x) for x in heapq.nsmallest(per_language, hashed)]
+            yield pd.DataFrame(rows, columns=["lang", "h", "window"])
 
     learnable = docs.where("text is not null and lang is not null").where(fold(F.col("doc_id")) != 1)
     hashed = learnable.select("lang", "text", F.xxhash64("text").alias("h"))
@@ -157,10 +168,10 @@ def training_windows(docs: DataFrame, per_language: int = TRAIN_WINDOWS) -> pd.D
     below = F.col("h") / float(1 << 64) + 0.5 < F.col("share")
     # at most MAX_LANGUAGES rows; a shuffle by language would move every text
     chosen = hashed.join(F.broadcast(shares), "lang").where(below).dropDuplicates(["lang", "h"])
-    by_window = Window.partitionBy("lang").orderBy(F.xxhash64("window"), "window")
-    cut_up = chosen.select("lang", "text").mapInPandas(cut, "lang string, window binary")
+    by_window = Window.partitionBy("lang").orderBy("h", "window")
+    cut_up = chosen.select("lang", "text").mapInPandas(cut, "lang string, h bigint, window binary")
     return (
-        cut_up.withColumn("n", F.row_number().over(by_window)).where(F.col("n") <= per_language)
+        cut_up.distinct().withColumn("n", F.row_number().over(by_window)).where(F.col("n") <= per_language)
         .select("lang", "window").toPandas()
     )
 
