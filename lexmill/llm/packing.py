@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .words import count_words, encoded_words
 
 LENGTHS = (512, 1024, 2048, 4096)
@@ -79,6 +80,9 @@ def pack(
     Every word of every row is packed once.  NULL and blank texts have nothing to pack; a NULL
     doc_id stays NULL; repeated rows are packed each; ties go by doc_id, then start; no rows give
     none; other columns are not read.  ``lengths`` are distinct positive numbers.
+
+    Equal rows share a shard unless they alone would fill one: then they are dealt over as many
+    shards as their words need.
     """
     text = F.col("text").cast("string")
     rows = docs.select(
@@ -89,6 +93,15 @@ def pack(
     total = rows.agg(F.sum("size")).first()[0] or 0
     shards = int(total // shard_words) + 1
 
+    sized = rows.where("size > 0")
+    # written, so that Spark knows its size before it plans the join
+    hot = materialize(
+        sized.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
+        .where((F.col("n") > 1) & (F.col("words") > shard_words))
+        .select("mark", F.least(F.lit(shards), F.ceil(F.col("words") / shard_words)).alias("spread")),
+        "hot-rows",
+    )
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["no_id", "doc_id", "mark"], ignore_index=True)
         item, start, size = pieces(group["size"].to_numpy(), max(lengths))
@@ -115,6 +128,11 @@ def pack(
             out["text"] = texts
         return out
 
-    sharded = rows.where("size > 0").withColumn("shard", F.pmod("mark", F.lit(shards)))
+    # rows of one mark are equal, so it does not matter which of them goes where
+    sharded = (
+        sized.withColumn("turn", F.monotonically_increasing_id()).join(hot, "mark", "left")
+        .withColumn("shard", F.pmod(F.col("mark") + F.coalesce(F.pmod("turn", "spread"), F.lit(0)), F.lit(shards)))
+        .drop("turn", "spread")
+    )
     packed = sharded.groupBy("shard").applyInPandas(run, SLOTS + (", text string" if with_text else ""))
     return packed.withColumn("doc_id", F.when(~F.col("no_id"), F.col("doc_id"))).drop("no_id")

@@ -35,6 +35,39 @@ def test_convolution_against_loops():
     assert np.allclose(net.probabilities(x).sum(axis=1), 1, atol=1e-5)
 
 
+def test_gradient_against_differences():
+    rng = np.random.default_rng(1)
+    x, y = rng.integers(1, 256, (4, 40)).astype(np.uint8), np.array([0, 1, 2, 1])
+    net = L.train(x, y, ["a", "b", "c"], epochs=1)
+    params = [net.embedding, net.kernel, net.bias, net.dense, net.dense_bias]
+    for name, p in zip(("embedding", "kernel", "bias", "dense", "dense_bias"), params, strict=True):
+        setattr(net, name, p.astype(np.float64))
+
+    def loss():
+        return -np.log(net.probabilities(x)[np.arange(len(y)), y]).mean()
+
+    for name, g in zip(("embedding", "kernel", "bias", "dense", "dense_bias"), L.gradients(net, x, y), strict=True):
+        p = getattr(net, name)
+        for at in np.argsort(-np.abs(g), axis=None)[:5]:
+            old, step = p.flat[at], 1e-6
+            p.flat[at] = old + step
+            up = loss()
+            p.flat[at] = old - step
+            down = loss()
+            p.flat[at] = old
+            assert abs((up - down) / (2 * step) - g.flat[at]) < 1e-4, name
+
+
+def test_training_windows_come_from_whole_texts(make_docs):
+    # few long texts: every window takes part, not the first ones of a text
+    rows = [(i, " ".join(f"word{i}x{k}" for k in range(400)), "en", "s") for i in range(12)]
+    texts = make_docs(rows).select("doc_id", "text", "lang")
+    learned = [t for i, t, _, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    want = {w.tobytes() for t in learned for w in L.windows_of(t)}
+    assert {bytes(w) for w in L.training_windows(texts)["window"]} == want
+    assert len(L.training_windows(texts, 50)) == 50
+
+
 def test_windows_hold_the_whole_text():
     for text in ("", "a", "é" * 500, "x" * L.LENGTH, "y" * (L.LENGTH + 1)):
         raw = text.encode()
@@ -194,3 +227,13 @@ def test_packing_of_odd_documents(odd_docs):
 def test_query_packs_every_word(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     check_packing(docs, QUERIES["op2_best_fit_packing"](spark, SF).collect(), K.LENGTHS)
+
+
+def test_copies_of_one_row_are_dealt_over_shards(make_docs):
+    rows = [(7, "ten words in one row that is held many times")] * 20_000 + [(None, "a b c")] * 9_000 + [(i, "x y z") for i in range(50)]
+    packed = K.pack(make_docs(rows), shard_words=5_000).collect()
+    assert Counter((r["doc_id"], r["n_words"]) for r in packed) == Counter((i, len(t.split())) for i, t in rows)
+    load = Counter()
+    for r in packed:
+        load[r["bin_id"] // K._BINS_PER_SHARD] += r["n_words"]
+    assert max(load.values()) <= 3 * 5_000
