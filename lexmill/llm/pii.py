@@ -1,11 +1,13 @@
 """Personal data, and terms that give it away.
 
 Patterns find e-mail and IP addresses, card and phone numbers.  Each distinct value is a protected
-entity.  How much a term reveals an entity is the pointwise mutual information of their
-co-occurrence relative to the entity's own information, which for a term t and an entity e is
-fixed by P(e | t): the share of the texts holding t in which t stands close to e.  Terms above the
-upper threshold give the entity away wherever they stand and are removed from all texts.  Terms
-above the lower one are generalised to their shape throughout the texts that hold the entity.
+entity.  Co-occurrence in the corpus estimates P(e | t), the share of the texts holding a term t in
+which t stands close to an entity e: at 1 the pointwise mutual information of t and e is all of the
+entity's own information, -log P(e), and below 1 it lacks -log P(e | t) of it.  Both thresholds bound
+that lack (0.15 and 1 bit), not its ratio to the whole, so they mean the same for frequent and rare
+entities.  Terms above the upper threshold give the entity away wherever they stand and are removed
+from all texts.  Terms above the lower one are generalised to their shape throughout the texts that
+hold the entity.
 """
 
 from __future__ import annotations
@@ -286,17 +288,19 @@ def private_spans(
     texts = with_row_key(docs.select("doc_id", F.col("text").cast("string").alias("text"))).select(*ROW_KEY, "text")
     found = materialize(find_values(texts, reach), "values")
     told = materialize(disclosures(found, texts.select("text"), min_contexts, generalise_at), "disclosures")
-    met = materialize(salted_join(occurrences(texts, told), told, ["term"], "_rid"), "occurrences")
+    terms = materialize(told.groupBy("term").agg(F.max("share").alias("share")), "terms")
+    met = materialize(salted_join(occurrences(texts, told), terms, ["term"], "_rid"), "occurrences")
     everywhere = met.where(F.col("share") >= remove_at)
+    # only terms below the upper threshold need their entities, once per text: at most twice the meetings counted
+    weak = told.join(terms.where(F.col("share") < remove_at), "term", "left_semi").select("entity", "term")
     held = found.select(*ROW_KEY, F.explode("held").alias("entity"))
-    beside = met.where(F.col("share") < remove_at).join(held, [*ROW_KEY, "entity"], "left_semi").select(*met.columns)
-    kind = F.when(F.col("share") >= remove_at, F.lit(5)).otherwise(F.lit(4))
+    pairs = met.where(F.col("share") < remove_at).select(*ROW_KEY, "term").distinct()
+    beside = salted_join(pairs, weak, ["term"], "_rid").join(held, [*ROW_KEY, "entity"], "left_semi")
+    general = met.join(beside.select(*ROW_KEY, "term").distinct(), [*ROW_KEY, "term"], "left_semi")
     marks = (
-        everywhere.unionByName(beside)
-        .groupBy(*ROW_KEY, "low", "high")
-        .agg(F.max("share").alias("share"))
+        everywhere.withColumn("kind", F.lit(5)).unionByName(general.withColumn("kind", F.lit(4)))
         .groupBy(*ROW_KEY)
-        .agg(F.collect_list(F.struct("low", kind.alias("kind"), "high")).alias("marks"))
+        .agg(F.collect_set(F.struct("low", "kind", "high")).alias("marks"))
     )
     none = F.array().cast("array<struct<low:int,kind:int,high:int>>")
     return found.select(*ROW_KEY, "base").join(marks, ROW_KEY, "left").select(
