@@ -90,14 +90,13 @@ def pack(
         count_words(text).alias("size"),
         F.xxhash64("doc_id", text).alias("mark"), *([text.alias("text")] if with_text else []),
     )
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    shards = int(total // shard_words) + 1
-
     sized = rows.where("size > 0")
+    marks = materialize(sized.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("words")), "marks")
+    total = marks.agg(F.sum("words")).first()[0] or 0
+    shards = int(total // shard_words) + 1
     # written, so that Spark knows its size before it plans the join
     hot = materialize(
-        sized.groupBy("mark").agg(F.count("*").alias("n"), F.sum("size").alias("words"))
-        .where((F.col("n") > 1) & (F.col("words") > shard_words))
+        marks.where((F.col("n") > 1) & (F.col("words") > shard_words))
         .select("mark", F.least(F.lit(shards), F.ceil(F.col("words") / shard_words)).alias("spread")),
         "hot-rows",
     )
