@@ -109,6 +109,23 @@ def test_bm25_without_texts_or_terms(spark):
     assert retrieval.bm25_topk(queries.limit(0), docs, "doc_id", "text", 5).count() == 0
 
 
+def test_bm25_hands_over_no_row_per_query_and_text(spark, monkeypatch):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.concat(F.lit("a b "), F.col("id").cast("string")).alias("text"))
+    queries = spark.range(60).select(F.col("id").alias("query_id"), F.lit("a b").alias("text"))
+    written, keep = [], retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: (out := keep(df, label), written.append(out.count()))[0])
+    got = retrieval.bm25_topk(queries, docs, "doc_id", "text", 5, group_terms=50).collect()
+    assert sorted((r["query_id"], r["rank"], r["doc_id"]) for r in got) == [(q, n + 1, n) for q in range(60) for n in range(5)]
+    assert max(written) <= 3 * 300
+
+
+def test_bm25_ties_and_rows_without_key(spark):
+    docs = spark.createDataFrame([(None, "a"), (7, "a"), (2**60 + 1, "a"), (2**60, "a"), (5, "b")], "doc_id BIGINT, text STRING")
+    queries = spark.createDataFrame([(2**61 + 1, "a")], "query_id BIGINT, text STRING")
+    got = retrieval.bm25_topk(queries, docs.repartition(3), "doc_id", "text", 3).orderBy("rank").collect()
+    assert [(r["query_id"], r["doc_id"]) for r in got] == [(2**61 + 1, None), (2**61 + 1, 7), (2**61 + 1, 2**60)]
+
+
 def test_dense_topk_is_exact_over_many_tiles(spark, monkeypatch):
     monkeypatch.setattr(retrieval, "TILE_QUERIES", 7)
     rng = np.random.default_rng(5)
