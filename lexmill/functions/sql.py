@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 
@@ -10,7 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from .. import constants as C
-from .text import TAG
+from .text import TAG, unescape
 
 
 @udtf(returnType="chunk_index INT, content STRING", useArrow=True)
@@ -19,7 +18,7 @@ class ChunkText:
 
     def eval(self, body: str, title: str) -> Iterator[tuple[int, str]]:
         # str.split() cuts at the same white space, line separators and control characters included
-        words = re.sub(TAG, " ", html.unescape(body or "")).split()
+        words = re.sub(TAG, " ", unescape(body or "")).split()
         head = f"{title}\n\n" if title else ""
         for n, start in enumerate(range(0, len(words), C.CHUNK_WORDS - C.CHUNK_OVERLAP)):
             part = words[start : start + C.CHUNK_WORDS]

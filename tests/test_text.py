@@ -18,6 +18,13 @@ def test_clean_html_decodes_common_and_rare_entities(spark):
     assert one(spark, "&amp;lt;x", text.clean_html) == "&lt;x"
 
 
+def test_a_reference_without_semicolon_is_text(spark):
+    """As the SQL has it: a page cut inside ``&amp`` keeps what is left, beside rare references that are whole."""
+    assert one(spark, "a &amp</p> b", text.clean_html) == "a &amp b"
+    assert one(spark, "a &ampx; &am &#39 &eacute; &amp;#65; &copy b", text.clean_html) == "a &ampx; &am &#39 é &#65; &copy b"
+    assert one(spark, "x &amp</p>\n\ny", text.normalize_body) == "x &amp \ny"
+
+
 def test_unicode_words_stay_whole(spark):
     assert one(spark, "Été à Noël_2", text.word_tokens) == ["été", "à", "noël_2"]
     assert one(spark, " a b\x1cc ", text.split_words) == ["a", "b", "c"]
