@@ -28,11 +28,14 @@ from ..sources.tables import materialize
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of one table as a stream; the schema is fixed, never inferred."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
+    """Parquet files of one table as a stream; the schema is fixed, never inferred.
+
+    The table is files ``name*.parquet`` in the folder, or folders of that name with files in them.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(folder)
+    return reader.parquet(f"{folder}/{name}*.parquet")
 
 
 def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], mode: str, state: str) -> list:

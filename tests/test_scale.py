@@ -235,6 +235,12 @@ def test_jsonl_skips_blank_lines(spark, tmp_path):
     assert [r["id"] for r in tables.read_jsonl(spark, str(tmp_path), "id INT").orderBy("id").collect()] == [1, 2]
 
 
+def test_stream_reads_a_table_that_is_a_folder(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    want = {r["chunk_uuid"] for r in streams.stream_ingest_chunks(spark, SF).select("chunk_uuid").collect()}
+    assert want and {r["chunk_uuid"] for r in streams.stream_ingest_chunks(spark, str(tmp_path)).select("chunk_uuid").collect()} == want
+
+
 def test_stream_replay_adds_nothing(spark):
     table = scratch_path(spark, "replay")
     streams.new_table(spark, table, streams.CHUNK_ROWS)
