@@ -138,6 +138,20 @@ def test_dense_topk_is_exact_over_many_tiles(spark, monkeypatch):
     assert {(g["query_id"], g["rank"], g["id"]) for g in got} == want
 
 
+def test_dense_blocks_are_bounded_by_cells(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(retrieval, "BLOCK_CELLS", 90, raising=False)
+    seen, rows = [], pd.DataFrame({"id": range(40), "query_id": range(40), "vec": [[1.0, float(i)] for i in range(40)]})
+    kept = lambda cos, ids: (seen.append(cos.size), np.nonzero(cos > 0.999))[1]
+    both = SimpleNamespace(applyInPandas=lambda score, schema: score(rows, rows))
+    grouped = SimpleNamespace(cogroup=lambda other: both)
+    frame = SimpleNamespace(withColumn=lambda *_: frame, withColumnsRenamed=lambda *_: frame, groupBy=lambda *_: grouped)
+    out = retrieval._scored_tiles(frame, frame, 40, kept)
+    unit = np.array(rows["vec"].tolist()) / np.linalg.norm(rows["vec"].tolist(), axis=1, keepdims=True)
+    assert max(seen) <= 90 and len(out) == (np.round(unit @ unit.T, 6) > 0.999).sum()
+
+
 def _clusters(seed, clusters, each, dim=8):
     rng = np.random.default_rng(seed)
     return np.repeat(rng.normal(size=(clusters, dim)), each, axis=0) + rng.normal(scale=0.02, size=(clusters * each, dim))
