@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from lexmill.functions.joins import salted_join
 from lexmill.operators import similarity
 
 
@@ -65,3 +66,14 @@ def test_copies_are_counted_not_paired(spark):
 
 def test_without_rows(spark):
     assert run(spark, [], 0.5) == ({}, [])
+
+
+def test_copies_of_a_large_small_side_are_not_broadcast(spark, tmp_path):
+    """The estimate of a file knows nothing of its copies per salt, which the driver would hold."""
+    spark.range(100_000).select(F.xxhash64("id").alias("token"), F.col("id").alias("df")).write.parquet(str(tmp_path / "s"))
+    small = spark.read.parquet(str(tmp_path / "s"))
+    big = spark.range(10).select(F.xxhash64("id").alias("token"), "id")
+    joined = salted_join(big, small, ["token"], "id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 10
+    few = salted_join(big, small.limit(1), ["token"], "id")
+    assert few.count() <= 10
