@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexmill.functions import ranking, text
 from lexmill.functions.joins import salted_join
-from lexmill.operators import context, evaluate, gate, integrity, retrieval
+from lexmill.operators import chunking, context, evaluate, gate, integrity, retrieval
 from lexmill.session import scratch_path
 from lexmill.sources import tables
 from lexmill.streaming import streams
@@ -392,3 +392,12 @@ def test_dimension_refresh(spark):
     assert dim.current().first()["v"] == "a" and dim.reads == 2
     now[0] = 22
     assert dim.current().first()["v"] == "b"
+
+
+def test_a_window_is_split_into_lines_once(spark):
+    """A branch evaluates every mention of an expression again; the lines of a window were cut three times."""
+    df = spark.createDataFrame([("a\nb",), ("x" * 40,), ("",), (None,)], "t string")
+    judged = df.select("t", chunking.drop_reason(F.col("t")).alias("why"))
+    plan = judged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(t") == 2  # words and lines
+    assert {r["t"]: r["why"] for r in judged.collect()} == {"a\nb": "list_like", "x" * 40: None, "": "list_like", None: None}
