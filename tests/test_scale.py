@@ -401,3 +401,13 @@ def test_a_window_is_split_into_lines_once(spark):
     plan = judged._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(t") == 2  # words and lines
     assert {r["t"]: r["why"] for r in judged.collect()} == {"a\nb": "list_like", "x" * 40: None, "": "list_like", None: None}
+
+
+def test_best_texts_are_a_small_written_table(spark):
+    """The join with the texts then goes by the true size of the list instead of moving every text."""
+    docs = spark.createDataFrame([(i, f"word{i % 7} common text") for i in range(50)], "id bigint, body string")
+    queries = spark.createDataFrame([(1, "word3 common"), (2, "word5")], "query_id bigint, text string")
+    top = retrieval.bm25_topk(queries, docs, "id", "body", 3)
+    plan = top._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and tables.plan_bytes(top) < 1 << 20
+    assert [r["id"] for r in top.where("query_id = 2").orderBy("rank").collect()] == [5, 12, 19]
