@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from .. import constants as C
 from ..functions import keys, text
+from ..functions.joins import salted_join
 
 
 def prune_fields(df: DataFrame, parts: list[str] = C.MEDIA_FIELDS, names: list[str] = C.MEDIA_NAMES) -> DataFrame:
@@ -144,21 +145,24 @@ def articles(df: DataFrame, about: str, detailed: str, name: str, carry: list[st
 def best_match(queries: DataFrame, records: DataFrame, on: list[str]) -> DataFrame:
     """Best record per query among the records of its list ``on``: exact slug, slug prefix, else the first.
 
-    Every record is listed once under each prefix of its slug.  Per list, prefix, tier and year only the earliest
-    record is kept, a minimum that combines map-side, so a query meets a row per tier and year of its own slug,
-    however many records its list has.
+    Records with the same slug and year are reduced to the earliest first, and what is left is listed under those
+    prefixes of its slug that are as long as a query of its list.  Per list, prefix, tier and year only the earliest record is
+    kept, so a query meets a row per tier and year of its own slug, however many records its list has.
     """
     far = F.lit("9999-12-31").cast("date")
     known = records.select(
         *on, keys.slug(F.col("name")).alias("slug"), F.year("released").alias("year"),
         F.struct(F.coalesce(F.col("released"), far).alias("at"), "pos", "record_id").alias("row"))
+    asked = queries.select("query", *on, "year_hint", keys.slug(F.col("query")).alias("prefix"))
+    # a minimum of structs is sorted in the task, so it runs over a row per record and not over a row per prefix
+    once = known.where("slug IS NOT NULL").groupBy(*on, "slug", "year").agg(F.min("row").alias("row"))
     # 0 is the empty prefix, which an empty query asks for
-    spread = known.where("slug IS NOT NULL").select(*on, "slug", "year", "row", F.explode(F.sequence(F.lit(0), F.length("slug"))).alias("n"))
+    lengths = asked.where("prefix IS NOT NULL").select(*on, F.length("prefix").alias("n")).distinct()
+    spread = salted_join(once, lengths, on, "slug").where(F.col("n") <= F.length("slug"))
     tier = F.when(F.col("n") == F.length("slug"), 1).otherwise(2)
     index = spread.select(*on, F.expr("substring(slug, 1, n)").alias("prefix"), tier.alias("tier"), "year", "row")
     index = index.groupBy(*on, "prefix", "tier", "year").agg(F.min("row").alias("row"))
     first = known.groupBy(*on).agg(F.min(F.struct("row.pos", "row.record_id")).alias("first"))
-    asked = queries.select("query", *on, "year_hint", keys.slug(F.col("query")).alias("prefix"))
 
     miss = F.when(F.col("year") == F.col("year_hint"), 0).otherwise(1)
     ranked = asked.join(index, [*on, "prefix"]).select("query", F.struct("tier", miss.alias("miss"), "row.at", "row.pos", "row.record_id").alias("o"))

@@ -263,7 +263,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, CASE WHEN t
   CASE WHEN tier < 3 THEN coalesce(released, DATE '9999-12-31') END, pos) AS rn FROM j)
 SELECT query, record_id, tier FROM o WHERE rn = 1""")
 def best_match_ladder(spark, d):
-    part = table(spark, d, "part")
+    part = spread(table(spark, d, "part"), "p_partkey")
     word = F.element_at(F.split("p_name", " "), 1)
     asked = part.select(F.col("p_name").alias("query")).distinct()
     asked = asked.select("query", F.element_at(F.split("query", " "), 1).alias("word"), (F.length("query") + 1990).alias("year_hint"))

@@ -47,6 +47,15 @@ def test_match_ladder_meets_few_rows_of_a_hot_list(spark):
     assert {r["query"]: r["tier"] for r in got}["Hot 1999"] == 3
 
 
+def test_match_ladder_lists_no_prefix_that_nobody_asks_for(spark):
+    """Every prefix of every record was sorted in the task that read it."""
+    records = spark.range(100).selectExpr("id AS record_id", "concat('Hot ', id % 5) AS name", "CAST(NULL AS DATE) AS released", "id AS pos", "'hot' AS list")
+    queries = spark.createDataFrame([("Hot", "hot", 2000), ("Hot 3", "hot", 2000)], "query STRING, list STRING, year_hint INT")
+    best = ingest.best_match(queries, records, ["list"])
+    assert "sequence(0, length" not in best._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["query"], r["record_id"], r["tier"]) for r in best.collect()} == {("Hot", 0, 2), ("Hot 3", 3, 1)}
+
+
 def test_children_get_both_requirements_or_one_is_added(spark):
     children = spark.createDataFrame(
         [(1, 1, "Console", None, None), (1, 2, " pc ", "2001-01-01", None), (1, 3, "PC", None, None), (2, 1, "Console", None, None), (3, 1, "Windows", "", None), (4, 1, "PC", None, None)],
