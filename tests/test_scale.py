@@ -411,3 +411,23 @@ def test_best_texts_are_a_small_written_table(spark):
     plan = top._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and tables.plan_bytes(top) < 1 << 20
     assert [r["id"] for r in top.where("query_id = 2").orderBy("rank").collect()] == [5, 12, 19]
+
+
+def test_postings_are_a_row_per_text_and_move_nothing(spark, monkeypatch):
+    """Terms are counted where a text is read, also over several batches, and alike when they are too many to broadcast."""
+    docs = spark.createDataFrame([(1, "a b a c " * 40), (None, None), (2, ""), (3, "z " * 90 + "a"), (3, "b")], "doc_id BIGINT, text STRING")
+    queries = spark.createDataFrame([(1, "a b"), (2, "z")], "query_id BIGINT, text STRING")
+    plans, keep = {}, retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: (plans.update({label: df._jdf.queryExecution().executedPlan().toString()}), keep(df, label))[1])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = []
+        for most in (retrieval.BROADCAST_TERMS, -1):
+            monkeypatch.setattr(retrieval, "BROADCAST_TERMS", most)
+            rows = retrieval.asked_postings(queries, docs.coalesce(1), "doc_id", "text")[1].collect()
+            found.append(sorted((r["doc_id"] or 0, sorted(r["tfs"])) for r in rows))
+            if most > 0:
+                assert "hashpartitioning(row" not in plans["postings"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert found[0] == found[1] == [(0, []), (1, [40, 80]), (2, []), (3, [1]), (3, [1, 90])]
