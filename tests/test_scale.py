@@ -431,3 +431,25 @@ def test_postings_are_a_row_per_text_and_move_nothing(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert found[0] == found[1] == [(0, []), (1, [40, 80]), (2, []), (3, [1]), (3, [1, 90])]
+
+
+def test_routing_reads_each_turn_once(spark, tmp_path):
+    """Repeated turns are rows of their own, and the rate over all cases does not judge the texts again."""
+    from lexmill.plans import QUERIES
+
+    rows = [(1, 0, "user", "a vs\nb"), (1, 0, "user", "a vs\nb"), (None, 1, "system", "what  is it"), (2, 0, "user", None), (3, 0, "assistant", "Top\n5 Best, x")]
+    talk = spark.createDataFrame(rows, "conv_id BIGINT, turn BIGINT, role STRING, text STRING")
+    talk.coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    assert tuple(QUERIES["routing_accuracy_determinism"](spark, str(tmp_path)).first()) == (40.0, 100.0, 5)
+    checks = QUERIES["regression_case_check"](spark, str(tmp_path))
+    assert sorted(r["routing_ok"] for r in checks.collect()) == [False] * 3 + [True] * 2
+    assert "text" not in checks._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_task_of_a_line_is_the_task_of_its_signals(spark):
+    from lexmill.operators import gate
+
+    said = ["Best  of A vs B", "top 10", "top\n10 specs", "what is\tthe best", "best", "LATEST", "", None, "between x and y", "developer\x85history of"]
+    df = spark.createDataFrame([(s,) for s in said], "s STRING")
+    both = df.select(gate.task_of_line(gate.routing_line(F.col("s"))).alias("a"), gate.primary_task(gate.intent_signals(F.col("s"))).alias("b")).collect()
+    assert [r["a"] for r in both] == [r["b"] for r in both] and len({r["a"] for r in both}) == 4
