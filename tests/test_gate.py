@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lexmill.functions import text
 from lexmill.operators import context, gate
 from lexmill.schemas import CANDIDATES
 
@@ -115,3 +116,19 @@ def test_refine_web(spark):
             {"score": 0.4}, {"score": 0.9, "title": "Deal"}, {"score": 0.5}, {"score": 0.99}]
     out = gate.refine_web(cands(spark, rows)).orderBy("pos").collect()
     assert [r["chunk_uuid"] for r in out] == ["c0", "c2", "c5"]
+
+
+def test_first_name_token(spark):
+    """As the first of all tokens; a text without one has none instead of failing."""
+    said = ["  ¿O’Neill’s x", "a b", "", "¡!", None, "éa1 b", "’tis"]
+    df = spark.createDataFrame([(s,) for s in said], "s STRING")
+    got = df.select(text.first_name_token(F.col("s")).alias("a"), F.get(text.name_tokens(F.col("s")), F.lit(0)).alias("b")).collect()
+    assert [r["a"] for r in got] == [r["b"] for r in got] == ["O'Neill's", "a", None, None, None, "a1", "'tis"]
+
+
+def test_opening_titles_of_texts_without_a_word(spark, tmp_path):
+    from lexmill.plans.gating import opening_titles
+
+    spark.createDataFrame([(1, "¡!"), (2, "Word two"), (3, None)], "doc_id BIGINT, text STRING").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, 1), (2, 1), (3, 1)], "doc_id BIGINT, quality INT").write.parquet(f"{tmp_path}/labels.parquet")
+    assert [r["title"] for r in opening_titles(spark, str(tmp_path)).collect()] == ["Word"]
