@@ -1,13 +1,14 @@
-"""Near-duplicate documents by SimHash similarity, where the differing bits can be many.
-
-Shingles of five words at a Jaccard similarity of 0.8 differ in about 15 % of all SimHash bits, so
-64 bits are too few to guarantee a shared byte.  Fingerprints here have 256 positional bytes.  The
-index lists a document under each of 80 disjoint pairs of them: a pair of documents at 0.8 shares a
-given byte pair with probability 0.07, and at least one of the 80 with probability 0.997.  Within a
-list, documents are compared on 16 more bytes, loosely; a list gives a spanning forest of its closest
-links.  These links only say which documents may belong together: the forest connects whatever any
-close pair of the list connects.  Inside each cluster of such links all pairs are then compared, on
-all 2048 bits and, where those come near the similarity, on the distinct shingles of both texts.
+"""Near-duplicate documents through a byte-position inverted index with count filtering, where many bits can differ.
+
+Shingles of five words at a Jaccard similarity of 0.8 differ in about 15 % of all SimHash bits, so 64
+bits are too few to guarantee a shared byte.  Fingerprints here have 256 positional bytes, of which a pair
+at 0.8 shares 69 on average, with a deviation of 7.  The index holds all of them in 128 couples and lists a
+document under each couple: a pair shares a given couple with probability 0.07, and with more than 128
+shared bytes always one.  Within a list the shared bytes of a pair are tallied, on 24 others, and pairs
+below the minimum are left out; a list gives a spanning forest of what is left.  These links only say which
+documents may belong together: the forest connects whatever any pair of the list connects.  Inside
+each cluster of such links the shared bytes of all pairs are then tallied on all 256 positions; pairs below
+the minimum for the similarity are left out, and the rest is decided on the distinct shingles of both texts.
 """
 
 from __future__ import annotations
@@ -23,17 +24,20 @@ from pyspark.sql import functions as F
 
 from .common import ROW_KEY, ids_are_keys, materialize, parallelism, with_row_key
 from .components import components, contracted
-from .simhash import majority, runs
+from .simhash import agreeing_bytes, majority, runs
 from .words import Windows, WordHasher, mix
 
 WORDS, SIMILARITY = 5, 0.8
 FINGERPRINT_WORDS = 32
-BITS = 64 * FINGERPRINT_WORDS
-TABLES = 80
-#: Bits of 128 in which the compared bytes may differ: 19.5 expected at 0.8, plus 3.5 deviations.
-HEAD_BITS = 34
-#: The estimate from 2048 bits has a deviation of 0.019 at 0.8; pairs down to this much less are counted out.
-SLACK = 0.08
+POSITIONS = 8 * FINGERPRINT_WORDS
+COUPLES = POSITIONS // 2
+#: Fingerprint words that a list carries for its tally, and the bytes of them that a pair has to share beside the couple:
+#: 6.4 expected at 0.8 (short of the minimum in one list of ten), 0.1 for unrelated texts.
+HEAD_WORDS, HEAD_SHARED = 3, 4
+#: Deviations below the expected tally at which pairs are counted out.
+DEVIATIONS = 4
+#: Texts with fewer shingles are not counted out: bits that so few decide are no coin tosses.
+COUNTED_FROM = 64
 LONG, TILE = 24, 8192
 #: Links that a task gathers before it turns them into stars.
 STAR_ROWS = 500_000
@@ -75,32 +79,45 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInPandas(run, "_rid bigint, _tag int, node bigint, n bigint, sketch binary")
 
 
+HEADS = [f"w{i}" for i in range(HEAD_WORDS)]
+
+
 def index_lists(nodes: DataFrame) -> DataFrame:
-    """One row per class of equal sets of shingles and table: the list's key, the class, and 128 of its bits."""
+    """One row per class of equal sets of shingles and couple of bytes: the list's key, the class, and bytes for the tally."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        number = np.arange(TABLES)
-        tables = number.astype(np.int64) << 16
-        # every table compares on 16 bytes of its own, so a link that one misjudges another sees
-        block = 2 * ((number + 5) % (FINGERPRINT_WORDS // 2))
+        number = np.arange(COUPLES)
+        lists = number.astype(np.int64) << 16
+        # every list tallies bytes of its own, none of them from its couple's word, so a pair that one misjudges another sees
+        first = number // 4 + 1 + 5 * number % (FINGERPRINT_WORDS - HEAD_WORDS)
         for part in batches:
             for at in range(0, len(part), 2048):
                 piece = part.iloc[at : at + 2048]
                 raw = np.frombuffer(b"".join(piece["sketch"]), dtype=np.uint8).reshape(len(piece), -1)
-                key = tables + raw.view(np.uint16)[:, :TABLES].astype(np.int64)
+                key = lists + raw.view(np.uint16).astype(np.int64)
                 words = raw.view(np.int64)
-                yield pd.DataFrame({
-                    "key": key.ravel(), "node": np.repeat(piece["node"].to_numpy(), TABLES),
-                    "a": words[:, block].ravel(), "b": words[:, block + 1].ravel(),
-                })
+                held = {w: words[:, (first + i) % FINGERPRINT_WORDS].ravel() for i, w in enumerate(HEADS)}
+                yield pd.DataFrame({"key": key.ravel(), "node": np.repeat(piece["node"].to_numpy(), COUPLES), **held})
 
-    return nodes.select("node", "sketch").mapInPandas(run, "key bigint, node bigint, a bigint, b bigint")
+    return nodes.select("node", "sketch").mapInPandas(run, "key bigint, node bigint, " + ", ".join(f"{w} bigint" for w in HEADS))
 
 
 def differing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
 
 
+def shared_bytes(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The tally of equal positional bytes."""
+    return agreeing_bytes(np.ascontiguousarray(x ^ y)).sum(axis=-1)
+
+
+def least_shared(similarity: float) -> int:
+    """The tally of all positions that pairs of ``similarity`` reach, whatever their sizes."""
+    # sets of unequal size have a larger cosine at the same similarity
+    same = (1 - math.acos(2 * similarity / (1 + similarity)) / math.pi) ** 8
+    return max(0, math.floor(POSITIONS * same - DEVIATIONS * math.sqrt(POSITIONS * same * (1 - same))))
+
+
 def cheapest_forest(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarray:
     """Kruskal over found links; every row lies in one list, so one pass serves all lists."""
     parent: dict[int, int] = {}
@@ -120,8 +137,8 @@ def cheapest_forest(i: np.ndarray, j: np.ndarray, bits: np.ndarray) -> np.ndarra
     return np.array(keep, dtype=np.int64)
 
 
-def prim(heads: np.ndarray, limit: int) -> list[tuple[int, int]]:
-    """Minimum spanning forest of one long list: the links within ``limit`` bits among the closest ones."""
+def prim(heads: np.ndarray, limit: int, minimum: int = 0) -> list[tuple[int, int]]:
+    """Minimum spanning forest of one long list: the closest links among those within ``limit`` bits that share ``minimum`` bytes."""
     n = len(heads)
     best, via, out = np.full(n, limit + 1), np.full(n, -1), []
     outside = np.ones(n, dtype=bool)
@@ -132,15 +149,16 @@ def prim(heads: np.ndarray, limit: int) -> list[tuple[int, int]]:
         if via[at] >= 0:
             out.append((int(via[at]), at))
         d = differing(heads, heads[at])
-        closer = outside & (d <= limit) & (d < best)
+        closer = np.flatnonzero(outside & (d <= limit) & (d < best))
+        closer = closer[shared_bytes(heads[closer], heads[at]) >= minimum]
         best[closer], via[closer] = d[closer], at
     return out
 
 
-def list_links(block: pd.DataFrame, limit: int) -> pd.DataFrame:
-    """Links that connect what each list of a sorted block connects: short lists together, long ones one by one."""
+def list_links(block: pd.DataFrame, minimum: int) -> pd.DataFrame:
+    """Links that connect what the tally leaves of each list of a sorted block: short lists together, long ones one by one."""
     key, node = block["key"].to_numpy(), block["node"].to_numpy()
-    heads = np.column_stack([block["a"].to_numpy(), block["b"].to_numpy()]).view(np.uint64)
+    heads = np.column_stack([block[w].to_numpy() for w in HEADS]).view(np.uint64)
     starts = np.flatnonzero(np.diff(key, prepend=key[0] - 1))
     sizes = np.diff(np.append(starts, len(key)))
     short = np.flatnonzero(np.repeat(sizes, sizes) <= LONG)
@@ -149,14 +167,14 @@ def list_links(block: pd.DataFrame, limit: int) -> pd.DataFrame:
         at = np.flatnonzero(k[step:] == k[:-step])
         if not len(at):
             break
-        d = differing(heads[short[at]], heads[short[at + step]])
-        hit = d <= limit
-        found.append((short[at[hit]], short[at[hit] + step], d[hit]))
+        i, j = short[at], short[at + step]
+        hit = shared_bytes(heads[i], heads[j]) >= minimum
+        found.append((i[hit], j[hit], differing(heads[i[hit]], heads[j[hit]])))
     i, j, bits = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
     keep = cheapest_forest(i, j, bits)
     pairs = [(i[keep], j[keep])]
     for s, n in zip(starts[sizes > LONG], sizes[sizes > LONG], strict=True):
-        tree = np.array(prim(heads[s : s + n], limit), dtype=np.int64).reshape(-1, 2) + s
+        tree = np.array(prim(heads[s : s + n], 64 * HEAD_WORDS, minimum), dtype=np.int64).reshape(-1, 2) + s
         pairs.append((tree[:, 0], tree[:, 1]))
     left, right = (np.concatenate(x) for x in zip(*pairs, strict=True))
     return pd.DataFrame({"a": node[left], "b": node[right]})
@@ -180,7 +198,7 @@ def as_stars(links: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield star()
 
 
-def candidates(nodes: DataFrame, limit: int = HEAD_BITS, tile: int = TILE) -> DataFrame:
+def candidates(nodes: DataFrame, minimum: int = HEAD_SHARED, tile: int = TILE) -> DataFrame:
     """Distinct pairs of classes that a list links; lists above ``tile`` rows meet tile by tile."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,7 +206,7 @@ def candidates(nodes: DataFrame, limit: int = HEAD_BITS, tile: int = TILE) -> Da
 
         def short() -> Iterator[pd.DataFrame]:
             for block, part_of_long in runs(batches, tile):
-                yield list_links(block, limit)
+                yield list_links(block, minimum)
                 if part_of_long:
                     long_keys.append(int(block["key"].iloc[0]))
 
@@ -198,7 +216,7 @@ def candidates(nodes: DataFrame, limit: int = HEAD_BITS, tile: int = TILE) -> Da
             yield pd.DataFrame({"a": None, "b": None, "long_key": long_keys})
 
     def whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from as_stars(list_links(block, limit) for block, _ in runs(batches, 1 << 62))
+        yield from as_stars(list_links(block, minimum) for block, _ in runs(batches, 1 << 62))
 
     n = parallelism(nodes.sparkSession)
     lists = index_lists(nodes)
@@ -214,37 +232,33 @@ def candidates(nodes: DataFrame, limit: int = HEAD_BITS, tile: int = TILE) -> Da
             .withColumn("part", F.pmod(F.xxhash64("node"), 2 * F.col("tiles")))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("tiles") - 1)))
             .withColumn("key", F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")))
-            .select("key", "node", "a", "b")
+            .select("key", "node", *HEADS)
         )
         more = parts.repartition(n, "key").sortWithinPartitions("key").mapInPandas(whole, "a bigint, b bigint")
         pairs = pairs.union(more)
     return pairs.distinct()
 
 
-def estimated(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-    """Jaccard similarity by all bits and the numbers of shingles."""
-    shared = np.minimum(np.cos(math.pi * differing(x, y) / BITS) * np.sqrt(n * m), np.minimum(n, m))
-    return shared / (n + m - shared)
-
-
 def exact_forest(sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, similarity: float) -> list[tuple[int, int]]:
     """Spanning forest of all pairs of texts whose distinct shingles reach ``similarity``.
 
-    The estimate decides only which pairs are counted out, most similar first; pairs that are already
-    connected are left out.  With ``side``, only texts of different sides are compared.
+    Pairs whose tally of shared bytes is below the minimum are counted out, the others are decided on
+    their shingles, the largest tally first; pairs that are already connected are left out.  With
+    ``side``, only texts of different sides are compared.
     """
     n = np.array([len(s) for s in sets])
     bounds = np.concatenate([[0], np.cumsum(n)])
     known, codes = np.unique(np.concatenate(sets), return_inverse=True)
     held, label, out = np.zeros(len(known), dtype=np.int32), np.arange(len(sets)), []
+    minimum = np.where(n < COUNTED_FROM, 0, least_shared(similarity))
     for i in range(len(sets) - 1):
         j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
         if side is not None:
             j = j[side[j] != side[i]]
         j = j[np.minimum(n[j], n[i]) >= similarity * np.maximum(n[j], n[i]) - 1e-9]
-        guess = estimated(sketch[j], sketch[i], n[j].astype(float), float(n[i]))
-        order = np.argsort(-guess, kind="stable")
-        j = j[order[guess[order] >= similarity - SLACK]]
+        tally = shared_bytes(sketch[j], sketch[i])
+        order = np.argsort(-tally, kind="stable")
+        j = j[order[tally[order] >= np.minimum(minimum[j[order]], minimum[i])]]
         held[codes[bounds[i] : bounds[i + 1]]] = 1
         step = 16
         while len(j):

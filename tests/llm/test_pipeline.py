@@ -5,6 +5,7 @@ from itertools import combinations
 
 import corpus_pipeline
 import numpy as np
+import pandas as pd
 from lexmill.llm import near_duplicates as N
 from lexmill.llm.common import materialize, table
 from lexmill.llm.pii import base_spans
@@ -84,6 +85,42 @@ def test_related_texts_do_not_displace_a_link(make_docs):
     assert kept == {*range(500), *range(1000, 1020)}
 
 
+def test_lists_tally_shared_bytes():
+    # rows 0 and 1 differ in one bit of every byte, few bits and no shared byte; rows 2 and 3 share four bytes and nothing else
+    rng = np.random.default_rng(2)
+    raw = rng.integers(0, 256, (4, 8 * N.HEAD_WORDS), dtype=np.uint8)
+    raw[1] = raw[0] ^ 1
+    raw[3] = ~raw[2]
+    raw[3, :4] = raw[2, :4]
+    heads = dict(zip(N.HEADS, np.ascontiguousarray(raw).view(np.int64).T, strict=True))
+    for copies in (1, N.LONG):  # a short list, and one above LONG rows with rows that are near to nothing
+        far = rng.integers(0, 2**63, (copies - 1, N.HEAD_WORDS))
+        block = pd.DataFrame({"key": 7, "node": np.arange(3 + copies), **{w: np.append(h, far[:, i]) for i, (w, h) in enumerate(heads.items())}})
+        assert N.list_links(block, 4)[["a", "b"]].to_numpy().tolist() in ([[2, 3]], [[3, 2]])
+        assert not len(N.list_links(block, 5))
+
+
+def test_every_byte_is_in_the_index(spark):
+    row = bytearray(range(256))
+    nodes = spark.createDataFrame([(1, row)], "node bigint, sketch binary")
+    lists = N.index_lists(nodes).collect()
+    assert sorted(b for r in lists for b in ((r["key"] & 255), (r["key"] >> 8) & 255)) == list(range(256))
+    for r in lists:
+        tallied = b"".join(r[w].to_bytes(8, "little", signed=True) for w in N.HEADS)
+        assert r["key"] & 255 not in tallied and len(set(tallied)) == 8 * N.HEAD_WORDS
+
+
+def test_short_texts_are_decided_on_their_shingles():
+    # 4 of 5 shingles are shared: 0.8, but bits of so few shingles agree less often than those of long texts
+    rng = np.random.default_rng(3)
+    steps = np.arange(1, N.FINGERPRINT_WORDS, dtype=np.uint64) * N._GOLDEN
+    for _ in range(100):
+        long = np.sort(rng.integers(0, 2**63, 5, dtype=np.uint64))
+        sets = [long, long[1:]]
+        sketch = np.stack([N.majority(np.column_stack([h, N.mix(h[:, None] + steps)])) for h in sets])
+        assert N.exact_forest(sketch, sets, None, 0.8) == [(0, 1)]
+
+
 def test_forests_are_cheapest():
     rng = np.random.default_rng(0)
     heads = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
