@@ -43,6 +43,8 @@ LONG, TILE = 24, 8192
 STAR_ROWS = 500_000
 #: Texts and shingles of a cluster that one task compares; larger clusters are cut into tiles that meet pairwise.
 CLUSTER_TEXTS, CLUSTER_SHINGLES = 2048, 2_000_000
+#: Bits of the filter that keeps texts outside all clusters out of a shuffle.
+FILTER_BITS = 1 << 23
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -275,6 +277,16 @@ def exact_forest(sketch: np.ndarray, sets: list[np.ndarray], side: np.ndarray |
     return out
 
 
+def meeting(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose row key is among ``keys``, and few others: one bit per remainder of a hash of the keys."""
+    place = F.pmod(F.xxhash64(*ROW_KEY), F.lit(FILTER_BITS))
+    # FILTER_BITS / 64 rows at most
+    bits = keys.select(place.alias("place")).distinct().groupBy(F.expr("place div 64").alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(place % 64 as int))")).alias("bits"))
+    held = texts.withColumn("_place", place).join(F.broadcast(bits), F.expr("_place div 64 = word"))
+    return held.where("shiftright(bits, cast(_place % 64 as int)) & 1 = 1").select(*texts.columns)
+
+
 def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, similarity: float, plain: bool) -> DataFrame:
     """Links (a, b) that connect the same classes as all pairs at ``similarity`` inside the clusters of ``pairs``."""
 
@@ -297,8 +309,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
         F.ceil(F.greatest(F.count("*") / CLUSTER_TEXTS, F.sum("n") / CLUSTER_SHINGLES)).alias("tiles")
     )
     part, other, tiles = F.col("part"), F.col("other"), F.coalesce("tiles", F.lit(1))
+    inside = nodes.join(clusters, "node")
     members = (
-        nodes.join(clusters, "node").join(materialize(sizes.where("tiles > 1"), "tiles"), "root", "left")
+        inside.join(materialize(sizes.where("tiles > 1"), "tiles"), "root", "left")
         .withColumn("part", F.pmod(F.xxhash64("node"), tiles))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), tiles - 1)))
         .withColumn("key", F.xxhash64("root", F.least(part, other), F.greatest(part, other)))
@@ -306,7 +319,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, words: int, s
         .withColumn("side", F.when(part == other, -1).otherwise((part > other).cast("int")))
         .select("key", "side", "node", "sketch", *ROW_KEY)
     )
-    held = members.join(texts.select(*ROW_KEY, "text"), ROW_KEY).select("key", "side", "node", "sketch", "text")
+    held = members.join(meeting(texts.select(*ROW_KEY, "text"), inside), ROW_KEY).select("key", "side", "node", "sketch", "text")
     if not plain:
         held = held.dropDuplicates(["key", "node"])
     n = parallelism(nodes.sparkSession)

@@ -121,6 +121,12 @@ def test_short_texts_are_decided_on_their_shingles():
         assert N.exact_forest(sketch, sets, None, 0.8) == [(0, 1)]
 
 
+def test_only_texts_of_clusters_are_joined(spark):
+    texts = spark.range(-2000, 2000).selectExpr("id as _rid", "cast(0 as int) as _tag", "cast(id as string) as text")
+    kept = {r["_rid"] for r in N.meeting(texts, texts.where("_rid % 100 = 0")).collect()}
+    assert {i for i in range(-2000, 2000) if i % 100 == 0} <= kept and len(kept) < 50
+
+
 def test_forests_are_cheapest():
     rng = np.random.default_rng(0)
     heads = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
