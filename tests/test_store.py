@@ -66,3 +66,11 @@ def test_queries_share_the_store(spark):
 
     sf = "/root/testdata/sf0.001"
     assert chunks_of(spark, sf).inputFiles() == chunks_of(spark, sf).inputFiles()
+
+
+def test_stored_tables_are_packed_tightly(spark):
+    # keys and hashes are random hexadecimal digits: half a byte of information each
+    d, name = fresh(spark, [(1, "a")])
+    made = store.stored(spark, d, name, ["part"], lambda: spark.range(20_000).selectExpr("sha2(cast(id AS STRING), 256) AS h"))
+    files = made.select("_metadata.file_path", "_metadata.file_size").distinct().collect()
+    assert made.count() == 20_000 and sum(r["file_size"] for r in files) < 0.75 * 64 * 20_000
