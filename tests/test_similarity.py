@@ -77,3 +77,23 @@ def test_copies_of_a_large_small_side_are_not_broadcast(spark, tmp_path):
     assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString() and joined.count() == 10
     few = salted_join(big, small.limit(1), ["token"], "id")
     assert few.count() <= 10
+
+
+def test_pairs_that_share_little_are_not_kept(spark, monkeypatch):
+    """Texts that meet on a rare word but share little else are told apart where they meet; nothing is moved for them."""
+    rng = random.Random(4)
+    rows = [(i, [f"w{k}" for k in rng.sample(range(8000), 60)]) for i in range(400)]
+    rows.append((1000, rows[0][1] + ["more"]))
+    kept, write = [], similarity.materialize
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        if label == "pairs":
+            kept.extend(b for r in out.collect() for b in (r["b"] if isinstance(r["b"], list) else [r["b"]]))
+        return out
+
+    monkeypatch.setattr(similarity, "materialize", counted)
+    got, _ = run(spark, rows, 0.5)
+    assert got.keys() == plain(rows, 0.5)[0].keys() == {(0, 1000)}
+    # lengths, places and shared words of the prefixes alone leave 4,480
+    assert 0 < len(kept) < 1000
