@@ -196,6 +196,42 @@ def test_lsh_scores_few_pairs_of_clustered_vectors(spark):
     assert max(r["met"] for r in near) < 500
 
 
+def test_lsh_visits_are_looked_up_inside_tiles(spark, monkeypatch):
+    """Vectors without clusters need many flips: a row per visited bucket, 16 copies of each broadcast, filled the driver."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 24))
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)]
+    vectors = spark.createDataFrame([*rows, (9999, None)], "id BIGINT, vec ARRAY<DOUBLE>")
+    queries = spark.createDataFrame(rows[::100], "query_id BIGINT, vec ARRAY<DOUBLE>")
+    plans, flips = {}, []
+    write, fit = retrieval.materialize, retrieval.probe_bits
+    monkeypatch.setattr(retrieval, "materialize", lambda df, label: plans.setdefault(label, df._jdf.queryExecution().optimizedPlan().toString()) and write(df, label))
+    monkeypatch.setattr(retrieval, "probe_bits", lambda *a: flips.append(fit(*a)) or flips[0])
+    near = retrieval.dense_topk_lsh(queries, vectors, 10, 24, bands=6).collect()
+    bits = retrieval.band_bits(3001)
+    assert 1 < flips[0] < bits and "Join" not in plans["scored"]
+    # all pairs, tested bit by bit
+    dots = (v @ retrieval.sign_planes(6 * bits, 24).T).reshape(3000, 6, bits)
+    cos = np.round(retrieval._unit(pd.Series(list(v[::100]))) @ retrieval._unit(pd.Series(list(v))).T, 6)
+    want = set()
+    for i, q in enumerate(dots[::100]):
+        fixed = np.argsort(np.round(np.abs(q), 9), axis=1, kind="stable")[:, flips[0]:]
+        same = (np.take_along_axis(dots > 0, fixed[None], 2) == np.take_along_axis(q > 0, fixed, 1)[None]).all(axis=2).any(axis=1)
+        at = np.flatnonzero(same)
+        at = at[np.lexsort((at, -cos[i][at]))][:10]
+        want |= {(100 * i, n + 1, int(j), int(same.sum())) for n, j in enumerate(at)}
+    assert {(r["query_id"], r["rank"], r["id"], r["met"]) for r in near} == want
+
+
+@pytest.mark.parametrize("flips", [0, 2, 5])
+def test_lsh_lookup_and_test_agree(flips):
+    rng = np.random.default_rng(flips)
+    buckets, asked = rng.integers(0, 64, (40, 3)), rng.integers(0, 64, (7, 3))
+    masks = np.array([[sum(1 << int(x) for x in rng.permutation(6)[:flips]) for _ in range(3)] for _ in range(7)])
+    want = (((buckets[None] ^ asked[:, None]) & ~masks[:, None]) == 0).any(axis=2)
+    assert (np.concatenate([met for _, met in retrieval._met(buckets, asked, masks)]) == want).all()
+
+
 def test_rerank_falls_back_as_a_whole(spark):
     rows = [(1, 1, 10, 0.5, ["a"], ["a"]), (1, 2, 11, 0.4, ["a"], []), (2, 1, 12, 0.5, ["a", "b"], ["a"]), (2, 2, 13, 0.4, ["a", "b"], ["a", "b"])]
     df = spark.createDataFrame(rows, "query_id BIGINT, rank INT, id BIGINT, score DOUBLE, q ARRAY<STRING>, c ARRAY<STRING>")
