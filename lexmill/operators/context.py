@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as C
 from ..functions import text
+from ..functions.numbers import rounded
 
 
 def relevance(group: list[str]) -> Column:
@@ -148,7 +149,7 @@ def near_duplicates(rows: DataFrame) -> DataFrame:
         return F.filter(F.transform(later, score), lambda s: s["jaccard"] >= C.JACCARD_LIMIT)
 
     pairs = lists.select("query_id", F.explode(F.flatten(F.transform("items", against))).alias("p"))
-    return pairs.select("query_id", "p.id_a", "p.id_b", F.round("p.jaccard", 6).alias("jaccard"))
+    return pairs.select("query_id", "p.id_a", "p.id_b", rounded(F.col("p.jaccard"), 6).alias("jaccard"))
 
 
 def prompt_ladder(chunks: DataFrame, group: list[str], size: str, verbose: int, concise: int, cap: int = C.PROMPT_CHARS) -> DataFrame:

@@ -43,3 +43,26 @@ def test_injected_embedder_sees_only_the_sample(spark):
     rows = {r["side"]: (round(r["mean_cosine"], 3), r["migrated"]) for r in out.collect()}
     assert rows["high"] == (1.0, True) and rows["low"][1] is False and rows["low"][0] < 0.9
     assert seen.value <= 6 * 4
+
+
+def test_rounded_as_duckdb(spark):
+    """Quotients whose decimals end in 5, where Spark's own round goes another way than the SQL's."""
+    import duckdb
+    from lexmill.functions.numbers import rounded
+
+    sql = "SELECT a, b, round(a / b, 4) AS x, round(-a / b, 6) AS y FROM range(1, 701) t(a), (SELECT unnest([7, 160, 640, 800, 3200, 4000, 20000])) s(b)"
+    want = sorted(duckdb.connect().execute(sql).fetchall())
+    a, b = F.col("a"), F.col("b")
+    df = spark.createDataFrame([r[:2] for r in want], "a BIGINT, b BIGINT")
+    rows = df.select("a", "b", rounded(a / b, 4).alias("x"), rounded(-a / b, 6).alias("y"), F.round(a / b, 4).alias("plain")).collect()
+    assert sorted(tuple(r)[:4] for r in rows) == want
+    assert sum(r["plain"] != r["x"] for r in rows) > 20
+
+
+def test_best_threshold_rounds_as_the_sql(spark):
+    from lexmill.operators import evaluate
+
+    df = spark.createDataFrame([(1.0, i < 57) for i in range(800)], "score DOUBLE, bad BOOLEAN")
+    best = evaluate.best_threshold(df, "score", "bad").collect()
+    assert [tuple(r) for r in best] == [(1.000001, 0.0712, 1.0, 0.133, 57, 743, 0, 0)]
+    assert evaluate.best_threshold(df.limit(0), "score", "bad").collect() == []
